@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +35,18 @@ def local(cpus: int | None = None, memory: str = "8g", **conf: str) -> SparkSess
     out = session(f"local[{n}]", **(base | conf))
     out.sparkContext.setLogLevel("ERROR")
     return out
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that the functions run there can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusloom_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    if here.is_dir():  # else it was itself imported from an archive that was shipped
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+        with zipfile.ZipFile(f"{folder}/corpusloom_package.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(here.rglob("*.py")):
+                z.write(p, p.relative_to(here.parent))
+        sc.addPyFile(f"{folder}/corpusloom_package.zip")
+    sc._corpusloom_shipped = True

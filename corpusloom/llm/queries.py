@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import packing, tokens
+from corpusloom.llm import packing, simhash, tokens
 from corpusloom.sources.tables import table
 
 
@@ -18,7 +18,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op8_packing)
+    f.__name__: f for f in (op3_token_counts, op8_packing, op9_simhash)
 }
 ORACLE: dict[str, str] = {}

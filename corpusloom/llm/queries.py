@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontam, langid, packing, simhash, tokens
+from corpusloom.llm import decontam, langid, packing, pii, simhash, tokens
 from corpusloom.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op5_decontamination, op7_language_id, op8_packing, op9_simhash)
+    f.__name__: f for f in (op3_token_counts, op5_decontamination, op6_pii, op7_language_id, op8_packing, op9_simhash)
 }
 ORACLE: dict[str, str] = {}

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontam, langid, packing, pii, simhash, tokens
+from corpusloom.llm import cws, decontam, langid, packing, pii, simhash, tokens
 from corpusloom.sources.tables import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op5_decontamination, op6_pii, op7_language_id, op8_packing, op9_simhash)
+    f.__name__: f for f in (op1_fingerprints, op3_token_counts, op5_decontamination, op6_pii, op7_language_id, op8_packing, op9_simhash)
 }
 ORACLE: dict[str, str] = {}

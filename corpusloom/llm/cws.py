@@ -25,22 +25,34 @@ from pyspark.sql import types as T
 #: Samples of a fingerprint, words of a shingle, rows in a range of ids (about).
 SAMPLES, WORDS, RANGE_ROWS = 64, 5, 8192
 _ROWS = 512  # terms at a time: a block of terms by samples stays in a core's cache
-_M = 0xFF51AFD7ED558CCD
+#: Odd multipliers of the mixing steps.
+_M, _ODD = 0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C15
 
 
-def terms(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles, ascending, and how often each occurs; words are lower-cased runs between white space, and of
-    fewer words the whole sequence is one shingle."""
+def shingles(text: str, words: int = WORDS, known: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the shingles in turn; words are lower-cased runs between white space, and of fewer words the whole sequence
+    is one shingle. ``known`` are the first hashes, where the caller has them."""
     w = text.lower().split()
+    if known is None or len(w) < words:
+        known = np.zeros(0, np.uint64)
+    w = w[len(known) :]
     if not w:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    shingles = map(" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [" ".join(w)]
+        return known
+    parts = map(" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [" ".join(w)] if not len(known) else []
     digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter((digest(s) for s in shingles), np.uint64)
-    h, n = np.unique(h, return_counts=True)
+    return np.concatenate([known, np.fromiter((digest(s) for s in parts), np.uint64)])
+
+
+def weighted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, ascending, and how often each occurs."""
+    h, n = np.unique(hashes, return_counts=True)
     return h, n.astype(float)
 
 
+def terms(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    return weighted(shingles(text, words))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(33)
     x *= np.uint64(_M)
@@ -48,43 +60,69 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _quantiles(n: int) -> np.ndarray:
+    """Gamma(2, 1) at the middles of n equal shares of probability, by bisection of its distribution function."""
+    p = (np.arange(n) + 0.5) / n
+    low, high = np.zeros(n), np.full(n, 64.0)
+    for _ in range(60):
+        x = (low + high) / 2
+        under = 1 - (1 + x) * np.exp(-x) < p
+        low, high = np.where(under, x, low), np.where(under, high, x)
+    return (low + high) / 2
+
+
 class Sampler:
-    """Draws the k samples; the same on every worker."""
+    """Draws the k samples; the same on every worker.
+
+    The variates of a term and a sample come from 64 bits that mix the two: 16 of them pick c among 2^16 equally likely
+    values of its distribution, 16 others pick a pair of r and b, so no logarithm is taken for a term.
+    """
 
     def __init__(self, samples: int = SAMPLES, seed: int = 1) -> None:
         draw = np.random.Generator(np.random.PCG64(seed))
         self.k = samples
-        self.salts = [draw.integers(0, 1 << 64, samples, np.uint64) for _ in range(3)]
-
-    def values(self, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ln a and t of each term (row) and sample (column)."""
-        h = hashes[:, None]
-        # two uniforms of 32 bits from each of three hashes: r, c and b of a term and a sample
-        x, y, z = (_mix((h ^ s) * np.uint64(0x9E3779B97F4A7C15)) for s in self.salts)
-        low, half, tiny = np.uint64(0xFFFFFFFF), np.uint64(32), np.float32(1e-12)
-
-        def unit(v: np.ndarray) -> np.ndarray:
-            return (v.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
-
-        r = tiny - np.log(unit(x >> half) * unit(x & low))
-        c = tiny - np.log(unit(y >> half) * unit(y & low))
-        b = unit(z >> half)
-        t = np.floor(np.log(weights, dtype=np.float32)[:, None] / r + b)
-        return np.log(c) - r * (t - b) - r, t
+        self.salts = draw.integers(0, 1 << 64, samples, np.uint64)
+        gamma = _quantiles(1 << 16)
+        self.log_c = np.log(gamma).astype(np.float32)
+        self.r = gamma.astype(np.float32)
+        # steps of the golden ratio spread b evenly over every range of r
+        self.b = ((np.arange(1 << 16) + 0.5) * ((5**0.5 - 1) / 2) % 1).astype(np.float32)
+        self.one = self.r * (self.b - 1)  # what a term of weight 1, whose t is 0, adds to ln c
+
+    def values(self, hashes: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """ln a and t of each term (row) and sample (column); without weights all are 1 and t is 0."""
+        x = _mix((hashes[:, None] ^ self.salts) * np.uint64(_ODD)).view(np.uint16)
+        # the upper half of the bits, which are mixed best
+        c, k = self.log_c.take(x[:, 2::4]), x[:, 3::4]
+        if weights is None:
+            c += self.one.take(k)
+            return c, None
+        r, b = self.r.take(k), self.b.take(k)
+        t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + b)
+        return c - r * (t - b) - r, t
 
     def sample(self, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The signature of weighted terms: for each sample a hash of the term chosen and its t, and the value that won."""
         best = np.full(self.k, np.inf, np.float32)
         chosen = np.zeros(self.k, np.uint64)
-        for at in range(0, len(hashes), _ROWS):
-            h = hashes[at : at + _ROWS]
-            a, t = self.values(h, weights[at : at + _ROWS])
+        one = weights == 1
+        if not one.all():
+            # terms of weight 1, mostly all, need no t: they go first, in blocks of their own
+            order = np.argsort(~one, kind="stable")
+            hashes, weights = hashes[order], weights[order]
+        ones = int(one.sum())
+        for at in [*range(0, ones, _ROWS), *range(ones, len(hashes), _ROWS)]:
+            stop = min(at + _ROWS, ones if at < ones else len(hashes))
+            h = hashes[at:stop]
+            a, t = self.values(h, weights[at:stop] if at >= ones else None)
             row = a.argmin(0)
             columns = np.arange(self.k)
             low = a[row, columns]
             better = low < best
             best[better] = low[better]
-            code = h[row] * np.uint64(0x9E3779B97F4A7C15) + t[row, columns].astype(np.int64).view(np.uint64)
+            code = h[row] * np.uint64(_ODD)
+            if t is not None:
+                code += t[row, columns].astype(np.int64).view(np.uint64)
             chosen[better] = code[better]
         return chosen, best
 
@@ -99,11 +137,16 @@ def _short(chosen: np.ndarray) -> np.ndarray:
     return (_mix(chosen.copy()) >> np.uint64(32)).astype(np.uint32)
 
 
-def pair(text: str, edited: str, sampler: Sampler, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a text and of its edited form; the terms that both have with equal weights are drawn once."""
-    (h, n), (g, m) = terms(text, words), terms(edited, words)
+def pair(text: str, edited: str, kept: int, sampler: Sampler, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a text and of its edited form, whose first ``kept`` code points are the text's; the terms that both have
+    with equal weights are drawn once."""
+    own = shingles(text, words)
+    # shingles within the words that end before the cut
+    whole = len(text[:kept].split()) - words
+    h, n = weighted(own)
+    g, m = weighted(shingles(edited, words, own[:whole] if whole > 0 else None))
     if not len(h) or not len(g):
-        return signature(text, sampler, words), signature(edited, sampler, words)
+        return tuple(_short(sampler.sample(a, b)[0]) if len(a) else np.zeros(0, np.uint32) for a, b in ((h, n), (g, m)))
     at = np.minimum(np.searchsorted(g, h), len(g) - 1)
     same = (g[at] == h) & (m[at] == n)
     rest = np.ones(len(g), bool)
@@ -192,7 +235,7 @@ def fingerprint(docs: DataFrame, text: str = "text", id: str = "doc_id", samples
                 if waiting is not None and waiting[0] == part:
                     _, doc_before, text_before = waiting
                     edited = edited_text(text_before, text)
-                    own, other = pair(text_before, edited, sampler, words)
+                    own, other = pair(text_before, edited, len(text_before) - len(text_before) // 4, sampler, words)
                     if done is not None:
                         rows.append((*done[0], likeness(done[1], own)))
                     sha = hashlib.sha256(edited.encode()).hexdigest()

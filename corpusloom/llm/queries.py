@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import cws, decontam, langid, packing, pii, simhash, tokens
+from corpusloom.llm import chat, cws, decontam, langid, packing, pii, simhash, tokens, urlfilter, warc
 from corpusloom.sources.tables import table
 
 
@@ -14,10 +14,18 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +46,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op3_token_counts, op5_decontamination, op6_pii, op7_language_id, op8_packing, op9_simhash)
+    f.__name__: f for f in (
+        op1_fingerprints, op2_url_filter, op3_token_counts, op4_warc, op5_decontamination, op6_pii,
+        op7_language_id, op8_packing, op9_simhash, op10_chat,
+    )
 }
 ORACLE: dict[str, str] = {}

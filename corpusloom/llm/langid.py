@@ -22,41 +22,28 @@ from pyspark.sql import types as T
 
 #: n-grams of a profile and of a document's ranking; labelled documents of a language to fit on; languages at most.
 PROFILE, SAMPLE, LANGUAGES = 300, 4000, 1000
-#: Words whose n-grams a worker keeps before it starts anew, and the longest that it keeps.
-KEPT, KEPT_CHARS = 200_000, 32
 _WORDS = re.compile(r"[^\W\d_]+")
-_PAD = 0x20
-
-_kept: dict[str, np.ndarray] = {}
-
-
-def grams(word: str) -> np.ndarray:
-    """Codes of a word's n-grams, n = 1 to 3, with a space on either side; three code points of 21 bits make a code."""
-    p = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.int64)
-    q = np.concatenate([[_PAD], p, [_PAD]])
-    return np.concatenate([p, q[:-1] << 21 | q[1:], q[:-2] << 42 | q[1:-1] << 21 | q[2:]])
-
-
-def _of(word: str) -> np.ndarray:
-    found = _kept.get(word)
-    if found is None:
-        found = grams(word)
-        if len(word) <= KEPT_CHARS:
-            if len(_kept) >= KEPT:
-                _kept.clear()
-            _kept[word] = found
-    return found
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a whole text, ascending, and how often each occurs; words are runs of letters, lower-cased."""
+    """The distinct n-grams of a whole text, ascending, and how often each occurs.
+
+    Words are runs of letters, lower-cased, with a space on either side; n is 1 to 3, and three code points of 21 bits make
+    a code. The n-grams of each distinct word count as often as the word.
+    """
     words = {w: n for w, n in Counter(_WORDS.findall((text or "").lower())).items() if w.isalpha() or any(map(str.isalpha, w))}
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    parts = [_of(w) for w in words]
-    codes = np.concatenate(parts)
-    times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-    order = np.argsort(codes, kind="stable")
+    p = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), "<u4").astype(np.int64)
+    # how often the word of each letter occurs; 0 at the spaces
+    times = np.zeros(len(p), np.int64)
+    times[1:] = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(w) + 1 for w in words])
+    times[p == 0x20] = 0
+    inner = np.flatnonzero(times)
+    two = p[:-1] << 21 | p[1:]
+    codes = np.concatenate([p[inner], two, two[inner - 1] << 21 | p[inner + 1]])
+    times = np.concatenate([times[inner], np.maximum(times[:-1], times[1:]), times[inner]])
+    order = np.argsort(codes)
     codes, times = codes[order], times[order]
     first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
     return codes[first], np.add.reduceat(times, first)

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -205,9 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "
     kind = docs.schema[id].dataType
     out = None
     schema = T.StructType([T.StructField(id, kind), T.StructField(item_id, T.LongType()), T.StructField("score", T.DoubleType()), *(T.StructField(c, T.LongType()) for c in ("first_word", "after_word", "item_words"))])
-    for own, ids in _blocks(benchmark, item_text, item_id, items):
-        seeds = Seeds(own, rare_of(own, frequencies(docs, own, text, n), n) if own else set(), n)
-        shared = docs.sparkSession.sparkContext.broadcast((seeds, ids))
+    for shared in _shared(docs, benchmark, text, item_text, item_id, n, items):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             seeds, ids = shared.value
@@ -226,3 +225,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "
         part = docs.select(F.col(id), F.col(text).alias("text")).mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", n: int = SEED, items: int = ITEMS) -> DataFrame:
+    """The rows of ``docs`` in which ``leaks`` finds nothing, as they are; null and empty texts stay. A filter where the rows
+    lie: nothing is joined or shuffled."""
+    at = docs.columns.index(text)
+    clean = docs
+    for shared in _shared(docs, benchmark, text, item_text, item_id, n, items):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            seeds, _ = shared.value
+            for batch in batches:
+                yield batch.filter(pa.array([not seeds.found(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+        clean = clean.mapInArrow(run, docs.schema)
+    return clean
+
+
+def _shared(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, item_id: str, n: int, items: int) -> Iterator[Broadcast]:
+    """(seeds, item ids) of each block of the benchmark, broadcast: their size is bounded by the block's."""
+    for own, ids in _blocks(benchmark, item_text, item_id, items):
+        seeds = Seeds(own, rare_of(own, frequencies(docs, own, text, n), n) if own else set(), n)
+        yield docs.sparkSession.sparkContext.broadcast((seeds, ids))

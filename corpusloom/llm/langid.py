@@ -140,6 +140,17 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, T.StructType(fields))
 
 
+def identified(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are in some language (not `und`), as they are: a filter where the rows lie."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([profiles.predict(t.as_py())[0] != "und" for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> DataFrame:
     """``id``, held_out, lang_pred and score of each row; profiles are learned from the rows that are not held out."""
     profiles = fit(docs.where(~held_out(F.col(id))), text, lang, id)

@@ -169,7 +169,7 @@ def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Weights of a ridge logistic regression on soft labels, by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):

@@ -196,7 +196,7 @@ CLOSES = {
     "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p pre ul ol table div section article main blockquote".split())
-_MAX_DEPTH = 400
+_MAX_DEPTH = 200
 
 
 class _Tree(HTMLParser):
@@ -204,6 +204,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.open = [self.root]
+        self.deeper = 0  # open elements below the depth bound, whose text goes to the deepest one there is
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         ends, within = CLOSES.get(tag, (set(), set()))
@@ -216,12 +217,18 @@ class _Tree(HTMLParser):
                 del self.open[k:]
                 if tag in BLOCKS:
                     break
+        if len(self.open) >= _MAX_DEPTH:
+            self.deeper += tag not in VOID
+            return
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < _MAX_DEPTH:
+        if tag not in VOID:
             self.open.append(node)
 
     def handle_endtag(self, tag: str) -> None:
+        if self.deeper:
+            self.deeper -= 1
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
                 del self.open[k:]

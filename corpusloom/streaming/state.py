@@ -30,9 +30,9 @@ def unique_jobs(stream: DataFrame, key: list[str], at: str, within: str) -> Data
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark(key)
 
 
-def rate_limited(stream: DataFrame, rate: float, burst: float, key: str, at: str, idle_ms: int = 3_600_000) -> DataFrame:
+def rate_limited(stream: DataFrame, rate: float, burst: float, key: str, at: str, idle_ms: int | None = 3_600_000) -> DataFrame:
     """``key``, ``at``, allowed and retry_after of each request under its key's token bucket. The state of a key is two
-    numbers, dropped after ``idle_ms`` without a request, when the bucket is full again."""
+    numbers, dropped after ``idle_ms`` without a request, when the bucket is full again; None keeps it."""
     schema = T.StructType([stream.schema[key], stream.schema[at], T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType())])
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,13 +43,14 @@ def rate_limited(stream: DataFrame, rate: float, burst: float, key: str, at: str
         times = pd.concat([f[at] for f in frames]).sort_values()
         out = [bucket.take(pd.Timestamp(t).timestamp()) for t in times]
         state.update((bucket.tokens, bucket.at))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({key: name[0], at: times.to_numpy(), "allowed": [o[0] for o in out], "retry_after": [o[1] for o in out]})
 
-    return stream.select(key, at).groupBy(key).applyInPandasWithState(step, schema, "tokens double, at double", "append", "ProcessingTimeTimeout")
+    return stream.select(key, at).groupBy(key).applyInPandasWithState(step, schema, "tokens double, at double", "append", _timeout(idle_ms))
 
 
-def broken(stream: DataFrame, key: str, at: str, ok: str, failures: int = 5, cooldown: float = 30.0, idle_ms: int = 86_400_000) -> DataFrame:
+def broken(stream: DataFrame, key: str, at: str, ok: str, failures: int = 5, cooldown: float = 30.0, idle_ms: int | None = 86_400_000) -> DataFrame:
     """``key``, ``at`` and result of each call under its key's circuit breaker."""
     schema = T.StructType([stream.schema[key], stream.schema[at], T.StructField("result", T.StringType())])
 
@@ -62,10 +63,16 @@ def broken(stream: DataFrame, key: str, at: str, ok: str, failures: int = 5, coo
         calls = pd.concat(list(frames)).sort_values(at, kind="stable")
         results = [breaker.call(pd.Timestamp(t).timestamp(), bool(x)) for t, x in zip(calls[at], calls[ok], strict=True)]
         state.update((breaker.count, breaker.opened))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({key: name[0], at: calls[at].to_numpy(), "result": results})
 
-    return stream.select(key, at, ok).groupBy(key).applyInPandasWithState(step, schema, "count int, opened double", "append", "ProcessingTimeTimeout")
+    return stream.select(key, at, ok).groupBy(key).applyInPandasWithState(step, schema, "count int, opened double", "append", _timeout(idle_ms))
+
+
+def _timeout(idle_ms: int | None) -> str:
+    # with timeouts a query also runs batches without data, and so has no end of its own
+    return "ProcessingTimeTimeout" if idle_ms else "NoTimeout"
 
 
 def job_states(stream: DataFrame, job: str = "job_id", at: str = "at", state: str = "state") -> DataFrame:

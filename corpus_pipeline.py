@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, langid, packing, pii, scratch, simhash
 from corpusloom.session import ship
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):

@@ -7,43 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import chat, cws, decontam, langid, packing, pii, simhash, tokens, urlfilter, warc
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cws.fingerprint(table(spark, sf_dir, "documents"))
+    return cws.fingerprint(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    return urlfilter.judge(spread(table(spark, sf_dir, "pages")))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+    return tokens.count_tokens(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(spread(table(spark, sf_dir, "pages")))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,11 @@ then verified. At d = 4 that is 3 segments and 64 variants of a 64-bit fingerpri
 
 Plan: equal fingerprints are one node from the start (a group of exact copies of any size is one row). The variants of the
 distinct fingerprints are shuffled by key; a task reads its keys in order, compares what shares a key, and puts out only the
-links that connect, not the pairs. A key with more than ``BLOCK`` fingerprints is dealt out again, in blocks, so that each pair
-of blocks is a task's group of its own: memory is bounded, no pair is left out, and one hot key spreads over the cluster.
+links that connect, not the pairs. Keys of more than ``BLOCK`` fingerprints go another way: a sample tells them beforehand, so
+that their rows never meet in one task, and what it overlooks is handed on in blocks by the task that finds it. Heavy keys are
+cut into blocks by a hash of fingerprint and key, and linked within the blocks; as the same group of copies has some sixty
+heavy keys, each with other blocks, that connects it. Only the keys that then still hold several components have every pair
+of their blocks compared, each pair as a group of its own. Memory is bounded, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm import graph, scratch
 
 BITS, WORDS, DISTANCE, SEED, BLOCK = 64, 4, 4, 42, 2048
+#: One in so many fingerprints is looked at to tell heavy keys; heavy keys that are broadcast (16 bytes each), else joined.
+SAMPLED, BROADCAST_KEYS = 64, 100_000
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -190,15 +195,34 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
         yield from close()
 
     keyed = distinct.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key")).select("key", "fp")
-    grouped = keyed.repartition("key").sortWithinPartitions("key", "fp")
+    # keys that a sample shows to be heavy skip the path by key; which way a key goes does not change its links
+    sample = distinct.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(SAMPLED)) == 0)
+    counts = sample.select(F.explode(variants(F.col("fp"), distance)).alias("key")).groupBy("key").agg((F.count("*") * SAMPLED).alias("n")).where(F.col("n") > block)
+    known = scratch.stored(counts.select("key", F.ceil(F.col("n") / block).alias("parts")), "heavy-keys")
+    size = known.count()
+    small = F.broadcast(known) if size <= BROADCAST_KEYS else known
+    light = keyed.join(small, "key", "left_anti") if size else keyed
+    grouped = light.repartition("key").sortWithinPartitions("key", "fp")
     found = scratch.stored(grouped.mapInArrow(run, "a long, b long, key long, part long"), "links")
-    many = found.where("key is not null").select("key", "part", F.col("a").alias("fp"))
-    parts = many.groupBy("key").agg(F.max("part").alias("last"))
+    few = found.where("key is not null").select("key", F.col("a").alias("fp"))
+    first = found.where("key is null").select("a", "b")
+    sizes = few.groupBy("key").agg(F.ceil(F.count("*") / block).alias("parts"))
+    many = few.join(sizes, "key").unionByName(keyed.join(small, "key").select("key", "fp", "parts")) if size else few.join(sizes, "key")
+    # blocks of a heavy key, other ones for each key, so that what the keys link in their blocks joins up between them
+    many = scratch.stored(many.select("key", F.pmod(F.xxhash64("fp", "key"), F.col("parts")).alias("part"), "fp"), "heavy")
+    if many.isEmpty():
+        return first.distinct()
+    within = many.select("key", F.col("part").alias("i"), F.col("part").alias("j"), "fp").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
+    near_by = scratch.stored(first.union(within.mapInArrow(blocks, "a long, b long")).distinct(), "links")
+    # a heavy key whose fingerprints are all connected by now is done with; of the others every pair of blocks is compared
+    parts = graph.components(near_by).withColumnRenamed("node", "fp")
+    of = many.join(parts, "fp", "left").select("key", "part", "fp", F.coalesce("component", "fp").alias("component"))
+    apart = of.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("part").alias("last")).where("x <> y").select("key", "last")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("other")
-    dealt = many.join(parts, "key").select("key", "part", "fp", other)
+    dealt = many.join(apart, "key").select("key", "part", "fp", other).where("part <> other")
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    return found.where("key is null").select("a", "b").union(dealt.mapInArrow(blocks, "a long, b long")).distinct()
+    return near_by.union(dealt.mapInArrow(blocks, "a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", distance: int = DISTANCE, words: int = WORDS, seed: int = SEED) -> DataFrame:

@@ -85,7 +85,7 @@ def test_segments_meet(x, bits, distance):
     assert sum(w for _, w in simhash.segments(distance)) == 64
 
 
-@pytest.mark.parametrize("block", [3, 2048])
+@pytest.mark.parametrize("block", [3, 40, 2048])
 def test_links_connect_what_brute_force_does(spark, block):
     """A tight group of many fingerprints, chains and strangers; small blocks take the path of heavy keys."""
     draw = random.Random(block)

@@ -86,15 +86,23 @@ def reuse(chunks: DataFrame, embedded: DataFrame, model: str, hash: str = "chunk
     return chunks.join(known, hash), chunks.join(known, hash, "left_anti").groupBy(hash).agg(F.min("embed_text").alias("embed_text"))
 
 
+class Requests:
+    """The request that each text goes into, in order: a request is full at either bound; a text over the bound goes alone."""
+
+    def __init__(self, texts: int = BATCH_TEXTS, limit: int = BATCH_TOKENS) -> None:
+        self.texts, self.limit = texts, limit
+        self.number = self.held = self.size = 0
+
+    def take(self, tokens: int) -> int:
+        if self.size and (self.size == self.texts or self.held + tokens > self.limit):
+            self.number, self.held, self.size = self.number + 1, 0, 0
+        self.held, self.size = self.held + tokens, self.size + 1
+        return self.number
+
+
 def batch_numbers(tokens: pd.Series, texts: int = BATCH_TEXTS, limit: int = BATCH_TOKENS) -> list[int]:
-    """The request that each text goes into, in order: a request is full at either bound; one over the bound goes alone."""
-    out, held, size, now = [], 0, 0, 0
-    for t in tokens:
-        if size and (size == texts or held + t > limit):
-            now, held, size = now + 1, 0, 0
-        held, size = held + int(t), size + 1
-        out.append(now)
-    return out
+    requests = Requests(texts, limit)
+    return [requests.take(int(t)) for t in tokens]
 
 
 def embedded(missing: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, tokens: Callable[[str], int] | None = None, hash: str = "chunk_hash") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.times import utc
+from corpusloom.operators.folds import ordered_fold
 
 TERMINAL = ("succeeded", "failed", "cancelled")
 
@@ -31,11 +32,12 @@ def page_size(asked: int | None, default: int = 50, most: int = 200) -> int:
 
 
 def page_range(df: DataFrame, order: list[Column], page: int, size: int = 20) -> DataFrame:
-    """Page ``page`` (from 0) by offset; a page out of range is the nearest one there is."""
-    rows = df.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-    total = df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("_pages"))
-    at = F.greatest(F.lit(0), F.least(F.lit(page), F.col("_pages") - 1))
-    return rows.join(F.broadcast(total)).where((F.col("_n") > at * size) & (F.col("_n") <= (at + 1) * size)).drop("_n", "_pages")
+    """Page ``page`` (from 0) by offset; a page out of range is the nearest one there is. Only the rows up to the page's end are
+    ordered in one place; for deep pages use ``keyset``."""
+    last = max(0, -(-df.count() // size) - 1)
+    at = min(max(page, 0), last)
+    rows = df.orderBy(*order).limit((at + 1) * size).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    return rows.where(F.col("_n") > at * size).drop("_n")
 
 
 def job_states(events: DataFrame, job: str = "job_id", at: str = "at", state: str = "state", seq: str = "seq") -> DataFrame:
@@ -170,29 +172,24 @@ class Breaker:
 
 
 def rate_limited(requests: DataFrame, rate: float, burst: float, key: str = "key", at: str = "at", seq: str = "seq") -> DataFrame:
-    """``requests`` with allowed and retry_after, each key's in order of time. A key's requests are folded in turn; split a
-    key's history by ``streaming.state`` where it has no end."""
+    """``requests`` with allowed and retry_after, each key's in order of time."""
     schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType())])
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([at, seq])
-        bucket = TokenBucket(rate, burst)
-        out = [bucket.take(pd.Timestamp(t).timestamp()) for t in frame[at]]
-        return frame.assign(allowed=[o[0] for o in out], retry_after=[o[1] for o in out])
+    def step(bucket: TokenBucket, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [bucket.take(pd.Timestamp(t).timestamp()) for t in rows[at]]
+        return rows.assign(allowed=[o[0] for o in out], retry_after=[o[1] for o in out])
 
-    return requests.groupBy(key).applyInPandas(fold, schema)
+    return ordered_fold(requests, key, [at, seq], lambda: TokenBucket(rate, burst), step, schema)
 
 
 def broken(calls: DataFrame, key: str = "key", at: str = "at", seq: str = "seq", ok: str = "ok", failures: int = 5, cooldown: float = 30.0) -> DataFrame:
     """``calls`` with result: refused, ok or failed, under each key's circuit breaker."""
     schema = T.StructType([*calls.schema.fields, T.StructField("result", T.StringType())])
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([at, seq])
-        breaker = Breaker(failures, cooldown)
-        return frame.assign(result=[breaker.call(pd.Timestamp(t).timestamp(), bool(x)) for t, x in zip(frame[at], frame[ok], strict=True)])
+    def step(breaker: Breaker, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(result=[breaker.call(pd.Timestamp(t).timestamp(), bool(x)) for t, x in zip(rows[at], rows[ok], strict=True)])
 
-    return calls.groupBy(key).applyInPandas(fold, schema)
+    return ordered_fold(calls, key, [at, seq], lambda: Breaker(failures, cooldown), step, schema)
 
 
 def usable_keys(keys: DataFrame, now: datetime, scope: str | None = None) -> DataFrame:

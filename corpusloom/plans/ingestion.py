@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Window
+import pandas as pd
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.times import utc
 from corpusloom.operators import ingest
+from corpusloom.operators.folds import ordered_fold
 from corpusloom.plans.base import DataFrame, SparkSession, query, table
 
 NOW = datetime(2024, 6, 1)
 _T = "timestamp '2024-06-01 00:00:00'"
 
 
-def _days_ago(n) -> F.col:  # type: ignore[valid-type]
+def _days_ago(n: Column) -> Column:
     """A time whole days before NOW, without a zone."""
     return F.timestamp_add("DAY", -n, utc(NOW))
 
@@ -57,11 +59,10 @@ select source, doc_id, batch from f"""
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.ceil(F.octet_length("text") / 4).cast("long").alias("tokens"))
 
-    def fold(frame):
-        frame = frame.sort_values("doc_id")
-        return frame.assign(batch=ingest.batch_numbers(frame["tokens"], 16, 8000))[["source", "doc_id", "batch"]]
+    def step(requests: ingest.Requests, part: pd.DataFrame) -> pd.DataFrame:
+        return part.assign(batch=[requests.take(int(t)) for t in part["tokens"]])[["source", "doc_id", "batch"]]
 
-    return rows.groupBy("source").applyInPandas(fold, "source string, doc_id long, batch long")
+    return ordered_fold(rows, "source", ["doc_id"], lambda: ingest.Requests(16, 8000), step, "source string, doc_id long, batch long")
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

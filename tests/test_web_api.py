@@ -190,3 +190,13 @@ def test_table_store_swaps_whole_versions(spark, tmp_path):
     store.commit({"t": store.read("t").where("id > 0")})
     assert old.count() == 3 and store.read("t").count() == 2 and store.names() == ["t", "u"]
     assert store.vacuum() == 1 and store.read("t").count() == 2
+
+
+@pytest.mark.parametrize(
+    ("address", "blocked"),
+    [("8.8.8.8", False), ("10.0.0.1", True), ("127.0.0.1", True), ("169.254.169.254", True), ("::1", True), ("::ffff:192.168.0.1", True), ("fd00::1", True), ("2606:4700::1111", False), ("224.0.0.1", True), ("255.255.255.255", True), ("junk", True), (None, True)],
+)
+def test_blocked_addresses(address, blocked):
+    from corpusloom.functions.net import blocked as found
+
+    assert found(address) is blocked

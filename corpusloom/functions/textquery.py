@@ -17,8 +17,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.text import lexemes, spaced
-
 WEIGHT = 0.1
 _PART = re.compile(r'(-?)"([^"]*)"|(\S+)')
 _WORD = re.compile(r"[^\W_]+")
@@ -26,6 +24,14 @@ _WORD = re.compile(r"[^\W_]+")
 Phrase = tuple[str, ...]
 
 
+_EDGE = r"[\p{L}\p{N}]"
+
+
+def _pattern(p: Phrase) -> str:
+    """The phrase as whole words with anything but letters and digits between them; its words need no escapes."""
+    return f"(?<!{_EDGE})" + r"[^\p{L}\p{N}]+".join(p) + f"(?!{_EDGE})"
+
+
 @dataclass(frozen=True)
 class TextQuery:
     """(required phrases, excluded phrases) of each alternative."""
@@ -38,8 +44,15 @@ class TextQuery:
 
     def matches(self, text: Column) -> Column:
         """Whether a text satisfies the query; an empty query matches nothing."""
-        held = spaced(text)
-        has = lambda p: F.contains(held, F.lit(f" {' '.join(p)} "))
+        lower = F.lower(text)
+
+        def has(p: Phrase) -> Column:
+            # plain substring tests first: most texts fail one of them, and are spared the pattern
+            out = F.lit(True)
+            for w in p:
+                out &= F.contains(lower, F.lit(w))
+            return out & F.rlike(lower, F.lit(_pattern(p)))
+
         out = F.lit(False)
         for required, excluded in self.alternatives:
             one = F.lit(True)
@@ -54,7 +67,7 @@ class TextQuery:
         """Cover density of a text; 0 where it does not match."""
         single = {p for required, _ in self.alternatives for p in required}
         if len(single) == 1 and len(word := next(iter(single))) == 1:
-            n = F.size(F.filter(lexemes(text), lambda w: w == word[0]))
+            n = F.regexp_count(F.lower(text), F.lit(_pattern(word)))
             return F.when(self.matches(text), n * F.lit(WEIGHT)).otherwise(F.lit(0.0))
         query = self
 

@@ -6,7 +6,7 @@ list of at most k_vector + k_text ids is broadcast to the chunks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -99,14 +99,18 @@ def final_k(asked: int | None, setting: int | None, ceiling: int = MAX_K) -> int
     return min(k, ceiling)
 
 
-def hybrid(chunks: DataFrame, vector: list[float], text: str, filters: Filters | None = None, k_vector: int = K_VECTOR, k_text: int = K_TEXT, k: int = FINAL_K, id: str = "chunk_id") -> DataFrame:
-    """The chunks' rows with score, best first. Filters apply before either ranking."""
+def hybrid(chunks: DataFrame, vector: list[float], text: str, filters: Filters | None = None, k_vector: int = K_VECTOR, k_text: int = K_TEXT, k: int = FINAL_K, id: str = "chunk_id", texts: DataFrame | None = None, dealt: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The chunks' rows with score, best first. Filters apply before either ranking. ``texts`` are the
+    chunks without their vectors, where those are stored apart: then only the vector list reads the vectors. ``dealt`` may
+    spread the rows (id and content) whose text is ranked."""
     if not text.strip():
         raise ValueError("the query is blank")
-    kept = chunks.where(filters.condition()) if filters else chunks
-    best = fused([top_vector(kept, vector, k_vector, id), top_text(kept, text, k_text, id)], k, id)
+    texts = chunks if texts is None else texts
+    kept, read = ((df.where(filters.condition()) if filters else df) for df in (chunks, texts))
+    read = read.select(id, "content")
+    best = fused([top_vector(kept, vector, k_vector, id), top_text(dealt(read) if dealt else read, text, k_text, id)], k, id)
     # at most k rows
-    return chunks.join(F.broadcast(best), id).orderBy(F.col("score").desc(), F.col(id))
+    return texts.join(F.broadcast(best), id).orderBy(F.col("score").desc(), F.col(id))
 
 
 def top_vector_batch(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int = K_VECTOR, id: str = "chunk_id", embedding: str = "embedding") -> DataFrame:

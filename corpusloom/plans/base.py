@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table documents, dealt out over the cores for work that is heavy for its size."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     """Register a function of (spark, sf_dir) under its name, with equivalent SQL of DuckDB's where there is any."""
 
@@ -25,4 +30,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-__all__ = ["query", "table", "QUERIES", "ORACLE", "DataFrame", "SparkSession"]
+__all__ = ["documents", "query", "table", "QUERIES", "ORACLE", "DataFrame", "SparkSession"]

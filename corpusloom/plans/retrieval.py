@@ -10,21 +10,25 @@ from corpusloom.functions.times import utc
 from corpusloom.functions import textquery
 from corpusloom.functions.vector import cosine_distance, literal
 from corpusloom.operators import operations, retrieve
-from corpusloom.plans.base import DataFrame, SparkSession, query, table
+from corpusloom.plans.base import DataFrame, SparkSession, documents, query, table
+from corpusloom.sources.tables import spread
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id, source, uri, metadata, created_at, content, embedding (null where there is none)."""
-    docs = table(spark, sf_dir, "documents")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return docs.select(
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, source, uri, metadata, created_at, content."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"),
         "source",
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "lang", F.lit("/"), "doc_id").alias("uri"),
         F.to_json(F.struct("lang")).alias("metadata"),
         F.timestamp_add("DAY", F.pmod("doc_id", F.lit(365)), utc(datetime(2024, 1, 1))).alias("created_at"),
         F.col("text").alias("content"),
-    ).join(vectors, "chunk_id", "left")
+    )
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with an embedding (those without one cannot be in the vector list)."""
+    return texts(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
 
 
 def probe(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
@@ -79,7 +83,7 @@ def vec_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as r from
 (select doc_id, len(list_filter({_words('text')}, lambda w: w = '{WORD}')) * 0.1::double as score from documents) where score > 0 order by score desc, doc_id limit 40""")
 def text_topk_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieve.top_text(table(spark, sf_dir, "documents"), WORD, 40, id="doc_id", content="text")
+    best = retrieve.top_text(documents(spark, sf_dir), WORD, 40, id="doc_id", content="text")
     return best.select("doc_id", F.round("score", 6).alias("score"), F.col("r").cast("long").alias("r"))
 
 
@@ -87,24 +91,24 @@ def text_topk_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id from w where (contains(s, ' the ') and contains(s, ' of the ') and not contains(s, ' with ')) or contains(s, ' les ')""")
 def websearch_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = textquery.parse('the "of the" -with OR les')
-    return table(spark, sf_dir, "documents").where(q.matches(F.col("text"))).select("doc_id")
+    return documents(spark, sf_dir).where(q.matches(F.col("text"))).select("doc_id")
 
 
 @query()
 def text_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieve.top_text(table(spark, sf_dir, "documents"), 'the "of the" that OR les', 40, id="doc_id", content="text")
+    best = retrieve.top_text(documents(spark, sf_dir), 'the "of the" that OR les', 40, id="doc_id", content="text")
     return best.select("doc_id", F.round("score", 6).alias("score"), "r")
 
 
 @query(_lists())
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told(retrieve.hybrid(chunks(spark, sf_dir), probe(spark, sf_dir), WORD))
+    return _told(retrieve.hybrid(chunks(spark, sf_dir), probe(spark, sf_dir), WORD, texts=texts(spark, sf_dir), dealt=spread))
 
 
 @query(_lists("source in ('src0', 'src1', 'src2', 'src3') and lang = 'en' and starts_with(uri, 'https://src') and created_on >= date '2024-01-05' and created_on <= date '2024-11-30'"))
 def hybrid_rrf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = retrieve.Filters(["src0", "src1", "src2", "src3"], "https://src", datetime(2024, 1, 5), datetime(2024, 11, 30), {"lang": "en"})
-    return _told(retrieve.hybrid(chunks(spark, sf_dir), probe(spark, sf_dir), WORD, filters))
+    return _told(retrieve.hybrid(chunks(spark, sf_dir), probe(spark, sf_dir), WORD, filters, texts=texts(spark, sf_dir), dealt=spread))
 
 
 @query("""select vec_id, round(1.0::double / (60 + r), 6) as score from (select vec_id, row_number() over (order by vec_id) as r from embeddings) where r <= 10""")
@@ -130,7 +134,7 @@ def live_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select doc_id from documents where starts_with('https://' || source || '.example.com/' || lang || '/' || doc_id, 'https://src1.example.com/en/')""")
 def uri_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).where(retrieve.Filters(uri_prefix="https://src1.example.com/en/").condition()).select(F.col("chunk_id").alias("doc_id"))
+    return texts(spark, sf_dir).where(retrieve.Filters(uri_prefix="https://src1.example.com/en/").condition()).select(F.col("chunk_id").alias("doc_id"))
 
 
 @query("""select event_id from events where json_extract_string(props, '$.k') = '3'""")
@@ -183,7 +187,7 @@ def querylog_feedback_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select source, max(doc_id) filter (where lang = 'fr') as latest from documents group by source having max(doc_id) filter (where lang = 'fr') is not null""")
 def latest_by_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir).where(F.get_json_object("metadata", "$.lang") == "fr")
+    rows = texts(spark, sf_dir).where(F.get_json_object("metadata", "$.lang") == "fr")
     return rows.groupBy("source").agg(F.max("chunk_id").alias("latest"))
 
 
@@ -202,7 +206,7 @@ def rerank_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with q as (select list_distinct({_words("'the house of the rising sun'")}) as w)
 select doc_id, round(len(list_intersect(list_distinct({_words('text')}), w)) / cast(len(w) as double), 6) as rerank_score from documents, q""")
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = retrieve.lexical_scores(table(spark, sf_dir, "documents"), "the house of the rising sun", "doc_id", "text")
+    rows = retrieve.lexical_scores(documents(spark, sf_dir), "the house of the rising sun", "doc_id", "text")
     return rows.select("doc_id", F.round("rerank_score", 6).alias("rerank_score"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text, urls
 from corpusloom.operators import blocks, chunks
-from corpusloom.plans.base import DataFrame, SparkSession, query, table
+from corpusloom.plans.base import DataFrame, SparkSession, documents, query, table
 from corpusloom.sources import web
 
 _ONE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -15,20 +15,20 @@ _ONE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 @query(r"""select doc_id, cast(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) as bigint) as tokens from documents""")
 def approx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.approx_tokens(F.col("text")).cast("long").alias("tokens"))
+    return documents(spark, sf_dir).select("doc_id", text.approx_tokens(F.col("text")).cast("long").alias("tokens"))
 
 
 @query(f"""with p as (select doc_id, unnest(string_split(text, chr(10) || chr(10))) as para, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) as k from documents),
 c as (select doc_id, k, {_ONE.format('para')} as paragraph from p)
 select doc_id, row_number() over (partition by doc_id order by k) - 1 as position, paragraph from c where paragraph <> ''""")
 def text_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("position", "paragraph"))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("position", "paragraph"))
     return rows.select("doc_id", F.col("position").cast("long").alias("position"), "paragraph")
 
 
 @query(f"""select doc_id, case when length({_ONE.format('text')}) <= 240 then {_ONE.format('text')} else left({_ONE.format('text')}, 240) || '…' end as snippet from documents""")
 def snippet_240(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+    return documents(spark, sf_dir).select("doc_id", text.snippet(F.col("text")).alias("snippet"))
 
 
 @query("""select sha256(text) as content_hash, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1""")
@@ -39,7 +39,7 @@ def content_hash_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     parsed = blocks.documents_parsed(docs, "text/plain", "text")
     rows = chunks.exploded(parsed, "doc_id", 256, 32)
     return rows.select("doc_id", "position", "token_count", "chunk_hash", "content")

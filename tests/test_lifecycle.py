@@ -180,3 +180,18 @@ def test_streams(spark, tmp_path):
     assert done == [1]
     folded = run(state.job_states(df.selectExpr("n as job_id", "at", "if(ok, 'running', 'cancelled') as state")), "folded", "update")
     assert {r["state"] for r in folded} == {"running", "cancelled"}
+
+
+def test_folds_carry_their_state_over_batches(spark):
+    from corpusloom.operators.folds import ordered_fold
+
+    rows = [(k, n) for k in ("a", None, "b") for n in range(50)]
+    df = spark.createDataFrame(rows, "key string, n long").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ordered_fold(df, "key", ["n"], lambda: [0], lambda s, part: part.assign(total=[s.__setitem__(0, s[0] + n) or s[0] for n in part["n"]]), "key string, n long, total long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 150
+    assert all(r["total"] == r["n"] * (r["n"] + 1) // 2 for r in got)

@@ -203,7 +203,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray
     if not patterns:
         return np.zeros(FEATURES)
     posterior = reliabilities(patterns)
-    rows = found.orderBy("h", "kind", "votes", "features").limit(sample).collect()
+    rows = scratch.smallest(found, sum(n for _, _, n in patterns), sample, "h", "kind", "votes", "features").collect()
     x = np.array([r["features"] for r in rows], float)
     return logistic(x, np.array([posterior[r["kind"], tuple(r["votes"])] for r in rows]))
 

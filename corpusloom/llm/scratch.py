@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
@@ -41,3 +42,14 @@ def remove(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/corpusloom")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def smallest(df: DataFrame, total: int, n: int, key: str, *ties: str) -> DataFrame:
+    """The ``n`` rows of smallest ``key``, a 64-bit hash, of ``total`` rows: a sample that does not depend on partitions.
+
+    Rows whose hash cannot be among them, but for chance, are left out first: else every task would send ``n`` rows on.
+    """
+    share = min(1.0, (2 * n + 1000) / max(total, 1))
+    below = int(-(1 << 63) + share * ((1 << 64) - 1))
+    some = df.where(F.col(key) <= F.lit(min(below, (1 << 63) - 1))) if share < 1 else df
+    return some.orderBy(key, *ties).limit(n)

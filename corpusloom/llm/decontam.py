@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words of a seed; how much more frequent than the item's median n-gram a seed may be; items of a block (of 100 words).
-SEED, COMMON, ITEMS = 4, 4, 20_000
+SEED, COMMON, ITEMS = 4, 4, 5_000
 #: Longest item that is aligned in one piece.
 ITEM_WORDS = 256
 #: Share of the perfect alignment score from which a passage counts as the item's, and words that suffice for a part of one.

@@ -56,4 +56,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_language_id, op8_packing, op9_simhash, op10_chat,
     )
 }
-ORACLE: dict[str, str] = {}
+#: Base32 of a SHA-1: five hex digits at a time are four characters.
+_BASE32 = """array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((cast('0x' || substr(h, 5 * k + 1, 5) as bigint) >> b) & 31) + 1 as bigint), 1)), '')), '')"""
+
+ORACLE: dict[str, str] = {
+    "op4_warc": f"""with d as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h from pages), t as (select *, max(page_id) over (partition by h, n) as top from d)
+select page_id, n as payload_bytes, {_BASE32} as payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to from t""",
+    "op10_chat": r"""with c as (select conv_id, list({'r': role, 't': text} order by turn) as ts from conversations group by conv_id),
+u as (select min(conv_id) as conv_id, count(*) as n_copies, ts from c group by ts),
+p as (select distinct ts[1:k] as ts from (select ts, unnest(range(1, len(ts))) as k from u))
+select conv_id, cast(len(ts) as bigint) as n_turns, n_copies, array_to_string(list_transform(ts, lambda x: '<|im_start|>' || regexp_replace(coalesce(x.r, 'unknown'), '[\s<>|]+', '_', 'g') || chr(10)
+  || regexp_replace(coalesce(x.t, ''), '<\|(im_start|im_end)\|>', '<\1>', 'g') || '<|im_end|>' || chr(10)), '') as chat from u anti join p using (ts)""",
+}

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm import scratch
+
 #: Labelled URLs to fit on; trees, their depth, the step, histogram bins and the least rows of a leaf.
 SAMPLE, TREES, DEPTH, STEP, BINS, LEAF = 20_000, 60, 4, 0.15, 32, 20
 #: Pseudo-URLs, half of them blocked, that each suffix's share of blocked URLs starts from.
@@ -198,12 +200,14 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame
         known = own.where("k is not null").withColumn("label", F.get(blocks, F.col("k")))
     else:
         known = described(labelled.where("label is not null").select(F.col("url"), F.col("label").cast("int").alias("label")), "label")
-    suffixes = known.groupBy("suffix").agg(F.count("*").alias("urls"), F.sum("label").alias("blocked"))
+    suffixes = scratch.stored(known.groupBy("suffix").agg(F.count("*").alias("urls"), F.sum("label").alias("blocked")), "suffixes")
     # shrunk towards even odds, for labelled rows and others alike
     rate = ((F.coalesce("blocked", F.lit(0)) + SHRINK / 2) / (F.coalesce("urls", F.lit(0)) + SHRINK)).alias("suffix_rate")
     size = F.log(F.coalesce(F.col("urls"), F.lit(1)).cast("double")).alias("suffix_urls")
     columns = [*NUMBERS, "suffix_rate", "suffix_urls"]
-    rows = known.join(suffixes, "suffix").orderBy("h", "label").limit(sample).select(*NUMBERS, rate, size, "label")
+    total = suffixes.agg(F.sum("urls")).first()[0] or 0
+    some = scratch.smallest(known, total, sample, "h", "label")
+    rows = some.join(suffixes, "suffix").select(*NUMBERS, rate, size, "h", "label").orderBy("h", "label", *NUMBERS)
     taught = rows.select(*columns, "label").toPandas()
     model = Boosted().fit(taught[columns].to_numpy(float), taught["label"].to_numpy(float))
 

@@ -78,10 +78,12 @@ def scheduler_due_full7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations.due(sources, NOW).select("source_id", "mode")
 
 
-@query()
+@query("""with c as (select event_id, ts, unnest(list_transform(range(0, 16), lambda k: date_trunc('day', ts) + to_days(cast(k // 4 as integer)) + interval 3 hour + to_minutes(15 * (k % 4)))) as due from events where event_id % 2 = 0)
+select event_id, strftime(min(due), '%Y-%m-%d %H:%M:%S') as next_run_at from c where isodow(due) <= 5 and due > date_trunc('minute', ts) group by event_id
+union all select event_id, strftime(ts + interval 1 day, '%Y-%m-%d %H:%M:%S') from events where event_id % 2 = 1""")
 def scheduler_next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_id") % 2 == 0, "*/15 3 * * 1-5").otherwise("bad line").alias("schedule"))
-    return rows.select("event_id", operations.next_run_udf("schedule", "at").alias("next_run_at"))
+    return rows.select("event_id", F.date_format(operations.next_run_udf("schedule", "at"), "yyyy-MM-dd HH:mm:ss").alias("next_run_at"))
 
 
 @query("""select n_nationkey as tenant_id from nation n where n_regionkey <> 0 and not exists (select 1 from events e where e.user_id % 60 = n.n_nationkey and e.event_type = 'error' and e.event_id % 9 = 0 and e.ts > timestamp '2024-01-19 00:00:00')""")
@@ -232,13 +234,26 @@ def attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", state.alias("state"))
 
 
-@query()
+_SECONDS = "epoch_us(ts) / 1000000.0::double"
+
+
+@query(f"""with recursive q as (select 'tenant:' || user_id as key, event_id as seq, {_SECONDS} as t, row_number() over (partition by user_id order by ts, event_id) as n from events),
+f as (select key, seq, n, t, 3.0::double as held from q where n = 1
+ union all select q.key, q.seq, q.n, q.t, least(3.0::double, (case when f.held >= 1 then f.held - 1 else f.held end) + (q.t - f.t) * (1 / 3600.0::double)) from f join q on q.key = f.key and q.n = f.n + 1)
+select key, seq, held >= 1 as allowed, round(case when held >= 1 then 0.0::double else (1 - held) / (1 / 3600.0::double) end, 3) as retry_after from f""")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select(F.concat(F.lit("tenant:"), "user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
-    return operations.rate_limited(rows, 1 / 3600, 3)
+    return operations.rate_limited(rows, 1 / 3600, 3).select("key", "seq", "allowed", F.round("retry_after", 3).alias("retry_after"))
 
 
-@query()
+@query(f"""with recursive q as (select event_type as key, event_id as seq, {_SECONDS} as t, value < 10 as ok, row_number() over (partition by event_type order by ts, event_id) as n from events),
+r as (select *, case when ok then 'ok' else 'failed' end as result, case when ok then 0 else 1 end as fails, cast(null as double) as opened from q where n = 1
+ union all select q.key, q.seq, q.t, q.ok, q.n,
+  case when r.opened is not null and q.t - r.opened < 3600 then 'refused' when q.ok then 'ok' else 'failed' end,
+  case when r.opened is not null and q.t - r.opened < 3600 then r.fails when q.ok then 0 else r.fails + 1 end,
+  case when r.opened is not null and q.t - r.opened < 3600 then r.opened when q.ok then null when r.opened is not null or r.fails + 1 >= 3 then q.t else null end
+ from r join q on q.key = r.key and q.n = r.n + 1)
+select key, seq, result from r""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select(F.col("event_type").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), (F.col("value") < 10).alias("ok"))
-    return operations.broken(rows, failures=3, cooldown=3600.0)
+    return operations.broken(rows, failures=3, cooldown=3600.0).select("key", "seq", "result")

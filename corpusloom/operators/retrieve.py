@@ -6,11 +6,14 @@ list of at most k_vector + k_text ids is broadcast to the chunks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
+from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ class Filters:
     uri_prefix: str | None = None
     since: datetime | None = None
     until: datetime | None = None
-    tags: dict[str, str] = field(default_factory=dict)
+    tags: dict[str, Any] = field(default_factory=dict)
 
     def condition(self, source: str = "source", uri: str = "uri", created: str = "created_at", metadata: str = "metadata") -> Column:
         """One predicate of the filters that are set; it reaches the scan."""
@@ -47,7 +50,8 @@ class Filters:
         if self.until is not None:
             out &= F.col(created) <= utc(self.until)
         for k, v in sorted(self.tags.items()):
-            out &= F.get_json_object(metadata, f"$['{k}']").eqNullSafe(F.lit(v))
+            # plain texts are compared by the JVM; numbers, lists and objects by containment
+            out &= F.get_json_object(metadata, f"$['{k}']").eqNullSafe(F.lit(v)) if isinstance(v, str) else contained(F.col(metadata), {k: v})
         return out
 
 
@@ -60,6 +64,22 @@ def contains_json(outer: object, inner: object) -> bool:
     return outer == inner or isinstance(outer, list) and inner in [o for o in outer if not isinstance(o, dict | list)]
 
 
+def contained(metadata: Column, inner: Any) -> Column:
+    """Whether a JSON text holds a value; false for a null or a malformed text."""
+
+    @F.pandas_udf(T.BooleanType())
+    def test(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> bool:
+            try:
+                return text is not None and contains_json(json.loads(text), inner)
+            except ValueError:
+                return False
+
+        return texts.map(one)
+
+    return test(metadata)
+
+
 def live(chunks: DataFrame, documents: DataFrame, version: str = "version_id") -> DataFrame:
     """Chunks of the current versions of active documents: a semi-join."""
     current = documents.where("status = 'active'").select(F.col("current_version").alias(version))
@@ -166,8 +186,6 @@ def lexical_scores(candidates: DataFrame, question: str, id: str = "chunk_id", c
 def ranking_scores(answer: str, n: int) -> list[tuple[int, float]]:
     """(0-based candidate, score) from a model's answer: its first balanced list of 1-based numbers; bad and repeated ones are
     dropped, scores fall strictly."""
-    import json
-
     for start in (k for k, c in enumerate(answer) if c == "["):
         depth = 0
         for stop in range(start, len(answer)):

@@ -33,6 +33,7 @@ def test_golden_set(chunks):
     assert sorted(ids(chunks, uri_prefix="https://docs.acme.com/")[0]) == [1, 2]
     assert ids(chunks, uri_prefix="https://docs.acme.com/%")[0] == []
     assert ids(chunks, tags={"team": "support"})[0] == [1]
+    assert ids(chunks, tags={"team": ["support"]})[0] == [] and ids(chunks, tags={"team": "support", "n": 1})[0] == []
     assert ids(chunks, since=datetime(2030, 1, 1))[0] == []
     assert ids(chunks, since=datetime(2024, 5, 1), until=datetime(2024, 5, 1))[0] == order
     with pytest.raises(ValueError):
@@ -112,5 +113,11 @@ def test_json_containment():
     assert retrieve.contains_json([1, 2], 2)
 
 
+def test_nested_tags(spark):
+    rows = spark.createDataFrame([(1, '{"a":{"b":[1,2]},"n":3}'), (2, '{"a":{"b":[2]}}'), (3, "junk"), (4, None)], "id long, metadata string")
+    got = lambda **tags: [r["id"] for r in rows.where(retrieve.Filters(tags=tags).condition()).orderBy("id").collect()]
+    assert got(a={"b": [2]}) == [1, 2] and got(a={"b": [1]}, n=3) == [1]
+
+
 def test_final_k():
     assert [retrieve.final_k(a, s) for a, s in ((None, None), (0, 5), (7, 5), (1000, 5), (-1, None))] == [8, 5, 7, 100, 8]

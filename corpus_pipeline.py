@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, langid, packing, pii, scratch, simhash
+from corpusloom.llm import copies, decontam, langid, packing, pii, scratch
 from corpusloom.session import ship
 from corpusloom.sources.tables import spread, table
 
@@ -22,13 +22,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of exact and edited copies; of repeated rows of that id, one.
+    """Keeps the document of the smallest id of each group of exact copies and of texts linked by a five-word shingle similarity
+    of at least 0.8; of repeated rows of that id, one.
 
     A document without an id goes by a hash of its text, above all ids."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
     name = "key_" + "".join(docs.columns)  # no column of theirs
     keyed = docs.withColumn(name, key)
-    kept = simhash.near_groups(keyed.select(name, "text"), id=name).select(F.col("component_id").alias(name)).distinct()
+    kept = copies.near_copies(keyed.select(name, "text"), id=name).select(F.col("component_id").alias(name)).distinct()
     return keyed.join(kept, name, "left_semi").dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

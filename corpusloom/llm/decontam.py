@@ -1,16 +1,17 @@
 """Benchmark decontamination: documents that hold passages of test items, edited copies included.
 
-Method: the rare n-grams of each item are seeds. Where a document has seeds of an item, the words around them are aligned with
-the item by Smith-Waterman, and the score against a perfect match decides.
-
-Rare is meant within the item: a first scan counts, over all documents, in how many each n-gram of the benchmark occurs, and
-an n-gram is a seed unless it is ``COMMON`` times as frequent as the item's median one. The rarer half of an item's n-grams
-is always kept, so a passage that thousands of documents share is found like any other, while turns of phrase that any text
-may have start no alignments.
-
-Plan: two scans of the documents, nothing of them shuffled. The first puts out partial counts of the benchmark's n-grams.
-The second looks the seeds up in a table that each task holds; the benchmark is taken in blocks of ``ITEMS`` items so that the
-table has a fixed bound, with a scan more for each block. A task aligns a document where it lies, so a hit never moves text.
+Method: word pairs of each item are seeds, also where a document has one word put between the two. Where a document has as many
+of an item's seeds as a passage that counts must leave, the words around them are aligned with the item by Smith-Waterman,
+and the score against a perfect match decides.
+
+No passage that counts is lost by the seeds. Of an item of n words, let m be matched, and b of its pairs of matched neighbours
+have two or more words put between them. At half of a perfect score 2 m - (n - m) - 2 b >= n, and at least 2 m - n - 1 - b pairs
+are left, which is n / 3 - 1 or more; a part of ``PART_WORDS`` words at ``PART_SCORE`` leaves 16. How frequent a pair is in the
+documents does not matter, so a passage that thousands of them share is found like any other.
+
+Plan: one scan of the documents, nothing of them shuffled. It looks the pairs up in a table that each task holds; the benchmark
+is taken in blocks of ``ITEMS`` items so that the table has a fixed bound, with a scan more for each block. A task aligns a
+document where it lies, so a hit never moves text.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words of a seed; how much more frequent than the item's median n-gram a seed may be; items of a block (of 100 words).
-SEED, COMMON, ITEMS = 4, 4, 5_000
+#: Words below which an item only counts whole; items of a block (of 100 words).
+LEAST, ITEMS = 4, 5_000
 #: Longest item that is aligned in one piece.
 ITEM_WORDS = 256
 #: Share of the perfect alignment score from which a passage counts as the item's, and words that suffice for a part of one.
 SCORE, PART_WORDS, PART_SCORE = 0.5, 24, 0.8
+#: Seeds that a part of an item leaves at least.
+PART_SEEDS = 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = re.compile(r"\w+")
 
@@ -41,13 +44,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def grams_of(words: list[str] | tuple[str, ...], n: int = SEED) -> Iterator[tuple[str, ...]]:
-    """n-grams; of fewer words the whole sequence."""
-    if 0 < len(words) < n:
-        return iter((tuple(words),))
-    return zip(*(words[k:] for k in range(n)), strict=False)
-
-
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     """Smith-Waterman over word numbers: the best local score, and the words of ``a`` (start, stop) and of ``b`` it covers.
 
@@ -76,40 +72,79 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
 
 
 class Seeds:
-    """Seed table of a block of items: each seed's items with its places in them."""
-
-    def __init__(self, items: list[Item], rare: set[tuple[str, ...]] | None = None, n: int = SEED) -> None:
-        self.items, self.n = dict(items), n
-        self.at: dict[tuple[str, ...], list[tuple[int, int]]] = {}
-        for key, words in items:
-            for k, g in enumerate(grams_of(words, n)):
-                if rare is None or (key, g) in rare:
-                    self.at.setdefault(g, []).append((key, k))
-        self.short = sorted({len(g) for g in self.at if len(g) < n})
-
-    def hits(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """(item, diagonal, place in the document) of each seed found; items shorter than a seed match whole."""
-        out = []
-        for n in (self.n, *self.short):
-            if self.at.keys().isdisjoint(zip(*(words[k:] for k in range(n)), strict=False)):
+    """Seed table of a block of items: each pair of neighbouring words with its items."""
+
+    def __init__(self, items: list[Item]) -> None:
+        self.items = items
+        self.number: dict[str, int] = {}
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        codes, of = [], []
+        for k, (_, words) in enumerate(items):
+            if len(words) < LEAST:
+                self.short.setdefault(words, []).append(k)
                 continue
-            for place, g in enumerate(zip(*(words[k:] for k in range(n)), strict=False)):
-                out.extend((key, place - k, place) for key, k in self.at.get(g, ()))
+            w = np.array([self.number.setdefault(x, len(self.number)) for x in words], np.int64)
+            codes.append(w[:-1] << 32 | w[1:])
+            of.append(np.full(len(w) - 1, k))
+        code, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (codes, of))
+        order = np.argsort(code, kind="stable")
+        self.codes, self.first = np.unique(code[order], return_index=True)
+        self.of, self.after = at[order], np.r_[self.first[1:], len(order)].astype(np.int64)
+        self.need = np.array([min(max(1, -(-len(w) // 3) - 1), PART_SEEDS) for _, w in items], np.int64)
+
+    def places(self, words: list[str]) -> dict[int, np.ndarray]:
+        """Of each item with enough seeds among ``words``, where they are, ascending."""
+        w = np.fromiter((self.number.get(x, -1) for x in words), np.int64, len(words))
+        seeds, places = [], []
+        for step in (1, 2):
+            at = np.flatnonzero((w[:-step] >= 0) & (w[step:] >= 0))
+            code = w[at] << 32 | w[at + step]
+            seed = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
+            hit = self.codes[seed] == code if len(self.codes) else np.zeros(len(at), bool)
+            seeds.append(seed[hit])
+            places.append(at[hit])
+        seed, place = np.concatenate(seeds), np.concatenate(places)
+        if not len(seed):
+            return {}
+        met = np.unique(seed)
+        owners = np.concatenate([self.of[a:b] for a, b in zip(self.first[met], self.after[met], strict=True)])
+        which = np.repeat(met, self.after[met] - self.first[met])
+        out = {}
+        for k in np.flatnonzero(np.bincount(owners, minlength=len(self.items)) >= self.need):
+            own = np.isin(seed, which[owners == k])
+            if own.any():
+                out[int(k)] = np.sort(place[own])
         return out
 
+    def regions(self, words: list[str]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(item, stretches of ``words`` that hold each passage of it that may count). A passage has at most two words for one
+        of the item, so a longer stretch is cut with that overlap."""
+        for k, place in self.places(words).items():
+            n, need = 2 * len(self.items[k][1]) + 2, int(self.need[k])
+            first, last = place[: len(place) - need + 1], place[need - 1 :]
+            near = last - first <= n
+            out: list[tuple[int, int]] = []
+            for a, b in zip(first[near].tolist(), last[near].tolist(), strict=True):
+                a, b = max(0, b - n), min(len(words), a + n)
+                if out and a <= out[-1][1]:
+                    a, b = out[-1][0], max(b, out.pop()[1])
+                out.append((a, b))
+            yield k, [(x, min(b, x + 8 * n)) for a, b in out for x in range(a, max(a + 1, b - n), 7 * n)]
+        for m in sorted({len(x) for x in self.short}):
+            at: dict[int, list[tuple[int, int]]] = {}
+            for p, g in enumerate(zip(*(words[k:] for k in range(m)), strict=False)):
+                for k in self.short.get(g, ()):
+                    at.setdefault(k, []).append((p, p + m))
+            yield from at.items()
+
     def found(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """(item, score, first word, word after the last, aligned words of the item) of the best passage for each item."""
         words = words_of(text)
-        by_item: dict[int, list[int]] = {}
-        for key, diagonal, _ in self.hits(words):
-            by_item.setdefault(key, []).append(diagonal)
         out = []
-        for key, diagonals in sorted(by_item.items()):
-            item = self.items[key]
-            slack = len(item) // 2 + 8
+        for k, stretches in self.regions(words):
+            key, item = self.items[k]
             best = (0.0, 0, 0, 0)
-            for low, high in _runs(sorted(set(diagonals)), slack):
-                start, stop = max(0, low - slack), min(len(words), high + len(item) + slack)
+            for start, stop in stretches:
                 score, a, b, covered = self._align(words[start:stop], item)
                 best = max(best, (score, -(start + a), start + b, covered))
             score, first, after, covered = best
@@ -125,17 +160,6 @@ class Seeds:
         return align(a, b)
 
 
-def _runs(diagonals: list[int], slack: int) -> Iterator[tuple[int, int]]:
-    """Diagonals that one passage with insertions or deletions may give, as (lowest, highest)."""
-    low = high = diagonals[0]
-    for d in diagonals[1:]:
-        if d - high > slack or d - low > 4 * slack:
-            yield low, high
-            low = d
-        high = d
-    yield low, high
-
-
 def _blocks(benchmark: DataFrame, text: str, id: str, size: int) -> Iterator[tuple[list[Item], list[int | None]]]:
     """The benchmark in bounded blocks: parts of items with words, each with a number, and the item id of each number.
 
@@ -157,45 +181,7 @@ def _blocks(benchmark: DataFrame, text: str, id: str, size: int) -> Iterator[tup
     yield items, ids
 
 
-def frequencies(docs: DataFrame, items: list[Item], text: str, n: int) -> dict[tuple[str, ...], int]:
-    """In how many of all documents each n-gram of ``items`` occurs. The result is bounded by the items' n-grams."""
-    seeds = Seeds(items, None, n)
-    number = {g: k for k, g in enumerate(seeds.at)}
-    shared = docs.sparkSession.sparkContext.broadcast((number, [n, *seeds.short]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, lengths = shared.value
-        counts = np.zeros(len(number), np.int64)
-        for batch in batches:
-            for t in batch.column(0):
-                words = words_of(t.as_py())
-                for m in lengths:
-                    for g in number.keys() & set(zip(*(words[k:] for k in range(m)), strict=False)) if _any(number, words, m) else ():
-                        counts[number[g]] += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["gram", "n"])
-
-    rows = docs.select(F.col(text)).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    counts = {r["gram"]: r["n"] for r in rows}
-    return {g: counts.get(k, 0) for g, k in number.items()}
-
-
-def _any(table: dict, words: list[str], n: int) -> bool:
-    return not table.keys().isdisjoint(zip(*(words[k:] for k in range(n)), strict=False))
-
-
-def rare_of(items: list[Item], counts: dict[tuple[str, ...], int], n: int = SEED, common: float = COMMON) -> set[tuple[int, tuple[str, ...]]]:
-    """(item, n-gram) of each seed: not over ``common`` times as frequent as the item's median n-gram (1 at least)."""
-    out = set()
-    for key, words in items:
-        own = [(counts[g], g) for g in grams_of(words, n)]
-        if own:
-            middle = sorted(c for c, _ in own)[len(own) // 2]
-            out.update((key, g) for c, g in own if c <= common * max(1, middle))
-    return out
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", n: int = SEED, items: int = ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", items: int = ITEMS) -> DataFrame:
     """``id``, ``item_id``, score (1: the whole item, word for word), first_word, after_word and item_words of each passage of a
     test item that a document holds: the best one for each document and item.
 
@@ -206,7 +192,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "
     kind = docs.schema[id].dataType
     out = None
     schema = T.StructType([T.StructField(id, kind), T.StructField(item_id, T.LongType()), T.StructField("score", T.DoubleType()), *(T.StructField(c, T.LongType()) for c in ("first_word", "after_word", "item_words"))])
-    for shared in _shared(docs, benchmark, text, item_text, item_id, n, items):
+    for shared in _shared(docs, benchmark, item_text, item_id, items):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             seeds, ids = shared.value
@@ -227,12 +213,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", n: int = SEED, items: int = ITEMS) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", items: int = ITEMS) -> DataFrame:
     """The rows of ``docs`` in which ``leaks`` finds nothing, as they are; null and empty texts stay. A filter where the rows
     lie: nothing is joined or shuffled."""
     at = docs.columns.index(text)
     clean = docs
-    for shared in _shared(docs, benchmark, text, item_text, item_id, n, items):
+    for shared in _shared(docs, benchmark, item_text, item_id, items):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             seeds, _ = shared.value
@@ -243,8 +229,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     return clean
 
 
-def _shared(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, item_id: str, n: int, items: int) -> Iterator[Broadcast]:
+def _shared(docs: DataFrame, benchmark: DataFrame, item_text: str, item_id: str, items: int) -> Iterator[Broadcast]:
     """(seeds, item ids) of each block of the benchmark, broadcast: their size is bounded by the block's."""
     for own, ids in _blocks(benchmark, item_text, item_id, items):
-        seeds = Seeds(own, rare_of(own, frequencies(docs, own, text, n), n) if own else set(), n)
-        yield docs.sparkSession.sparkContext.broadcast((seeds, ids))
+        yield docs.sparkSession.sparkContext.broadcast((Seeds(own), ids))

@@ -151,3 +151,13 @@ def test_masking_leaves_the_rest_alone(spark, docs_of):
     assert pii.mask(docs).columns == docs.columns
     assert not any(any(brute(r["text"] or "").values()) for r in got.values())
     assert pii.mask(docs_of([])).count() == 0 and pii.find(docs_of([])).count() == 0
+
+
+def test_a_shared_half_of_an_item_is_found_however_many_share_it(spark, docs_of):
+    """Half an item in many documents, the rest in none: each of its pairs is far more frequent than the item's median."""
+    draw = random.Random(4)
+    item = words(draw, 59)
+    docs = docs_of([f"{' '.join(words(draw, 20))} {' '.join(item[:30])} {' '.join(words(draw, 5))}" for _ in range(60)] + ["nothing of it"])
+    benchmark = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert decontam.leaks(docs, benchmark).count() == 60
+    assert [r["doc_id"] for r in decontam.without_leaks(docs, benchmark).collect()] == [60]

@@ -161,3 +161,42 @@ def test_a_shared_half_of_an_item_is_found_however_many_share_it(spark, docs_of)
     benchmark = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
     assert decontam.leaks(docs, benchmark).count() == 60
     assert [r["doc_id"] for r in decontam.without_leaks(docs, benchmark).collect()] == [60]
+
+
+@pytest.mark.parametrize("every", [3, 4])
+def test_copies_with_every_third_or_fourth_word_edited(spark, docs_of, every):
+    draw = random.Random(every)
+    item = words(draw, 59)
+    docs = []
+    for k in range(every):
+        copy = ["new" if at % every == k else w for at, w in enumerate(item)]
+        docs.append(" ".join(words(draw, 30) + copy + words(draw, 30)))
+    benchmark = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    want = [k for k, t in enumerate(docs) if smith_waterman(decontam.words_of(t), item) >= len(item)]
+    assert len(want) >= every - 1
+    assert sorted(r["doc_id"] for r in decontam.leaks(docs_of(docs), benchmark).collect()) == want
+
+
+def test_seeds_lose_nothing_that_the_alignment_of_whole_texts_counts():
+    draw = random.Random(5)
+    items = [(k, tuple(words(draw, n))) for k, n in enumerate([4, 5, 6, 8, 11, 15, 20, 30, 45, 60, 120])]
+    seeds, met = decontam.Seeds(items), [0, 0]
+    for _ in range(1500):
+        _, item = draw.choice(items)
+        rate, text = draw.choice([0.1, 0.2, 0.3, 0.4, 0.6, 1.0]), []
+        kinds = draw.choice([["put"], ["drop"], ["swap"], ["put", "drop", "swap"]])
+        start = draw.randrange(len(item))
+        for w in item[start:] if draw.random() < 0.3 else item:
+            kind = draw.choice(kinds) if draw.random() < rate else ""
+            text += {"put": [w, "new"], "drop": [], "swap": ["new"], "": [w]}[kind]
+        around = [draw.choice(draw.choice(items)[1]) for _ in range(60)]
+        text = around[:30] + text + around[30:]
+        want = set()
+        for key, own in items:
+            score, _, _, covered = decontam.Seeds._align(text, own)
+            if score >= len(own) or covered >= 24 and score >= 1.6 * covered:
+                want.add(key)
+        got = {r[0] for r in seeds.found(" ".join(text))}
+        assert got == want
+        met[bool(want)] += 1
+    assert min(met) > 100

@@ -163,16 +163,19 @@ class Seeds:
 def _blocks(benchmark: DataFrame, text: str, id: str, size: int) -> Iterator[tuple[list[Item], list[int | None]]]:
     """The benchmark in bounded blocks: parts of items with words, each with a number, and the item id of each number.
 
-    An item of over ``ITEM_WORDS`` words is taken in parts, so that an alignment has a bound too.
+    An item of over ``ITEM_WORDS`` words is taken in parts, so that an alignment has a bound too. Neighbouring parts overlap by
+    2 * ``PART_WORDS`` words at least, so that a run of up to that many lies whole in one of them, and of a longer one enough.
     """
     items: list[Item] = []
     ids: list[int | None] = []
     held = 0
     for row in benchmark.select(F.col(id).alias("id"), F.col(text).alias("text")).where("text is not null").orderBy("id", "text").toLocalIterator():
         words = words_of(row["text"])
-        parts = -(-len(words) // ITEM_WORDS)
-        for k in range(parts):
-            items.append((len(ids), tuple(words[len(words) * k // parts : len(words) * (k + 1) // parts])))
+        over = len(words) - ITEM_WORDS
+        parts = max(0, -(-over // (ITEM_WORDS - 2 * PART_WORDS)))
+        for k in range(parts + 1 if words else 0):
+            start = max(0, over) * k // max(1, parts)
+            items.append((len(ids), tuple(words[start : start + ITEM_WORDS])))
             ids.append(row["id"])
         held += len(words)
         if len(items) >= size or held >= size * 100:

@@ -200,3 +200,15 @@ def test_seeds_lose_nothing_that_the_alignment_of_whole_texts_counts():
         assert got == want
         met[bool(want)] += 1
     assert min(met) > 100
+
+
+@pytest.mark.parametrize("n", [256, 257, 300, 600])
+def test_short_runs_anywhere_in_a_long_item(spark, docs_of, n):
+    draw = random.Random(n)
+    item = words(draw, n)
+    docs = docs_of([" ".join(words(draw, 10) + item[k : k + 24] + words(draw, 10)) for k in range(n - 23)])
+    benchmark = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert decontam.leaks(docs, benchmark).select("doc_id").distinct().count() == n - 23
+    ((parts, ids),) = decontam._blocks(benchmark, "text", "item_id", 1000)
+    assert set(ids) == {0} and max(len(w) for _, w in parts) <= 256
+    assert {w for _, part in parts for w in part} == set(item)

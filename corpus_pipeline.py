@@ -16,7 +16,8 @@ from corpusloom.sources.tables import spread, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null texts and texts without a letter. Profiles are learned from the documents that the
-    operator's split does not hold out."""
+    operator's split does not hold out; a text with letters has a nearest one, so letters alone decide, also where no document
+    has a language to learn from."""
     profiles = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.identified(docs, profiles)
 

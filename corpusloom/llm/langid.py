@@ -140,13 +140,18 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, T.StructType(fields))
 
 
+def _told(profiles: Profiles, text: str | None) -> bool:
+    return profiles.predict(text)[0] != "und" if profiles.langs else len(counted(text)[0]) > 0
+
+
 def identified(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are in some language (not `und`), as they are: a filter where the rows lie."""
+    """The rows of ``docs`` whose text has a letter, as they are: a filter where the rows lie. Any such text has a nearest language,
+    and without profiles (no row has a language to learn from) it is kept as well."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([profiles.predict(t.as_py())[0] != "und" for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([_told(profiles, t.as_py()) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -113,3 +113,10 @@ def test_accuracy_on_held_out_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
     assert got.where("lang_pred = lang").count() >= 0.97 * got.count()
+
+
+def test_a_table_without_languages_keeps_its_texts(spark, docs_of):
+    import corpus_pipeline
+
+    docs = docs_of([(0, "alba anda", None), (1, "12 %% ² _", None), (2, None, None), (3, "", None)])
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [0]

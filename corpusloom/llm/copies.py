@@ -4,7 +4,9 @@ Similarity is that of ``cws``: shared over all shingles, repeats counted, of wor
 text of fewer than five words is one shingle. Method: a prefix-filtered join. With shingles in any order that all texts share,
 two texts of similarity t have one in common among the first n - ceil(t n) + 1 of each, whatever their lengths. The order
 puts shingles that a sample shows to be common last, so that lines many texts share bring few of them together. What shares
-a key and passes the bounds by length and place is a candidate; each candidate is verified on whole shingle sets.
+a key and passes the bounds by length and place is a candidate. Two sets differ in at least as many shingles as the bits in
+which their parities differ, shingles dealt over 512 bits; that rules most candidates out, and the others are verified on
+whole shingle sets.
 
 Plan: equal texts are one node. Keys of few nodes are joined with themselves. Of keys of more than ``FEW``, each node is tried
 against the key's first and the one before it; only the keys that then still hold several components have the pairs between
@@ -30,6 +32,8 @@ WORDS, FEW, BLOCK = 5, 32, 512
 SAMPLED, SEEN, COMMON = 16, 3, 200_000
 #: Nodes whose shingle sets are asked for in one scan (8 bytes each in every task).
 ASKED = 4_000_000
+#: Bits of a sketch.
+PARITIES = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,6 +79,12 @@ def prefix(x: np.ndarray, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return x[: n - -(-4 * n // 5) + 1]
 
 
+def sketch(x: np.ndarray) -> np.ndarray:
+    """Parities of the shingles over ``PARITIES`` bits, as longs, and how many shingles there are."""
+    odd = np.bincount((x % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.r_[np.packbits(odd.astype(np.uint8)).view(np.int64), len(x)]
+
+
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,9 +119,14 @@ def _sets(docs: DataFrame, asked: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "node long, set array<long>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) of similarity 0.8 or more."""
-    pairs = scratch.stored(pairs.distinct(), "candidates")
+    one = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("s"))
+    two = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("t"))
+    last = PARITIES // 64
+    apart = sum((F.bit_count(F.col("s")[k].bitwiseXOR(F.col("t")[k])) for k in range(last)), F.lit(0))
+    may = pairs.distinct().join(one, "a").join(two, "b").where(apart * 9 <= F.col("s")[last] + F.col("t")[last])
+    pairs = scratch.stored(may.select("a", "b"), "candidates")
     ends = scratch.stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
     parts = max(1, -(-ends.count() // ASKED))
     sets = None
@@ -140,8 +155,13 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = pa.array([node_of(words_of(t.as_py())) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), node], names=[id, "node"])
+            nodes, found = [], []
+            for t in batch.column(1):
+                w = words_of(t.as_py())
+                nodes.append(node_of(w))
+                found.append(sketch(shingles(w)))
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[id, "node", "sketch"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, seen = shared.value
@@ -161,7 +181,8 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows, strict=True)], names=["key", "node", "n", "i"])
 
     kind = docs.schema[id].dataType.simpleString()
-    marked = scratch.stored(docs.select(F.col(id), F.col(text).alias("text")).mapInArrow(mark, f"`{id}` {kind}, node long"), "nodes")
+    marked = scratch.stored(docs.select(F.col(id), F.col(text).alias("text")).mapInArrow(mark, f"`{id}` {kind}, node long, sketch array<long>"), "nodes")
+    sketches = scratch.stored(marked.groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
     rows = texts.mapInArrow(keys, "key long, node long, n long, i long").withColumn("n", F.shiftleft("n", 32) + F.col("i")).drop("i")
     rows = rows.repartition("key").dropDuplicates(["key", "node", "n"])
     rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
@@ -181,7 +202,7 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
         o = F.col(other)
         near = tried.where((o["node"] < F.col("node")) & _may(F.col("n"), F.col("i"), o["n"], o["i"]))
         pairs = pairs.union(near.select(o["node"].alias("a"), F.col("node").alias("b")))
-    found = _verified(texts, pairs)
+    found = _verified(texts, pairs, sketches)
     parts = graph.components(found)
     # of the larger keys those that are not of one component by now: all pairs between components, in blocks
     of = large.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -193,10 +214,10 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
         one = side(rest, "a", "n", "i", block, F.col("component").alias("x"))
         two = side(rest, "b", "m", "j", every, F.col("component").alias("y"))
         met = one.join(two, ["key", "block"]).where((F.col("x") != F.col("y")) & (F.col("a") < F.col("b")) & may)
-        found = found.union(_verified(texts, met.select("a", "b")))
+        found = found.union(_verified(texts, met.select("a", "b"), sketches))
         parts = graph.components(found)
     least = marked.groupBy("node").agg(F.min(id).alias("least"))
     joined = least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     top = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = scratch.stored(joined.join(top, "component").select("node", "component_id"), "groups")
-    return marked.join(named, "node").select(id, "component_id")
+    return marked.select(id, "node").join(named, "node").select(id, "component_id")

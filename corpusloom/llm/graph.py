@@ -13,9 +13,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star steps, which keep every component connected and bring each node to its smallest
     neighbour, until the edges no longer change: a logarithmic number of rounds in practice. Each step aggregates per node
-    with partial sums on the map side and joins the minimum back, so that a node with very many neighbours is a skewed join,
-    which adaptive execution splits, and never a collected group. Edges are cut from their lineage each round. Nulls are
-    ignored, repeated edges and loops do no harm, and an empty table gives an empty result.
+    with partial sums on the map side and joins the minimum back. The minima are a stored table, so that a node with very many
+    neighbours is a skewed join of two plain scans, which adaptive execution splits, and never a collected group. Edges are cut
+    from their lineage each round. Nulls are ignored, repeated edges and loops do no harm, and an empty table gives an empty
+    result.
     """
     now = scratch.stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
     last = None
@@ -25,9 +26,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         last = state
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = scratch.stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
+        low = scratch.stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         near = large.join(low, "u")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = scratch.stored(small, "edges")

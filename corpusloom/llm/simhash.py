@@ -39,11 +39,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
         return 0
     shingles = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, seed) for s in shingles], "<u8")
+    return int(majority(np.array([digest(s, seed) for s in shingles], "<u8")).view(np.uint64))
+
+
+def majority(h: np.ndarray) -> np.int64:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 8192):
         ones += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -239,57 +243,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", dis
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     of = joined.join(named, "component").select("fp", "component_id")
     return marked.join(of, "fp").select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-#: Of ``near_groups``: differing bits of either fingerprint (three segments hold for five), and the words from which a text
-#: is known by its words; a shorter one is known by its whole sequence.
-WORD_DISTANCE, LEAST_WORDS = 5, 12
-
-
-def word_fingerprints(text: str | None, least: int = LEAST_WORDS) -> tuple[int, int]:
-    """Two independent SimHashes over the distinct words of a text, lower-cased runs between ASCII white space."""
-    w = (text or "").encode().lower().split()
-    if not w:
-        return 0, 0
-    parts = set(w) if len(w) >= least else [b" ".join(w)]
-    digest = xxhash.xxh3_128_digest
-    h = np.frombuffer(b"".join(map(digest, parts)), np.uint8).reshape(-1, 16)
-    ones = np.zeros(2 * BITS, np.int64)
-    for at in range(0, len(h), 8192):
-        ones += np.unpackbits(h[at : at + 8192], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    first, second = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
-    return int(first), int(second)
-
-
-def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", distance: int = WORD_DISTANCE) -> DataFrame:
-    """``id`` and component_id (the smallest ``id`` of its group) of each row: groups of exact and edited copies.
-
-    A few edits in a hundred words change one word in fifty but one shingle in ten, so a fingerprint of shingles is too far
-    off after them; this one is of distinct words, which unrelated texts share too few of to come near. Texts link where
-    either of two independent fingerprints differs in at most ``distance`` bits, by the same deletion variants: on the test
-    tables that catches nine in ten pairs of five-word shingle similarity 0.8 and more by one fingerprint, all but a few by
-    two, and no unrelated pair. Nulls and texts without words are a group; repeated rows stay.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([word_fingerprints(t.as_py()) for t in batch.column(1)], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1])], names=[id, "p", "q"])
-
-    kind = docs.schema[id].dataType.simpleString()
-    marked = scratch.stored(docs.select(F.col(id), F.col(text).alias("text")).mapInArrow(run, f"`{id}` {kind}, p long, q long"), "fingerprints")
-    nodes = scratch.stored(marked.groupBy("p", "q").agg(F.min(id).alias("least")), "nodes")
-    # the values of the first fingerprint and those of the second, renamed, are nodes of one graph, which a text's two join
-    second = F.xxhash64("fp", F.lit("second"))
-    ones, others = (links(nodes.select(F.col(c).alias("fp")).distinct(), distance) for c in ("p", "q"))
-    found = scratch.stored(ones.select("a", "b").union(others.select(*[F.xxhash64(c, F.lit("second")).alias(c) for c in ("a", "b")])), "found")
-    named = nodes.select("p", F.col("q").alias("fp"), "least").select("p", second.alias("q"), "least")
-    shared = [named.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(F.col(c).alias("node")) for c in ("p", "q")]
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).union(shared[0]).union(shared[1]).distinct()
-    # texts of which neither value is linked or shared are groups of their own and stay out of the graph
-    joined = named.join(ends.select(F.col("node").alias("p"), F.lit(1).alias("m")), "p", "left").join(ends.select(F.col("node").alias("q"), F.lit(1).alias("o")), "q", "left")
-    parts = graph.components(found.union(joined.where("m is not null or o is not null").select("p", "q")))
-    groups = named.join(parts.withColumnRenamed("node", "p"), "p", "left").select("p", "q", "least", F.coalesce("component", F.xxhash64("p", "q")).alias("component"))
-    top = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = groups.join(top, "component").select("p", "q", "component_id")
-    return marked.withColumn("q", F.xxhash64("q", F.lit("second"))).join(of, ["p", "q"]).select(id, "component_id")

@@ -78,6 +78,38 @@ def test_the_stage_keeps_the_same_words_in_another_order_and_drops_short_copies(
     assert {r["doc_id"] for r in kept.collect()} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("common", [200_000, 40])
+def test_shared_passages_with_more_of_their_own(spark, docs_of, monkeypatch, common):
+    """Texts around a passage of all of them, which a sample shows to be common, with few to many words of their own; and texts
+    made of the same lines in other orders. Some of the common shingles may be beyond those kept."""
+    monkeypatch.setattr(copies, "SAMPLED", 2)
+    monkeypatch.setattr(copies, "FEW", 4)
+    monkeypatch.setattr(copies, "BLOCK", 8)
+    monkeypatch.setattr(copies, "COMMON", common)
+    draw = random.Random(4)
+    passage = [word(draw) for _ in range(50)]
+    lines = [[word(draw) for _ in range(12)] for _ in range(6)]
+    texts = []
+    for k in range(60):
+        own = [word(draw) for _ in range(k % 16)]
+        texts.append(" ".join(passage + own if k % 2 else own + passage))
+        texts.append(" ".join(w for line in draw.sample(lines, draw.choice([4, 5, 6])) for w in line))
+    got = {r["doc_id"]: r["component_id"] for r in copies.near_copies(docs_of(texts)).collect()}
+    assert got == brute_groups(texts)
+
+
+def test_sketches_fold_and_never_rule_out_a_copy():
+    draw = random.Random(5)
+    for n in (3, 400, 600, 1300):
+        w = [word(draw).encode() for _ in range(n)]
+        x, y = copies.shingles(w), copies.shingles([*w[: n // 2], *w[n // 2 + n // 60 :]])
+        s, t = copies.sketch(x), copies.sketch(y)
+        k = min(len(s), len(t))
+        fold = lambda a: a if len(a) == k else a[:k] ^ a[k:]
+        bits = sum(int(v).bit_count() for v in (fold(s) ^ fold(t)).view("u8"))
+        assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
 def test_odd_rows(spark, docs_of):
     rows = [(5, None, None), (3, "", None), (9, "One two", None), (8, "one  two\n", None), (None, "other", None), (2, "two one", None)]
     got = {(r["doc_id"], r["component_id"]) for r in copies.near_copies(docs_of(rows)).collect()}

@@ -6,8 +6,8 @@ import pytest
 
 import corpus_pipeline
 from corpusloom.llm import pii
+from tests.llm.test_copies import brute_groups
 from tests.llm.test_decontam_pii import words
-from tests.llm.test_simhash import brute_word_groups
 
 NAMES = ["language_id", "near_dedup", "decontaminate", "mask_pii", "pack"]
 
@@ -52,10 +52,10 @@ def test_each_stage_on_its_own_input(spark, tables):
 
     unique = stage["near_dedup"](spark, kept, folder)
     assert unique.schema == docs.schema
-    part = brute_word_groups({t for _, t in row(kept)})
+    part = brute_groups([t for _, t in row(kept)])
     least = {}
-    for i, t in row(kept):
-        c = part[t]
+    for k, (i, t) in enumerate(row(kept)):
+        c = part[k]
         least[c] = min(least.get(c, (float("inf"), t)), (float("inf") if i is None else i, t))
     assert row(unique) == sorted(((None if i == float("inf") else i, t) for i, t in least.values()), key=str)
 

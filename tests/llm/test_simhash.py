@@ -43,33 +43,6 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
-def brute_word_groups(texts, distance=5):
-    """Each text's group, by plain comparison of all pairs of fingerprints."""
-
-    def prints(t):
-        w = t.lower().split() if t.isascii() else t.encode().lower().decode().split()
-        parts = {x.encode() for x in w} if len(w) >= 12 else {" ".join(w).encode()} if w else set()
-        bits = [int.from_bytes(xxhash.xxh3_128_digest(p), "little") for p in parts]
-        x = sum(1 << b for b in range(128) if 2 * sum(v >> b & 1 for v in bits) > len(bits))
-        return x & (1 << 64) - 1, x >> 64
-
-    texts = sorted(texts)
-    found = [prints(t) for t in texts]
-    name = list(range(len(texts)))
-
-    def top(k):
-        while name[k] != k:
-            k = name[k]
-        return k
-
-    for a in range(len(texts)):
-        for b in range(a):
-            if any((x ^ y).bit_count() <= distance for x, y in zip(found[a], found[b], strict=True)):
-                x, y = sorted((top(a), top(b)))
-                name[y] = x
-    return {t: top(k) for k, t in enumerate(texts)}
-
-
 def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
@@ -137,35 +110,3 @@ def test_components_of_a_path_a_star_and_loops(spark):
     got = {r["node"]: r["component"] for r in graph.components(df).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}, 200: 200, 201: 200}
     assert graph.components(df.limit(0)).count() == 0
-
-
-def test_edited_copies_group_and_strangers_do_not(spark, docs_of):
-    draw = random.Random(5)
-    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9)))
-    common = [word() for _ in range(40)]
-    texts, origin = [], []
-    for k in range(60):
-        w = [draw.choice(common) if draw.random() < 0.4 else word() for _ in range(draw.randint(3, 250))]
-        texts.append(" ".join(w))
-        origin.append(k)
-        for _ in range(draw.choice([0, 0, 1, 3])):
-            v = list(w)
-            for _ in range(len(v) // 80):
-                v[draw.randrange(len(v))] = word()
-            texts.append(" ".join(v))
-            origin.append(k)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs_of(texts)).collect()}
-    part = brute_word_groups(set(texts))
-    least = {}
-    for k, t in enumerate(texts):
-        least.setdefault(part[t], k)
-    assert got == {k: least[part[t]] for k, t in enumerate(texts)}
-    assert all(origin[k] == origin[c] for k, c in got.items())
-    assert sum(c == origin.index(origin[k]) for k, c in got.items()) >= 0.97 * len(texts)
-
-
-def test_near_groups_of_odd_rows(spark, docs_of):
-    rows = [(5, None, None), (3, "", None), (9, "One two", None), (8, "one  two\n", None), (None, "other", None), (2, "two one", None)]
-    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_groups(docs_of(rows)).collect()}
-    assert got == {(5, 3), (3, 3), (9, 8), (8, 8), (None, None), (2, 2)}
-    assert simhash.near_groups(docs_of([])).count() == 0

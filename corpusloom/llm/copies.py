@@ -14,7 +14,7 @@ rules out nearly all candidates below 0.75 before any set is read.
 
 Common shingles hold the hot groups, so their rows never meet by key: each text is tried against the one of its key, and of
 its block of the key, with the fewest rare shingles, and only the keys that then still hold several components have the
-others compared, in blocks. There a text with ``a`` rare shingles of n, one with ``b`` of m, and no rare one in common, as
+others compared with the rest, in blocks, by sketches where they meet. There a text with ``a`` rare shingles of n, one with ``b`` of m, and no rare one in common, as
 else the rare shingle's key has them, reach 0.8 only if 9 (a + b) <= n + m; so one of the two has 9 a <= n, and texts that
 add more of their own to a shared passage are never compared with each other.
 
@@ -164,6 +164,17 @@ def _apart(s: Column, t: Column) -> Column:
     return F.aggregate(bits, F.lit(0), lambda at, b: at + b)
 
 
+def _narrow(s: Column) -> Column:
+    """A sketch folded to ``PARITIES`` bits, as fields b0, b1, ..."""
+    n = PARITIES // 64
+
+    def folded(k: int) -> Column:
+        every = F.filter(s, lambda _, i: F.pmod(i, F.lit(n)) == k)
+        return F.aggregate(every, F.lit(0).cast("long"), lambda at, x: at.bitwiseXOR(x))
+
+    return F.struct(*[F.when(F.size(s) == n, s[k]).otherwise(folded(k)).alias(f"b{k}") for k in range(n)])
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of similarity 0.8 or more; a pair's sizes may not be further apart than that."""
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("s"))
@@ -256,10 +267,16 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
     apart = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rest = scratch.stored(named.join(apart, "key").select("key", "block", "last", "own", "component"), "rest")
     if not rest.isEmpty():
+        # of two that differ in component one is outside of the key's largest, and their sketches are compared where they meet
+        largest = rest.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"))
+        told = rest.join(largest, "key").join(nodes.select(F.col("node").alias("of"), _narrow(F.col("sketch")).alias("bits")), F.col("own.node") == F.col("of"))
+        told = told.select("key", "block", "last", "own", "component", "bits", (F.col("component") != F.col("largest")).alias("minor"))
         of_block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block")
-        one = rest.where("own.a * 9 <= own.n").select("key", of_block, F.col("own").alias("p"), F.col("component").alias("x"))
-        two = rest.select("key", "block", F.col("own").alias("q"), F.col("component").alias("y"))
-        met = one.join(two, ["key", "block"]).where((F.col("x") != F.col("y")) & ((F.col("p.node") < F.col("q.node")) | (F.col("q.a") * 9 > F.col("q.n"))) & _may(F.col("p"), F.col("q")))
+        one = told.where("minor").select("key", of_block, F.col("own").alias("p"), F.col("component").alias("x"), F.col("bits").alias("s"))
+        two = told.select("key", "block", F.col("own").alias("q"), F.col("component").alias("y"), F.col("bits").alias("t"), "minor")
+        once = ~F.col("minor") | (F.col("p.node") < F.col("q.node"))
+        bits = sum((F.bit_count(F.col(f"s.b{k}").bitwiseXOR(F.col(f"t.b{k}"))) for k in range(PARITIES // 64)), F.lit(0))
+        met = one.join(two, ["key", "block"]).where((F.col("x") != F.col("y")) & once & _may(F.col("p"), F.col("q")) & (bits * 9 <= F.col("p.n") + F.col("q.n")))
         more = _verified(texts, met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")), nodes)
         if not more.isEmpty():
             parts = graph.components(found.union(more))

@@ -5,6 +5,12 @@ loss, histogram splits) over the length, depth, digit ratio, entropy, parameter
 from labelled URLs. Any labelled table will do; by default the URLs that rules decide are the labelled ones, which teaches the
 trees what the lists' authors block.
 
+A labelled URL's suffix statistics leave out all URLs of its fold, so no tree sees a label in a feature. Folds are sets of
+hosts, or of rules where these are the labels: what the method has to judge then is just what no rule covers. The same folds
+are held out in turn to measure the trees. The verdict is block only from the score at which held-out URLs are blocked with the
+precision asked for; where no score reaches it, or the trees rank held-out URLs no better than ``SKILL``, the method allows
+what no rule decides, as a rule for part of a site says nothing about the rest of it.
+
 Plan: host, path, rules and all features are JVM expressions in one scan. Suffix statistics are a grouped aggregate over all
 labelled URLs, joined by suffix. The trees are fitted on a bounded sample of labelled rows (``SAMPLE``, those of smallest
 hash); scoring is one vectorised pass.
@@ -27,6 +33,8 @@ from corpusloom.llm import scratch
 SAMPLE, TREES, DEPTH, STEP, BINS, LEAF = 20_000, 60, 4, 0.15, 32, 20
 #: Pseudo-URLs, half of them blocked, that each suffix's share of blocked URLs starts from.
 SHRINK = 5.0
+#: Folds; the precision of block asked for (a lower bound, of 95 %) and the least area under the ROC curve, held out.
+FOLDS, PRECISION, SKILL = 4, 0.8, 0.65
 #: (verdict, host, path) of each rule.
 Rule = tuple[str, str, str]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -180,42 +188,99 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
+def area(score: np.ndarray, y: np.ndarray) -> float:
+    """Area under the ROC curve: how often a blocked URL scores above an allowed one, ties as half. 0.5 with one class."""
+    n = int((y == 1).sum())
+    if not n or n == len(y):
+        return 0.5
+    _, place, size = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(size) - (size - 1) / 2)[place]
+    return float((rank[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n)))
+
+
+def least_score(score: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    """The least score, 0.5 or more, from which the share of blocked URLs has ``precision`` as its lower bound (Wilson's, one
+    side, 95 %): midway to the next lower one of ``score``. Infinite where none has."""
+    order = np.argsort(-score, kind="stable")
+    s, right = score[order], np.cumsum(y[order])
+    n, z = np.arange(1, len(s) + 1), 1.645
+    p = right / n
+    low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    ends = np.r_[s[1:] != s[:-1], True] if len(s) else np.zeros(0, bool)
+    fit = np.flatnonzero(ends & (low >= precision) & (s >= 0.5))
+    return max(0.5, float(s[fit[-1]] + (s[fit[-1] + 1] if fit[-1] + 1 < len(s) else 0.0)) / 2) if len(fit) else float("inf")
+
+
+@dataclass
+class Fitted:
+    """The trees, the score from which they block, and how they did on folds that they had not seen."""
+
+    model: Boosted
+    threshold: float = float("inf")
+    area: float = 0.5
+    rows: int = 0
+
+
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Fitted:
+    """Trees of all rows; those of all folds but one score the rows of that one."""
+    held = np.full(len(y), 0.5)
+    for k in range(FOLDS):
+        own = fold == k
+        if own.any() and not own.all():
+            held[own] = Boosted().fit(x[~own], y[~own]).predict(x[own])
+    skill = area(held, y)
+    return Fitted(Boosted().fit(x, y), least_score(held, y) if skill >= SKILL else float("inf"), skill, len(y))
+
+
+def described(df: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, host, path, suffix, fold, a hash h and the features of column url."""
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    parts = df.select(*keep, "url", host.alias("host"), path.alias("path"))
+    fold = F.pmod(F.xxhash64("host", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    return parts.select(*keep, "host", "path", suffix_of(F.col("host")).alias("suffix"), fold, F.xxhash64("url").alias("h"), *features(F.col("url"), F.col("host"), F.col("path")))
+
+
+COLUMNS = [*NUMBERS, "suffix_rate", "suffix_urls"]
+
+
+def _suffix(urls: Column, blocked: Column) -> list[Column]:
+    """Suffix statistics, the share of blocked URLs shrunk towards even odds."""
+    return [((blocked + SHRINK / 2) / (urls + SHRINK)).alias("suffix_rate"), F.log1p(urls.cast("double")).alias("suffix_urls")]
+
+
+def learned(known: DataFrame, sample: int = SAMPLE) -> tuple[Fitted, DataFrame]:
+    """What ``described`` URLs with a label teach, and the labelled URLs of each suffix (suffix, urls, blocked)."""
+    by_fold = scratch.stored(known.groupBy("suffix", "fold").agg(F.count("*").alias("u"), F.sum("label").alias("b")), "suffixes")
+    suffixes = by_fold.groupBy("suffix").agg(F.sum("u").alias("urls"), F.sum("b").alias("blocked"))
+    total = by_fold.agg(F.sum("u")).first()[0] or 0
+    rows = scratch.smallest(known, total, sample, "h", "label").join(by_fold, ["suffix", "fold"]).join(suffixes, "suffix")
+    rows = rows.select(*NUMBERS, *_suffix(F.col("urls") - F.col("u"), F.col("blocked") - F.col("b")), "h", "label", "fold").orderBy("h", "label", *NUMBERS)
+    taught = rows.select(*COLUMNS, "label", "fold").toPandas()
+    return fit(taught[COLUMNS].to_numpy(float), taught["label"].to_numpy(float), taught["fold"].to_numpy()), suffixes
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame | None = None, url: str = "url", id: str = "page_id", sample: int = SAMPLE) -> DataFrame:
     """``id``, host, path, rule (like ``net/``; null if none fits), verdict (allow or block) and score (the trees' probability
     of block) of each row.
 
     ``labelled`` has columns url and label (1: block); by default the rows that a rule decides. Null urls, repeated rows and
-    urls without a host are judged like others; without labelled URLs the score is 0.5 and undecided URLs are allowed. An
-    empty table gives an empty result.
+    urls without a host are judged like others; without labelled URLs the score is 0.5. URLs that no rule decides are blocked
+    from the score that ``fit`` finds, else allowed. An empty table gives an empty result.
     """
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-
-    def described(df: DataFrame, *keep: str) -> DataFrame:
-        with_parts = df.select(*keep, "url", host.alias("host"), path.alias("path"))
-        return with_parts.select(*keep, "host", "path", suffix_of(F.col("host")).alias("suffix"), F.xxhash64("url").alias("h"), *features(F.col("url"), F.col("host"), F.col("path")))
-
     blocks = F.array(*[F.lit(int(v == "block")) for v, _, _ in rules]) if rules else F.array().cast("array<int>")
     own = described(pages.select(F.col(id).alias("id"), F.col(url).alias("url")), "id").withColumn("k", deciding(F.col("host"), F.col("path"), rules))
     if labelled is None:
-        known = own.where("k is not null").withColumn("label", F.get(blocks, F.col("k")))
+        known = own.where("k is not null").withColumn("label", F.get(blocks, F.col("k"))).withColumn("fold", F.col("k") % FOLDS)
     else:
         known = described(labelled.where("label is not null").select(F.col("url"), F.col("label").cast("int").alias("label")), "label")
-    suffixes = scratch.stored(known.groupBy("suffix").agg(F.count("*").alias("urls"), F.sum("label").alias("blocked")), "suffixes")
-    # shrunk towards even odds, for labelled rows and others alike
-    rate = ((F.coalesce("blocked", F.lit(0)) + SHRINK / 2) / (F.coalesce("urls", F.lit(0)) + SHRINK)).alias("suffix_rate")
-    size = F.log(F.coalesce(F.col("urls"), F.lit(1)).cast("double")).alias("suffix_urls")
-    columns = [*NUMBERS, "suffix_rate", "suffix_urls"]
-    total = suffixes.agg(F.sum("urls")).first()[0] or 0
-    some = scratch.smallest(known, total, sample, "h", "label")
-    rows = some.join(suffixes, "suffix").select(*NUMBERS, rate, size, "h", "label").orderBy("h", "label", *NUMBERS)
-    taught = rows.select(*columns, "label").toPandas()
-    model = Boosted().fit(taught[columns].to_numpy(float), taught["label"].to_numpy(float))
-
-    ready = own.join(suffixes, "suffix", "left").select("id", "host", "path", "k", *NUMBERS, rate, size)
+    taught, suffixes = learned(known, sample)
+    model = taught.model
+    none = F.lit(0)
+    ready = own.join(suffixes, "suffix", "left").select("id", "host", "path", "k", *NUMBERS, *_suffix(F.coalesce("urls", none), F.coalesce("blocked", none)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[4:]], 1) if batch.num_rows else np.zeros((0, len(columns)))
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[4:]], 1) if batch.num_rows else np.zeros((0, len(COLUMNS)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(model.predict(x))], names=["id", "host", "path", "k", "score"])
 
     kind = pages.schema[id].dataType
@@ -223,5 +288,5 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame
     judged = ready.mapInArrow(run, schema)
     names = F.array(*[F.lit(h + p) for _, h, p in rules]) if rules else F.array().cast("array<string>")
     verdicts = F.array(*[F.lit(v) for v, _, _ in rules]) if rules else F.array().cast("array<string>")
-    by_score = F.when(F.col("score") > 0.5, "block").otherwise("allow")
+    by_score = F.when(F.col("score") >= taught.threshold, "block").otherwise("allow")
     return judged.select(F.col("id").alias(id), "host", "path", F.get(names, F.col("k")).alias("rule"), F.coalesce(F.get(verdicts, F.col("k")), by_score).alias("verdict"), "score")

@@ -29,6 +29,65 @@ def words(draw, n):
     return [f"{draw.choice('bcdfgh')}{draw.choice('aeiou')}{draw.choice('lmnrst')}{draw.randrange(60)}" for _ in range(n)]
 
 
+def brute_leaks(docs, items):
+    """(document, item, score) of what counts, by a full table over the whole text and the whole item."""
+    out = set()
+    for d, text in enumerate(docs):
+        a = decontam.words_of(text)
+        for k, item in items:
+            b = decontam.words_of(item)
+            h = [[(0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]  # score, and minus the start in b
+            ends = []
+            for i in range(1, len(a) + 1):
+                for j in range(1, len(b) + 1):
+                    steps = [(h[i - 1][j - 1], 2 if a[i - 1] == b[j - 1] else -1), (h[i - 1][j], -1), (h[i][j - 1], -1)]
+                    h[i][j] = max([(s + x, start) for (s, start), x in steps] + [(0, j)])
+                    ends.append((h[i][j][0], j - h[i][j][1]))
+            score = max([s for s, _ in ends], default=0)
+            whole = len(b) < 4 and any(a[i : i + len(b)] == b for i in range(len(a)))
+            if b and score and (score >= len(b) if len(b) > 3 else whole) or any(s == score and c >= 24 and s >= 1.6 * c for s, c in ends):
+                out.add((d, k, round(score / (2 * len(b)), 6)))
+    return out
+
+
+@pytest.mark.parametrize("bits", [27, 6])
+def test_the_whole_query_against_brute_force(spark, docs_of, monkeypatch, bits):
+    """Edits of all kinds and amounts around the threshold, few words (so that pairs repeat), shared passages, copies; also with a
+    bitmap that lets nearly everything pass and with shuffled joins instead of broadcasts."""
+    monkeypatch.setattr(decontam, "BITS_MOST", bits)
+    monkeypatch.setattr(decontam, "BITS_LEAST", 6)
+    monkeypatch.setattr(decontam, "ASKED", 1_000_000 if bits > 6 else 0)
+    draw = random.Random(7)
+    few = words(draw, 25)
+    items = [(k, " ".join(words(draw, n))) for k, n in enumerate([4, 6, 9, 14, 20, 33, 60])]
+    items += [(10, " ".join(draw.choice(few) for _ in range(30))), (11, "yes sir"), (12, "alone"), (13, "a b a b a b a b"), (14, "A, b! a b a c"), (15, None), (15, " ?! ")]
+    docs = []
+    for k in range(90):
+        passage = decontam.words_of(items[k % 11][1])
+        if k % 3:
+            every = draw.choice([2, 3, 4, 6, 10])
+            for at in range(draw.randrange(every), len(passage), every):
+                passage[at : at + 1] = draw.choice([["new"], ["new", "two"], [], [passage[at]] * 2]) if at < len(passage) else []
+        if k % 5 == 0:
+            passage = passage[: len(passage) // 2]
+        docs.append(" ".join([draw.choice(few) for _ in range(draw.randrange(12))] + passage + words(draw, draw.randrange(8))))
+    docs += [docs[0], docs[0], None, "", "a b a b a b", "Yes, sir alone", "yes no sir"]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], round(r["score"], 6)) for r in decontam.leaks(docs_of(docs), benchmark).collect()}
+    want = brute_leaks(docs, items)
+    assert {x[:2] for x in got} == {x[:2] for x in want}
+    assert got == want
+    kept = decontam.without_leaks(docs_of(docs), benchmark).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(range(len(docs))) - {d for d, _, _ in want})
+
+
+def test_ids_of_one_name(spark, docs_of):
+    benchmark = spark.createDataFrame([("x", "one two three four five", 1)], "doc_id string, text string, t int")
+    docs = docs_of(["well one two three four five", None]).withColumnRenamed("lang", "t")
+    got = decontam.leaks(docs, benchmark, item_id="doc_id")
+    assert got.columns[:2] == ["doc_id", "item_id"] and [(r["doc_id"], r["item_id"]) for r in got.collect()] == [(0, "x")]
+
+
 def test_planted_passages_are_found_and_clean_documents_are_not(spark, docs_of):
     draw = random.Random(1)
     items = [words(draw, draw.randint(8, 60)) for _ in range(20)]
@@ -49,9 +108,8 @@ def test_planted_passages_are_found_and_clean_documents_are_not(spark, docs_of):
     docs += [None, "", "too short", " ".join(items[3]) + " filler" * 50_000]
     planted[203] = 3
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, ""), (None, "of no id at all")], "item_id long, text string")
-    for size in (1000, 7):  # in one block and in several
-        got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(docs), benchmark, items=size).collect()}
-        assert got == set(planted.items())
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(docs), benchmark).collect()}
+    assert got == set(planted.items())
     clean = decontam.without_leaks(docs_of(docs).withColumnRenamed("source", "score"), benchmark)
     assert {r["doc_id"] for r in clean.collect()} == set(range(len(docs))) - set(planted)
     assert clean.columns == ["doc_id", "text", "lang", "score", "n_chars"]
@@ -180,7 +238,7 @@ def test_copies_with_every_third_or_fourth_word_edited(spark, docs_of, every):
 def test_seeds_lose_nothing_that_the_alignment_of_whole_texts_counts():
     draw = random.Random(5)
     items = [(k, tuple(words(draw, n))) for k, n in enumerate([4, 5, 6, 8, 11, 15, 20, 30, 45, 60, 120])]
-    seeds, met = decontam.Seeds(items), [0, 0]
+    met = [0, 0]
     for _ in range(1500):
         _, item = draw.choice(items)
         rate, text = draw.choice([0.1, 0.2, 0.3, 0.4, 0.6, 1.0]), []
@@ -193,10 +251,12 @@ def test_seeds_lose_nothing_that_the_alignment_of_whole_texts_counts():
         text = around[:30] + text + around[30:]
         want = set()
         for key, own in items:
-            score, _, _, covered = decontam.Seeds._align(text, own)
+            number = {w: n for n, w in enumerate(dict.fromkeys(own))}
+            a, b = (np.array([number.get(w, -1) for w in t]) for t in (text, own))
+            score, _, _, covered = decontam.align(a, b)
             if score >= len(own) or covered >= 24 and score >= 1.6 * covered:
                 want.add(key)
-        got = {r[0] for r in seeds.found(" ".join(text))}
+        got = {key for key, own in items if decontam.passage(text, list(own))}
         assert got == want
         met[bool(want)] += 1
     assert min(met) > 100
@@ -209,6 +269,3 @@ def test_short_runs_anywhere_in_a_long_item(spark, docs_of, n):
     docs = docs_of([" ".join(words(draw, 10) + item[k : k + 24] + words(draw, 10)) for k in range(n - 23)])
     benchmark = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
     assert decontam.leaks(docs, benchmark).select("doc_id").distinct().count() == n - 23
-    ((parts, ids),) = decontam._blocks(benchmark, "text", "item_id", 1000)
-    assert set(ids) == {0} and max(len(w) for _, w in parts) <= 256
-    assert {w for _, part in parts for w in part} == set(item)

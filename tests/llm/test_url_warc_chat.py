@@ -58,6 +58,47 @@ def test_features_against_plain_python(spark):
         assert r["parameters"] == (len(query.replace(";", "&").split("&")) if query else 0)
 
 
+def pages_of(spark, draw, junk, others):
+    """URLs of 40 sites under four rules and of 20 under none; a URL under a rule whose name starts with ``junk`` is long, deep and
+    full of digits, and so are half of those under none."""
+    rules = tuple(urlfilter.rule("block" if d.startswith("bads") else "allow", f"{d}/") for d in ("bads-one.test", "bads-two.test", "news-one.test", "news-two.test"))
+    rows = []
+    for k in range(2400):
+        domain = draw.choice(["bads-one.test", "bads-two.test", "news-one.test", "news-two.test", *others])
+        odd = domain.startswith(junk) if domain not in others else draw.random() < 0.5
+        tail = "/".join(str(draw.randrange(10**6)) for _ in range(5)) + f"?id={draw.randrange(10**9)}&ref={draw.randrange(10**6)}" if odd else "story-" + draw.choice(["of-the-day", "one", "today"])
+        rows.append((k, f"http://w{draw.randrange(10)}.{domain}/{tail}", odd))
+    return rules, rows, spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+
+
+def test_the_registered_path_has_skill_on_urls_that_no_rule_covers(spark):
+    draw = random.Random(2)
+    rules, rows, pages = pages_of(spark, draw, "bads", ["blog-one.test", "blog-two.test"])
+    odd = {k: o for k, _, o in rows}
+    got = [(r["verdict"] == "block", odd[r["page_id"]]) for r in urlfilter.judge(pages, rules).where("rule is null").collect()]
+    assert np.mean([v == o for v, o in got]) > 0.95 and 0.3 < np.mean([v for v, _ in got]) < 0.7
+
+
+def test_what_rules_do_not_teach_is_allowed(spark):
+    """The same URLs where they are odd under one rule that blocks and one that allows: trees fit the rules, but not new ones."""
+    rules, rows, pages = pages_of(spark, random.Random(3), ("bads-one", "news-one"), ["blog-one.test"])
+    verdicts = {r["verdict"] for r in urlfilter.judge(pages, rules).where("rule is null").collect()}
+    assert verdicts == {"allow"}
+
+
+def test_area_and_threshold_against_brute_force():
+    draw = random.Random(4)
+    for _ in range(60):
+        n = draw.randint(1, 60)
+        s, y = np.array([draw.randrange(12) / 11 for _ in range(n)]), np.array([draw.randrange(2) for _ in range(n)], float)
+        pairs = [(a > b) + (a == b) / 2 for a, i in zip(s, y, strict=True) if i for b, j in zip(s, y, strict=True) if not j]
+        assert urlfilter.area(s, y) == pytest.approx(np.mean(pairs) if pairs else 0.5)
+        least = urlfilter.least_score(s, y, 0.3)
+        if least < np.inf:
+            assert least >= 0.5 and y[s >= least].mean() >= 0.3
+    assert urlfilter.least_score(np.zeros(0), np.zeros(0)) == np.inf
+
+
 def test_trees_learn_and_hold_out(spark):
     draw = random.Random(0)
     rows = [(f"http://{draw.choice(['shop', 'news'])}{k}.example.com/" + ("/".join(str(draw.randrange(10**6)) for _ in range(5)) + "?a=1&b=2" if k % 2 else "story"), k % 2) for k in range(600)]

@@ -42,6 +42,16 @@ class TextQuery:
     def empty(self) -> bool:
         return not self.alternatives
 
+    @property
+    def words(self) -> frozenset[str]:
+        """All words of its phrases, those of excluded ones too."""
+        return frozenset(w for required, excluded in self.alternatives for p in (*required, *excluded) for w in p)
+
+    @property
+    def word(self) -> str | None:
+        """The word, if the query is one word."""
+        return next(iter(self.words)) if len(self.words) == 1 and self.alternatives == ((((next(iter(self.words)),),), ()),) else None
+
     def matches(self, text: Column) -> Column:
         """Whether a text satisfies the query; an empty query matches nothing."""
         lower = F.lower(text)
@@ -78,11 +88,21 @@ class TextQuery:
         return F.when(self.matches(text), covers(text)).otherwise(F.lit(0.0))
 
     def cover_density(self, text: str | None) -> float:
-        words = _WORD.findall((text or "").lower())
+        at: dict[str, list[int]] = {}
+        asked = self.words
+        for k, w in enumerate(_WORD.findall((text or "").lower())):
+            if w in asked:
+                at.setdefault(w, []).append(k)
+        return self.density(at)
+
+    def density(self, at: dict[str, list[int]]) -> float:
+        """Cover density from the places of the query's words in a text."""
         places: dict[Phrase, list[int]] = {}
         for required, excluded in self.alternatives:
             for p in (*required, *excluded):
-                places.setdefault(p, [k for k in range(len(words) - len(p) + 1) if tuple(words[k : k + len(p)]) == p])
+                if p not in places:
+                    rest = [set(at.get(w, ())) for w in p[1:]]
+                    places[p] = [k for k in at.get(p[0], ()) if all(k + n in r for n, r in enumerate(rest, 1))]
         open_ = [required for required, excluded in self.alternatives if required and not any(places[p] for p in excluded) and all(places[p] for p in required)]
         events = sorted((k, k + len(p) - 1, p) for p in {p for r in open_ for p in r} for k in places[p])
         return sum(WEIGHT / (1 + noise) for noise in _covers(events, open_))

@@ -11,6 +11,15 @@ def recall_hit(expected: Column, retrieved: Column) -> Column:
     return F.when(F.size(F.coalesce(expected, F.array().cast("array<string>"))) > 0, F.coalesce(F.arrays_overlap(expected, retrieved), F.lit(False)))
 
 
+def run(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """Of each case (case_id, question, expected) retrieved, its documents in order (from case_id, r, document_id), recall_hit and
+    error. A blank question or one that nothing came back for is a result like others, so one case never stops the rest."""
+    rows = cases.join(retrieved_documents(retrieved), "case_id", "left")
+    blank = F.trim(F.coalesce("question", F.lit(""))) == ""
+    found = F.coalesce("retrieved", F.array().cast("array<string>"))
+    return rows.select("case_id", found.alias("retrieved"), F.when(~blank, recall_hit(F.col("expected"), found)).alias("recall_hit"), F.when(blank, "the question is blank").alias("error"))
+
+
 def verdict(answer: Column) -> Column:
     """A judge's word: INCORRECT is looked for before CORRECT, which it contains; neither is null."""
     return F.when(F.rlike(answer, F.lit(r"(?i)\bINCORRECT\b")), False).when(F.rlike(answer, F.lit(r"(?i)\bCORRECT\b")), True)

@@ -28,8 +28,15 @@ def invalid(docs: DataFrame, *required: str) -> tuple[DataFrame, DataFrame]:
 
 
 def latest_once(docs: DataFrame, key: list[str], *order: Column) -> DataFrame:
-    """One row of each key: the first by ``order``."""
-    return docs.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_n") == 1).drop("_n")
+    """One row of each key: the first by ``order``, ascending; of rows equal in it one. Found by a minimum with sums on the map
+    side, so a key may have any number of rows."""
+    names = [c for c in docs.columns if c not in key]
+    least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.struct(*order)).alias("_r")
+    return docs.groupBy(*key).agg(least).select(*docs_order(docs.columns, key))
+
+
+def docs_order(columns: list[str], key: list[str]) -> list[Column]:
+    return [F.col(f"`{c}`") if c in key else F.col(f"_r.`{c}`").alias(c) for c in columns]
 
 
 def changed(incoming: DataFrame, documents: DataFrame, key: list[str], hash: str = "content_hash") -> DataFrame:
@@ -105,18 +112,35 @@ def batch_numbers(tokens: pd.Series, texts: int = BATCH_TEXTS, limit: int = BATC
     return [requests.take(int(t)) for t in tokens]
 
 
-def embedded(missing: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, tokens: Callable[[str], int] | None = None, hash: str = "chunk_hash") -> DataFrame:
-    """``hash``, model and embedding of texts, by requests of bounded size within a task; ``embed`` keeps the order."""
+def embedded(missing: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, tokens: Callable[[str], int] | None = None, hash: str = "chunk_hash", failsafe: bool = False) -> DataFrame:
+    """``hash``, model and embedding of texts, by requests of bounded size within a task; ``embed`` keeps the order. With
+    ``failsafe`` a request that raises or answers with another number of vectors gives its texts an error, and the other requests go
+    on; without, it fails the task, which Spark tries again."""
     from corpusloom.operators.chunks import estimate
 
     count = tokens or estimate
-    schema = T.StructType([missing.schema[hash], T.StructField("model", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    more = [T.StructField("error", T.StringType())] if failsafe else []
+    schema = T.StructType([missing.schema[hash], T.StructField("model", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType())), *more])
+
+    def asked(texts: list[str]) -> tuple[list, str | None]:
+        try:
+            vectors = embed(texts)
+            if len(vectors) != len(texts):
+                raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+            return vectors, None
+        except Exception as e:  # whatever a provider's client raises
+            if not failsafe:
+                raise
+            return [None] * len(texts), str(e)[:200] or type(e).__name__
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            numbers = batch_numbers(frame["embed_text"].map(count))
-            vectors = [v for _, part in frame.groupby(numbers, sort=False) for v in embed(part["embed_text"].tolist())]
-            yield pd.DataFrame({hash: frame[hash], "model": model, "embedding": vectors})
+            vectors, errors = [], []
+            for _, part in frame.groupby(batch_numbers(frame["embed_text"].map(count)), sort=False):
+                own, error = asked(part["embed_text"].tolist())
+                vectors += own
+                errors += [error] * len(part)
+            yield pd.DataFrame({hash: frame[hash], "model": model, "embedding": vectors, **({"error": errors} if failsafe else {})})
 
     return missing.select(hash, "embed_text").mapInPandas(run, schema)
 
@@ -192,8 +216,13 @@ def sync_stats(outcomes: DataFrame, errors: int = 100) -> DataFrame:
     rows = outcomes.agg(
         F.count("*").alias("docs_seen"), is_("new").alias("docs_new"), is_("changed").alias("docs_changed"), is_("unchanged").alias("docs_unchanged"), F.count("error").alias("docs_failed"),
     )
-    some = outcomes.where("error is not null").select("external_id", "error").orderBy("external_id", "error").limit(errors)
-    return rows.crossJoin(some.agg(F.array_sort(F.collect_list(F.concat_ws(": ", "external_id", "error"))).alias("errors")))
+    return rows.crossJoin(first_errors(outcomes, errors))
+
+
+def first_errors(outcomes: DataFrame, most: int = 100) -> DataFrame:
+    """One row: the first errors by id, as a list."""
+    some = outcomes.where("error is not null").select("external_id", "error").orderBy("external_id", "error").limit(most)
+    return some.agg(F.array_sort(F.collect_list(F.concat_ws(": ", "external_id", "error"))).alias("errors"))
 
 
 def merged(before: DataFrame, after: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

@@ -7,10 +7,10 @@ list of at most k_vector + k_text ids is broadcast to the chunks.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,9 @@ from corpusloom.functions.times import utc
 from corpusloom.functions import textquery
 from corpusloom.functions.vector import cosine_distance, literal
 
+if TYPE_CHECKING:
+    from corpusloom.operators.index import Index
+
 RRF = 60
 #: Defaults and the ceiling of final_k.
 K_VECTOR, K_TEXT, FINAL_K, MAX_K = 40, 40, 8, 100
@@ -119,49 +122,59 @@ def final_k(asked: int | None, setting: int | None, ceiling: int = MAX_K) -> int
     return min(k, ceiling)
 
 
-def hybrid(chunks: DataFrame, vector: list[float], text: str, filters: Filters | None = None, k_vector: int = K_VECTOR, k_text: int = K_TEXT, k: int = FINAL_K, id: str = "chunk_id", texts: DataFrame | None = None, dealt: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, vector: list[float], text: str, filters: Filters | None = None, k_vector: int = K_VECTOR, k_text: int = K_TEXT, k: int = FINAL_K, id: str = "chunk_id", texts: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """The chunks' rows with score, best first. Filters apply before either ranking. ``texts`` are the
-    chunks without their vectors, where those are stored apart: then only the vector list reads the vectors. ``dealt`` may
-    spread the rows (id and content) whose text is ranked."""
+    chunks without their vectors, where those are stored apart: then only the vector list reads the vectors. With ``index``
+    the text list comes from its postings instead of the texts."""
     if not text.strip():
         raise ValueError("the query is blank")
     texts = chunks if texts is None else texts
     kept, read = ((df.where(filters.condition()) if filters else df) for df in (chunks, texts))
-    read = read.select(id, "content")
-    best = fused([top_vector(kept, vector, k_vector, id), top_text(dealt(read) if dealt else read, text, k_text, id)], k, id)
+    by_text = top_text(read.select(id, "content"), text, k_text, id) if index is None else index.top_text(text, k_text, read if filters else None)
+    best = fused([top_vector(kept, vector, k_vector, id), by_text], k, id)
     # at most k rows
     return texts.join(F.broadcast(best), id).orderBy(F.col("score").desc(), F.col(id))
 
 
-def top_vector_batch(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int = K_VECTOR, id: str = "chunk_id", embedding: str = "embedding") -> DataFrame:
+def top_vector_batch(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int = K_VECTOR, id: str = "chunk_id", embedding: str = "embedding", lists: dict[int, list[int]] | None = None) -> DataFrame:
     """query, ``id``, distance and r for many queries at once: each task keeps the k nearest of its rows for each query by one
     matrix product for each batch, and only those are shuffled. ``queries`` travel to the tasks, so take some thousands at a
-    time."""
+    time. With ``lists``, a row of column list is compared with the queries (by place) that its list names, and other rows
+    are not read."""
     keys = [q for q, _ in queries]
     wanted = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
     size = np.linalg.norm(wanted, axis=1, keepdims=True)
     unit = np.divide(wanted, size, out=np.zeros_like(wanted), where=size > 0)
     kind = chunks.schema[id].dataType
 
+    some = [q for q in range(len(keys)) if size[q, 0] > 0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v is not None and len(v) == unit.shape[1] and None not in v]
-            if not rows or not keys:
+            rows = [r for r in zip(*(c.to_pylist() for c in batch.columns), strict=True) if r[1] is not None and len(r[1]) == unit.shape[1] and None not in r[1]]
+            if not rows or not some:
                 continue
-            m = np.array([v for _, v in rows], np.float64)
+            m = np.array([r[1] for r in rows], np.float64)
             n = np.linalg.norm(m, axis=1)
             rows, m = [r for r, x in zip(rows, n, strict=True) if x > 0], m[n > 0] / n[n > 0, None]
-            distance = 1 - unit @ m.T
-            least = np.argsort(distance, axis=1, kind="stable")[:, :k]
-            out = [(keys[q], rows[j][0], float(distance[q, j])) for q in range(len(keys)) if size[q, 0] > 0 for j in least[q]]
+            parts: dict[int, list[int]] = {}
+            for j, r in enumerate(rows):
+                parts.setdefault(r[2] if lists else -1, []).append(j)
+            out = []
+            for part, at in parts.items():
+                asked = [q for q in lists[part] if size[q, 0] > 0] if lists else some
+                distance = 1 - unit[asked] @ m[at].T
+                least = np.argsort(distance, axis=1, kind="stable")[:, :k]
+                out += [(keys[q], rows[at[j]][0], float(distance[i, j])) for i, q in enumerate(asked) for j in least[i]]
             columns = list(zip(*out, strict=True)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], batch.schema.field(0).type), pa.array(columns[2], pa.float64())], names=["query", id, "distance"])
 
     schema = T.StructType([T.StructField("query", T.LongType()), T.StructField(id, kind), T.StructField("distance", T.DoubleType())])
     # rows of equal distance in id order, so that a task's cut agrees with the final one
-    some = chunks.select(id, embedding).sortWithinPartitions(id).mapInArrow(run, schema)
+    read = chunks.where(F.col("list").isin(sorted(lists))).select(id, embedding, "list") if lists is not None else chunks.select(id, embedding)
+    found = read.sortWithinPartitions(id).mapInArrow(run, schema)
     place = F.row_number().over(Window.partitionBy("query").orderBy("distance", id))
-    return some.withColumn("r", place).where(F.col("r") <= k)
+    return found.withColumn("r", place).where(F.col("r") <= k)
 
 
 def reranked(fused_rows: DataFrame, scores: DataFrame, n: int, id: str = "chunk_id", place: str = "r") -> DataFrame:

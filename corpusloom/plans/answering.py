@@ -28,23 +28,26 @@ def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("source", "doc_id", "tokens", "running")
 
 
-@query(f"""with {_RANKED} select source, doc_id, '[' || r || '] ' || source || chr(10) || 'doc/' || doc_id || chr(10) || left(text, 100) as block from ranked where r <= 3""")
+@query(f"""with {_PREFIX} select source, doc_id, '[' || r || '] ' || source || chr(10) || 'doc/' || doc_id || chr(10) || text as block from kept""")
 def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranked(spark, sf_dir).where("r <= 3")
+    return _blocks(spark, sf_dir).select("source", "doc_id", "block")
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources that each question's budget takes, rendered whole."""
     uri = F.concat(F.lit("doc/"), F.col("doc_id"))
-    return rows.select("source", "doc_id", answer.rendered_block(F.col("r"), F.col("source"), _no_path(), uri, F.left("text", F.lit(100))).alias("block"))
+    kept = answer.budget_prefix(ranked(spark, sf_dir), 4000, ["source"], content="text")
+    return kept.withColumn("block", answer.rendered_block(F.col("r"), F.col("source"), _no_path(), uri, F.col("text")))
 
 
 def _no_path():
     return F.lit(None).cast("array<string>")
 
 
-@query(f"""with {_RANKED}, b as (select source, r, '[' || r || '] ' || source || chr(10) || 'doc/' || doc_id || chr(10) || left(text, 100) as block from ranked where r <= 3)
+@query(f"""with {_PREFIX}, b as (select source, r, '[' || r || '] ' || source || chr(10) || 'doc/' || doc_id || chr(10) || text as block from kept)
 select source, string_agg(block, chr(10) || chr(10) order by r) as context from b group by source""")
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uri = F.concat(F.lit("doc/"), F.col("doc_id"))
-    rows = ranked(spark, sf_dir).where("r <= 3").withColumn("block", answer.rendered_block(F.col("r"), F.col("source"), _no_path(), uri, F.left("text", F.lit(100))))
-    return answer.context(rows, ["source"])
+    return answer.context(_blocks(spark, sf_dir), ["source"])
 
 
 _ANSWERS = "select source, 'See [' || (length(source) % 3 + 1) || '], [2] and [' || count(*) || ']; not [0] or [9999]. Again [2].' as answer, count(*) as n from documents group by source"

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions.times import utc
 from corpusloom.functions import textquery
 from corpusloom.functions.vector import cosine_distance, literal
-from corpusloom.operators import operations, retrieve
+from corpusloom.operators import evaluate, operations, retrieve
+from corpusloom.operators import index as indexes
 from corpusloom.plans.base import DataFrame, SparkSession, documents, query, table
-from corpusloom.sources.tables import spread
+from corpusloom.sources import shared
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +32,57 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id and embedding."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
 def probe(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     """The query vector: that of a given id."""
     return list(table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
 
 
+_OPEN: dict[str, indexes.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
+    """The index of the documents' texts and vectors, built when it is first asked for and after the tables' files change."""
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    name = "index-" + shared.stamp([docs, vectors], "first form", indexes.BUCKETS)
+    if (known := _OPEN.get(name)) is None or known.spark is not spark:
+        own = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+        folder = shared.built(spark, name, lambda path: indexes.build(own, vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), path))
+        _OPEN[name] = known = indexes.Index(spark, folder)
+    return known
+
+
+#: Queries of a batch that are compared in one scan.
+BLOCK = 2048
+
+
+def asked(spark: SparkSession, sf_dir: str):
+    """Blocks of (vec_id, vector) of the query set, every vector whose id is divisible by 100."""
+    block = []
+    for r in table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding").toLocalIterator():
+        block.append((r["vec_id"], list(r["embedding"])))
+        if len(block) == BLOCK:
+            yield block
+            block = []
+    yield block
+
+
+def of_blocks(spark: SparkSession, sf_dir: str, run) -> DataFrame:
+    """The union of ``run`` over the blocks."""
+    out = None
+    for block in asked(spark, sf_dir):
+        part = run(block)
+        out = part if out is None else out.union(part)
+    return out
+
+
 WORD = "the"
+#: Words that the batch's queries take in turn.
+WORDS = ("the", "of", "and", "les")
 _CHUNKS = """chunks as (
   select d.doc_id as chunk_id, source, 'https://' || source || '.example.com/' || lang || '/' || doc_id as uri, lang,
          date '2024-01-01' + cast(doc_id % 365 as integer) as created_on, text as content, embedding
@@ -70,20 +116,70 @@ def vec_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"), F.col("r").cast("long").alias("r"))
 
 
-@query(f"""with q as (select vec_id as query, cast(embedding as double[]) as v from embeddings where vec_id < 20),
-s as (select query, vec_id, 1 - list_dot_product(v, cast(e.embedding as double[])) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(cast(e.embedding as double[]), cast(e.embedding as double[])))) as distance from q, embeddings e)
+_ASKED = """q as (select vec_id as query, cast(embedding as double[]) as v from embeddings where vec_id % 100 = 0),
+s as (select query, vec_id, 1 - list_dot_product(v, cast(e.embedding as double[])) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(cast(e.embedding as double[]), cast(e.embedding as double[])))) as distance from q, embeddings e)"""
+
+
+@query(f"""with {_ASKED}
 select query, vec_id, round(distance, 6) + 0.0 as distance from s qualify row_number() over (partition by query order by distance, vec_id) <= 5""")
 def vec_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    asked = [(r["vec_id"], list(r["embedding"])) for r in vectors.where("vec_id < 20").orderBy("vec_id").collect()]
-    best = retrieve.top_vector_batch(vectors, asked, 5, id="vec_id")
+    best = of_blocks(spark, sf_dir, lambda block: retrieve.top_vector_batch(table(spark, sf_dir, "embeddings"), block, 5, id="vec_id"))
     return best.select("query", "vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
+@query("""select count(*) as queries, true as enough from embeddings where vec_id % 100 = 0""")
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact ten nearest the inverted file finds, over the whole query set: at least nine in ten."""
+    exact = of_blocks(spark, sf_dir, lambda block: retrieve.top_vector_batch(table(spark, sf_dir, "embeddings"), block, 10, id="vec_id"))
+    own = index(spark, sf_dir)
+    found = of_blocks(spark, sf_dir, lambda block: own.top_vector_batch(block, 10)).select("query", F.col("chunk_id").alias("vec_id"), F.lit(True).alias("hit"))
+    rows = exact.join(found, ["query", "vec_id"], "left")
+    return rows.agg(F.countDistinct("query").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+_BATCH = f"""{_ASKED}, w as (select query, ['the', 'of', 'and', 'les'][1 + (query // 100) % 4] as word from q),
+v as (select query, vec_id as chunk_id, row_number() over (partition by query order by distance, vec_id) as r from s qualify r <= 40),
+words as (select doc_id, {_words('text')} as ws from documents),
+t as (select query, doc_id as chunk_id, row_number() over (partition by query order by len(list_filter(ws, lambda x: x = word)) desc, doc_id) as r from w join words on list_contains(ws, word) qualify r <= 40),
+f as (select query, chunk_id, sum(1.0::double / (60 + r)) as score from (select * from v union all select * from t) group by 1, 2),
+best as (select query, chunk_id, round(score, 6) as score, row_number() over (partition by query order by score desc, chunk_id) as r from f qualify r <= 8)"""
+
+
+def batch(spark: SparkSession, sf_dir: str, blank: int = 0) -> DataFrame:
+    """Hybrid retrieval for the query set; each ``blank``-th text is left blank."""
+    own, vectors = index(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+    def run(block: list) -> DataFrame:
+        told = [(q, WORDS[q // 100 % 4], v) for q, v in block if not blank or q // 100 % blank]
+        return indexes.hybrid_batch(own, told, vectors)
+
+    return of_blocks(spark, sf_dir, run)
+
+
+@query(f"with {_BATCH} select query, chunk_id, score, r from best")
+def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch(spark, sf_dir).select("query", "chunk_id", F.round("score", 6).alias("score"), F.col("r").cast("long").alias("r"))
+
+
+@query(f"""with {_BATCH}, g as (select query, list(chunk_id order by r) as retrieved from best where (query // 100) % 5 <> 0 group by query),
+cases as (select query as case_id, (query // 100) % 5 = 0 as blank, case when (query // 100) % 3 = 0 then [] else [query, query + 1] end as expected from q)
+select case_id, case when blank or len(expected) = 0 then null else list_has_any(expected, retrieved) end as recall_hit, array_to_string(coalesce(retrieved, []), ',') as retrieved,
+case when blank then 'the question is blank' end as error from cases left join g on query = case_id""")
+def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("vec_id")
+    expected = F.when(F.floor(i / 100) % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(i, i + 1).cast("array<string>"))
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.floor(i / 100) % 4 + 1).cast("int"))
+    question = F.when(F.floor(i / 100) % 5 == 0, F.lit(" ")).otherwise(word)
+    cases = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(i.alias("case_id"), question.alias("question"), expected.alias("expected"))
+    found = batch(spark, sf_dir, 5).select(F.col("query").alias("case_id"), "r", F.col("chunk_id").cast("string").alias("document_id"))
+    rows = evaluate.run(cases, found)
+    return rows.select("case_id", "recall_hit", F.array_join("retrieved", ",").alias("retrieved"), "error")
+
+
 @query(f"""select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as r from
 (select doc_id, len(list_filter({_words('text')}, lambda w: w = '{WORD}')) * 0.1::double as score from documents) where score > 0 order by score desc, doc_id limit 40""")
 def text_topk_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieve.top_text(documents(spark, sf_dir), WORD, 40, id="doc_id", content="text")
+    best = index(spark, sf_dir).top_text(WORD, 40).withColumnRenamed("chunk_id", "doc_id")
     return best.select("doc_id", F.round("score", 6).alias("score"), F.col("r").cast("long").alias("r"))
 
 
@@ -96,19 +192,29 @@ def websearch_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieve.top_text(documents(spark, sf_dir), 'the "of the" that OR les', 40, id="doc_id", content="text")
+    best = index(spark, sf_dir).top_text('the "of the" that OR les', 40).withColumnRenamed("chunk_id", "doc_id")
     return best.select("doc_id", F.round("score", 6).alias("score"), "r")
 
 
+@query(f"""with w as (select doc_id, unnest({_words('text')}) as word, generate_subscripts({_words('text')}, 1) as place from documents),
+e as (select doc_id, word, place, lag(word) over o as before, place - lag(place) over o as gap from w where word in ('the', 'of') window o as (partition by doc_id order by place)),
+s as (select doc_id, sum(0.1::double / gap) as score from e where before <> word group by 1)
+select doc_id, round(score, 6) as score, row_number() over (order by score desc, doc_id) as r from s order by score desc, doc_id limit 40""")
+def text_cover_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cover density of two words: each neighbouring pair of different ones is a minimal cover."""
+    best = index(spark, sf_dir).top_text("the of", 40)
+    return best.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("r").cast("long").alias("r"))
+
+
 @query(_lists())
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told(retrieve.hybrid(chunks(spark, sf_dir), probe(spark, sf_dir), WORD, texts=texts(spark, sf_dir), dealt=spread))
+    return _told(retrieve.hybrid(vectors(spark, sf_dir), probe(spark, sf_dir), WORD, texts=texts(spark, sf_dir), index=index(spark, sf_dir)))
 
 
 @query(_lists("source in ('src0', 'src1', 'src2', 'src3') and lang = 'en' and starts_with(uri, 'https://src') and created_on >= date '2024-01-05' and created_on <= date '2024-11-30'"))
 def hybrid_rrf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = retrieve.Filters(["src0", "src1", "src2", "src3"], "https://src", datetime(2024, 1, 5), datetime(2024, 11, 30), {"lang": "en"})
-    return _told(retrieve.hybrid(chunks(spark, sf_dir), probe(spark, sf_dir), WORD, filters, texts=texts(spark, sf_dir), dealt=spread))
+    return _told(retrieve.hybrid(chunks(spark, sf_dir), probe(spark, sf_dir), WORD, filters, texts=texts(spark, sf_dir), index=index(spark, sf_dir)))
 
 
 @query("""select vec_id, round(1.0::double / (60 + r), 6) as score from (select vec_id, row_number() over (order by vec_id) as r from embeddings) where r <= 10""")
@@ -191,16 +297,16 @@ def latest_by_json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.max("chunk_id").alias("latest"))
 
 
-_RERANK = """with f as (select doc_id, row_number() over (order by doc_id) as r from documents where doc_id < 60),
-s as (select doc_id, cast((doc_id * 37) % 11 as double) as score from f where doc_id % 4 <> 0)
-select doc_id, row_number() over (order by case when r > 20 then 2 when score is null then 1 else 0 end, case when r <= 20 then -score end nulls first, r) as new_r from f left join s using (doc_id)"""
+_RERANK = """with f as (select vec_id, row_number() over (order by distance, vec_id) as r from (select vec_id, {} as distance from embeddings) qualify r <= 60),
+s as (select vec_id, cast((vec_id * 37) % 11 as double) as score from f where vec_id % 4 <> 0)
+select vec_id, row_number() over (order by case when r > 20 then 2 when score is null then 1 else 0 end, case when r <= 20 then -score end nulls first, r) as new_r from f left join s using (vec_id)"""
 
 
-@query(_RERANK)
+@query(_RERANK.format(_DISTANCE))
 def rerank_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = retrieve.ranked(table(spark, sf_dir, "documents").where("doc_id < 60").select("doc_id"), 60, F.col("doc_id"))
-    scores = first.where("doc_id % 4 <> 0").select("doc_id", ((F.col("doc_id") * 37) % 11).cast("double").alias("rerank_score"))
-    return retrieve.reranked(first, scores, 20, "doc_id").select("doc_id", F.col("new_r").cast("long").alias("new_r"))
+    first = retrieve.top_vector(table(spark, sf_dir, "embeddings"), probe(spark, sf_dir), 60, id="vec_id")
+    scores = first.where("vec_id % 4 <> 0").select("vec_id", ((F.col("vec_id") * 37) % 11).cast("double").alias("rerank_score"))
+    return retrieve.reranked(first, scores, 20, "vec_id").select("vec_id", F.col("new_r").cast("long").alias("new_r"))
 
 
 @query(f"""with q as (select list_distinct({_words("'the house of the rising sun'")}) as w)

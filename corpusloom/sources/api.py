@@ -94,7 +94,8 @@ def next_link(header: str) -> str | None:
 
 
 def pages(url: str, paging: Paging, items_path: str, transport: Transport, sleep: Callable[[float], None] = time.sleep) -> Iterator[list[Any]]:
-    """The items of each page until one is empty, short, the last by its cursor or link, or one that was there before."""
+    """The items of each page until one is empty, short, the last by its cursor or link, or one that was there before. More than
+    ``MOST_PAGES`` pages are an error."""
     kind = paging.kind
     position: Any = paging.start if kind == "page" else 0
     now, seen = url, set()
@@ -130,6 +131,7 @@ def pages(url: str, paging: Paging, items_path: str, transport: Transport, sleep
             now = urljoin(now, link)
             if urlsplit(now)[:2] != urlsplit(url)[:2]:
                 raise ValueError("a page links to another host")
+    raise ValueError(f"more than {MOST_PAGES} pages")  # else a cut result would pass for a whole one
 
 
 #: Layouts of a record's times: fixed values; numbers are seconds since 1970.

@@ -127,8 +127,9 @@ def fetch_decision(incremental: bool) -> Column:
 def canonical_once(pages: DataFrame, canonical: str = "canonical", url: str = "url", depth: str = "depth") -> DataFrame:
     """One page for each canonical address: the shallowest, then the first by URL."""
     key = F.coalesce(canonical, url)
-    place = F.row_number().over(Window.partitionBy("external_id").orderBy(depth, url))
-    return pages.withColumn("external_id", key).withColumn("_n", place).where(F.col("_n") == 1).drop("_n")
+    from corpusloom.operators.ingest import latest_once
+
+    return latest_once(pages.withColumn("external_id", key), ["external_id"], F.col(depth), F.col(url))
 
 
 #: Layouts of a lastmod: fixed values.
@@ -155,14 +156,18 @@ def sitemap(data: bytes) -> tuple[list[str], list[tuple[str, str | None]]]:
     return ([loc for loc, _ in rows], []) if name(root) == "sitemapindex" else ([], rows)
 
 
-def sitemap_urls(files: dict[str, bytes], root: str) -> list[tuple[str, str | None]]:
-    """URLs of a sitemap and the indexes under it, each file once, within the bounds on depth, files and URLs."""
+def sitemap_urls(files: dict[str, bytes], root: str) -> tuple[list[tuple[str, str | None]], bool]:
+    """URLs of a sitemap and the indexes under it, each file once, within the bounds on depth, files and URLs, and whether a bound
+    has cut them."""
     out: dict[str, str | None] = {}
-    level, seen = [root], set()
+    level, seen, cut = [root], set(), False
     for _ in range(SITEMAP_DEPTH):
         below = []
         for url in level:
-            if url in seen or len(seen) >= SITEMAP_FILES or url not in files:
+            if url in seen or url not in files:
+                continue
+            if len(seen) >= SITEMAP_FILES:
+                cut = True
                 continue
             seen.add(url)
             try:
@@ -173,8 +178,10 @@ def sitemap_urls(files: dict[str, bytes], root: str) -> list[tuple[str, str | No
             for u, when in urls:
                 if len(out) < SITEMAP_URLS:
                     out.setdefault(u, when)
+                elif u not in out:
+                    cut = True
         level = below
-    return list(out.items())
+    return list(out.items()), cut or any(u not in seen and u in files for u in level)
 
 
 def pages_merged(stored: DataFrame, fetched: DataFrame) -> DataFrame:

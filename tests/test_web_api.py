@@ -65,7 +65,7 @@ def test_sitemaps():
     index = f"<sitemapindex {ns}><sitemap><loc>s1</loc></sitemap><sitemap><loc>s2</loc></sitemap><sitemap><loc>root</loc></sitemap></sitemapindex>".encode()
     s1 = f"<urlset {ns}><url><loc> a </loc><lastmod>2024-01-02</lastmod></url><url><loc>b</loc></url></urlset>".encode()
     s2 = gzip.compress(f"<urlset {ns}><url><loc>c</loc></url><url><loc>a</loc></url></urlset>".encode())
-    assert web.sitemap_urls({"root": index, "s1": s1, "s2": s2}, "root") == [("a", "2024-01-02"), ("b", None), ("c", None)]
+    assert web.sitemap_urls({"root": index, "s1": s1, "s2": s2}, "root") == ([("a", "2024-01-02"), ("b", None), ("c", None)], False)
     with pytest.raises(ValueError):
         web.sitemap(b'<!DOCTYPE x [<!ENTITY a "b">]><urlset/>')
 
@@ -189,7 +189,7 @@ def test_table_store_swaps_whole_versions(spark, tmp_path):
     old = store.read("t")
     store.commit({"t": store.read("t").where("id > 0")})
     assert old.count() == 3 and store.read("t").count() == 2 and store.names() == ["t", "u"]
-    assert store.vacuum() == 1 and store.read("t").count() == 2
+    assert store.vacuum() == 0 and store.vacuum(0) == 1 and store.read("t").count() == 2
 
 
 @pytest.mark.parametrize(

@@ -6,7 +6,8 @@ t = floor(ln S / r + b), y = exp(r (t - b)) and a = c / (y e^r). The term with t
 documents share a sample with a probability equal to their generalised Jaccard similarity, sum of min / sum of max of weights.
 
 Plan: one shuffle of the texts by ranges of id, in which each range also gets the first document of the next one, so that a
-task reads its documents in order and holds one neighbour at a time. Ranges are cut at quantiles of the id column alone.
+task reads its documents in order and holds one neighbour at a time. Ranges are cut at quantiles of the id column alone; there are
+as many as shuffle partitions, one for each, so what the driver holds depends on that setting and not on the rows.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Samples of a fingerprint, words of a shingle, rows in a range of ids (about).
-SAMPLES, WORDS, RANGE_ROWS = 64, 5, 8192
+#: Samples of a fingerprint, words of a shingle.
+SAMPLES, WORDS = 64, 5
 #: Ids for each range (about) that the ends of ranges are told from.
 ENDS_SAMPLE = 200
 _ROWS = 512  # terms at a time: a block of terms by samples stays in a core's cache
@@ -172,17 +173,18 @@ def edited_text(text: str, after: str) -> str:
     return text[: len(text) - cut] + after[:cut]
 
 
-def with_next(docs: DataFrame, id: str, text: str, rows: int = RANGE_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, id: str, text: str, ranges: int | None = None) -> DataFrame:
     """Rows (part, place, ``id``, text) in order of ``id`` (a number) within each part, each followed by its next one.
 
-    A part is a range of ids. Its last rows, of place 1, are guests: the first rows of the next part that has any (of the last
-    part, the first of all). Rows with equal ids are ordered by a hash of the text, nulls come first. Ranges end at quantiles
-    of the ids, found without reading a text; the table of their first ids has a row for each range.
+    A part is a range of ids, and there are as many as shuffle partitions (or ``ranges``). Its last rows, of place 1, are guests:
+    the first rows of the next part that has any (of the last part, the first of all). Rows with equal ids are ordered by a
+    hash of the text, nulls come first, and all rows of one id are in one part. Ranges end at quantiles of the ids, found
+    without reading a text; the table of their first ids has a row for each range.
     """
     spark = docs.sparkSession
     kind = docs.schema[id].dataType
     total = docs.count()
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows))
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # some ids are enough to tell where even ranges end; where they end changes no result
     some = docs.select(id).where(F.pmod(F.xxhash64(id), F.lit(1 << 20)) <= int((1 << 20) * min(1.0, ENDS_SAMPLE * n / max(total, 1))))
     ends = some.agg(F.percentile_approx(id, [k / n for k in range(1, n)], 10 * n).alias("q")).first()["q"] if n > 1 else []
@@ -193,13 +195,27 @@ def with_next(docs: DataFrame, id: str, text: str, rows: int = RANGE_ROWS) -> Da
         [(r["part"], r["head"][0], b) for r, b in zip(heads, before, strict=True)],
         T.StructType([T.StructField("part", T.IntegerType()), T.StructField("first", kind), T.StructField("before", T.IntegerType())]),
     )
-    own = F.struct(F.col("part"), F.lit(0).alias("place"))
-    guest = F.struct(F.col("before").alias("part"), F.lit(1).alias("place"))
+    # the number that hash partitioning sends to the range's own partition
+    deal = F.element_at(F.array(*map(F.lit, _numbers(spark, n))), F.col("to") + 1)
+    own = F.struct(F.col("part").alias("to"), F.lit(0).alias("place"))
+    guest = F.struct(F.col("before").alias("to"), F.lit(1).alias("place"))
     to = F.when(F.col(id).eqNullSafe(F.col("first")), F.array(own, guest)).otherwise(F.array(own))
-    dealt = parted.join(F.broadcast(firsts), "part").select(F.explode(to).alias("to"), id, "text").select("to.part", "to.place", id, "text")
+    dealt = parted.join(F.broadcast(firsts), "part").select(F.explode(to).alias("to"), id, "text").select("to.to", "to.place", id, "text")
+    dealt = dealt.select(deal.alias("part"), "place", id, "text")
     return dealt.repartition(n, "part").sortWithinPartitions("part", "place", id, F.xxhash64("text"))
 
 
+def _numbers(spark: SparkSession, n: int) -> list[int]:
+    """For each of n hash partitions the least number that falls into it."""
+    found: dict[int, int] = {}
+    most = 4 * n
+    while len(found) < n:
+        most *= 4
+        rows = spark.range(most).select(F.col("id").cast("int").alias("i")).groupBy(F.pmod(F.hash("i"), F.lit(n)).alias("k")).agg(F.min("i").alias("i")).collect()
+        found = {r["k"]: r["i"] for r in rows}
+    return [found[k] for k in range(n)]
+
+
 def _below(id: Column, ends: list, kind: T.DataType) -> Column:
     """How many of the ``ends``, ascending, lie below an id (null: none), by halving."""
     array = F.split(F.lit(",".join(map(str, ends))), ",").cast(T.ArrayType(kind)) if ends else F.array().cast(T.ArrayType(kind))

@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: n-grams of a profile and of a document's ranking; labelled documents of a language to fit on; languages at most.
-PROFILE, SAMPLE, LANGUAGES = 300, 4000, 1000
+#: n-grams of a profile and of a document's ranking; labelled documents of a language to fit on; languages from which a table is
+#: refused, as profiles are held on the driver and in every task.
+PROFILE, SAMPLE, LANGUAGES = 300, 4000, 50_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -89,10 +90,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "
     """Profiles of the languages of ``labelled``; rows with a null text or language teach nothing.
 
     Of a language with more rows than ``sample``, those are taken whose id hashes low enough that about ``sample`` remain; a
-    repeated id is taken or left as one. At most ``LANGUAGES`` languages with ``PROFILE`` n-grams each reach the driver.
+    repeated id is taken or left as one. ``PROFILE`` n-grams of each language reach the driver; over ``LANGUAGES`` languages are an
+    error, never left out.
     """
     usable = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
         return Profiles({})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])

@@ -27,7 +27,12 @@ def root(spark: SparkSession) -> str:
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path for one table or set of files of one run."""
-    return f"{root(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    return f"{own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def own(spark: SparkSession) -> str:
+    """The part of the shared folder that only this application writes to."""
+    return f"{root(spark)}/corpusloom/{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -38,9 +43,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove(spark: SparkSession) -> None:
-    """Delete what this package has written to the shared folder; call it when no lazy result of it is still to be read."""
+    """Delete what this application has written to the shared folder by this module; call it when no lazy result of it is still to be
+    read. Other applications' tables stay."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/corpusloom")
+    path = jvm.org.apache.hadoop.fs.Path(own(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

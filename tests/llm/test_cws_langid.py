@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import cws, langid
 
@@ -52,6 +53,22 @@ def test_one_row_repeated_ids_null_ids_and_no_rows(spark, docs_of):
     assert cws.fingerprint(docs_of([])).count() == 0
 
 
+def test_each_range_has_a_partition_of_its_own(spark, docs_of):
+    docs = docs_of([(k * k, "x", None) for k in range(500)])
+    parts = cws.with_next(docs, "doc_id", "text", 7)
+    own = parts.where("place = 0").select("part", F.spark_partition_id().alias("p")).groupBy("part").agg(F.countDistinct("p").alias("p"), F.count("*").alias("n"), F.min("p").alias("at")).collect()
+    assert len(own) == 7 and {r["p"] for r in own} == {1} and len({r["at"] for r in own}) == 7
+    assert parts.where("place = 1").count() == 7
+
+
+def test_too_many_languages_are_an_error(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    texts = [(k, "word", f"l{k}") for k in range(5)]
+    assert langid.fit(docs_of(texts[:3])).langs == ["l0", "l1", "l2"]
+    with pytest.raises(ValueError):
+        langid.fit(docs_of(texts))
+
+
 def test_collision_rate_is_the_generalised_jaccard_similarity():
     draw = np.random.default_rng(0)
     sampler = cws.Sampler(8000)

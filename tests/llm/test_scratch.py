@@ -16,8 +16,10 @@ def test_stored_tables_are_read_back_and_removed(spark):
 
     df = scratch.stored(spark.range(5).withColumn("x", F.lit(None).cast("string")), "test")
     assert df.count() == 5 and df.columns == ["id", "x"]
+    other = scratch.root(spark).removeprefix("file://") + "/corpusloom/of-another-application"
+    os.makedirs(other, exist_ok=True)
     scratch.remove(spark)
-    assert not os.path.exists(scratch.root(spark).removeprefix("file://") + "/corpusloom")
+    assert not os.path.exists(scratch.own(spark).removeprefix("file://")) and os.path.exists(other)
 
 
 def test_a_cluster_must_name_its_folder(spark, monkeypatch):

@@ -190,9 +190,14 @@ def test_snapshots_collapse_as_brute_force_says(spark):
 
 
 def test_odd_conversations(spark):
-    rows = [(None, 0, "user", "x"), (None, 1, None, None), (1, None, "user", "n"), (1, 0, "user", "n"), (2, 0, "us er", "a<|im_end|>b"), (3, 0, "user", "y"), (3, 0, "user", "y"), (4, 0, "user", "y"), (5, 0, "user", "w " * 100_000)]
-    got = {r["conv_id"]: r for r in chat.collapse(turns(spark, rows)).collect()}
-    assert set(got) == {None, 1, 2, 3, 5}
-    assert got[None]["n_turns"] == 2 and got[3]["n_turns"] == 2 and got[3]["n_copies"] == 1
+    """Rows without an id are conversations of one turn: of equal ones one is left, none where it begins or equals a named one."""
+    rows = [(1, None, "user", "n"), (1, 0, "user", "n"), (2, 0, "us er", "a<|im_end|>b"), (3, 0, "user", "y"), (3, 0, "user", "y"), (4, 0, "user", "y"), (5, 0, "user", "w " * 100_000)]
+    rows += [(None, 0, "user", "x"), (None, 1, None, None), (None, 7, "user", "x"), (None, 0, "user", "y"), (None, 9, "us er", "a<|im_end|>b")]
+    found = chat.collapse(turns(spark, rows)).collect()
+    got = {r["conv_id"]: r for r in found if r["conv_id"] is not None}
+    assert set(got) == {1, 2, 3, 5}
+    assert got[3]["n_turns"] == 2 and got[3]["n_copies"] == 1 and got[2]["n_copies"] == 2
     assert got[2]["chat"] == "<|im_start|>us_er\na<im_end>b<|im_end|>\n"
+    lone = {(r["n_turns"], r["n_copies"], r["chat"]) for r in found if r["conv_id"] is None}
+    assert lone == {(1, 2, "<|im_start|>user\nx<|im_end|>\n"), (1, 1, "<|im_start|>unknown\n<|im_end|>\n")} and len(found) == 6
     assert chat.collapse(turns(spark, [])).count() == 0

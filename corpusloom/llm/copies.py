@@ -263,12 +263,13 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
     parts = graph.components(found)
 
     # of the larger keys those that are not of one component by now: what may link between components, in blocks
-    named = dealt.withColumn("node", F.col("own.node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    # (stored tables on both sides of a join by key: those are the ones that adaptive execution splits)
+    named = scratch.stored(dealt.withColumn("node", F.col("own.node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    apart = scratch.stored(named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "keys-apart")
     rest = scratch.stored(named.join(apart, "key").select("key", "block", "last", "own", "component"), "rest")
     if not rest.isEmpty():
         # of two that differ in component one is outside of the key's largest, and their sketches are compared where they meet
-        largest = rest.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"))
+        largest = scratch.stored(rest.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("largest")), "largest")
         told = rest.join(largest, "key").join(nodes.select(F.col("node").alias("of"), _narrow(F.col("sketch")).alias("bits")), F.col("own.node") == F.col("of"))
         told = told.select("key", "block", "last", "own", "component", "bits", (F.col("component") != F.col("largest")).alias("minor"))
         of_block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block")

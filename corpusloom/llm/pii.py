@@ -14,6 +14,7 @@ length of a text: no pattern can backtrack over a long run.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -81,9 +82,9 @@ def base(text: str) -> dict[str, list[Span]]:
 # Wider patterns: every quantifier is bounded or possessive.
 _WIDE = {
     "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z0-9-]{1,63}){1,8}", re.I),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    "ip": re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:])"),
+    "card": re.compile(r"(?<![0-9])(?:[0-9]{4}(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|3[068][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{4})(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9+])(?:(?:00[1-9][0-9]{0,2}|1)[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 }
 _HINT = re.compile(r"[\[({ ]at[\])} ]", re.I)
 
@@ -95,7 +96,7 @@ def candidates(text: str, known: dict[str, list[Span]]) -> list[tuple[str, int,
     for kind in KINDS:
         own = known[kind]
         out.extend((kind, a, b) for a, b in own)
-        if (digit if kind != "email" else "dot" in text.lower() and _HINT.search(text)) and (kind != "ip" or text.count(":") >= 7):
+        if (digit if kind != "email" else "dot" in text.lower() and _HINT.search(text)) and (kind != "ip" or "::" in text or text.count(":") >= 7):
             taken = sorted(s for spans in known.values() for s in spans)
             starts = [a for a, _ in taken]
             for m in _WIDE[kind].finditer(text):
@@ -119,6 +120,15 @@ LABELERS = {"base rule": 0.95, "gazetteer": 0.5, "checksum": 0.95, "context": 0.
 _WORD = re.compile(r"[\w-]+")
 
 
+def _is_six(s: str) -> bool:
+    """Whether a text is an IPv6 address of more than two groups, so that no `::` alone or at a word's end is one."""
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return False
+    return len([g for g in s.split(":") if g]) > 2
+
+
 def labelled(text: str, kind: str, start: int, end: int, is_base: bool) -> tuple[list[int], list[float]]:
     """The labelers' votes on a candidate (1 yes, 0 no, -1 nothing) and its features."""
     s = text[start:end]
@@ -132,7 +142,7 @@ def labelled(text: str, kind: str, start: int, end: int, is_base: bool) -> tuple
     elif kind == "ip":
         parts = s.split(".")
         gazetteer = int(0 < int(parts[0][-3:]) < 240) if len(parts) == 4 else -1
-        check, length = int(len(parts) == 4 or s.count(":") == 7), int(len(s) <= 39)
+        check, length = int(len(parts) == 4 or _is_six(s)), int(len(s) <= 39)
     elif kind == "card":
         gazetteer, check, length = int(d[:1] in "3456"), int(luhn(d)), int(13 <= len(d) <= 19)
     else:

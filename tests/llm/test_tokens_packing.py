@@ -28,7 +28,7 @@ def test_counts_equal_the_library(spark, docs_of):
 def test_counts_of_no_rows_and_repeated_ids(spark, docs_of):
     assert tokens.count_tokens(docs_of([])).count() == 0
     twice = docs_of([(1, "a b c", None), (1, "a b c", None), (None, "q", None)])
-    assert sorted(r["n_tokens"] for r in tokens.count_tokens(twice.withColumnRenamed("lang", "n_tokens_")).collect()) == [1, 3, 3]
+    assert sorted(r["n_tokens"] for r in tokens.count_tokens(twice.withColumnRenamed("lang", "n_tokens").withColumnRenamed("source", "n_bytes")).collect()) == [1, 3, 3]
 
 
 def test_pieces_are_the_ids_cut_without_gaps(spark, docs_of):
@@ -63,6 +63,16 @@ def test_padding_is_small(spark):
     assert sum(used) / (4096 * len(used)) > 0.97
 
 
+def test_pack_of_repeated_rows_null_ids_and_clashing_columns(spark, docs_of):
+    docs = docs_of([(1, "a b c", None), (1, "a b c", None), (None, "q", None), (None, None, None)])
+    docs = docs.withColumnRenamed("lang", "start").withColumnRenamed("source", "sequence_id").withColumnRenamed("n_chars", "offset")
+    rows = packing.pack(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in rows) == [(0, 1), (0, 2), (1, 4), (1, 4)]
+    assert packing.pack(docs).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:], strict=False))
+
+
 def test_pack_of_no_rows(spark, docs_of):
     assert packing.pack(docs_of([])).count() == 0
 

@@ -150,6 +150,13 @@ def archive():
     return parts, body
 
 
+def test_round_trip_of_clashing_columns(spark):
+    rows = [(1, "u", "a", "x", "y", "z"), (2, "u", "a", "x", "y", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string, record_type string, refers_to string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect()}
+    assert got == {1: ("revisit", 2), 2: ("response", None)}
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
 def test_reader_is_incremental(chunk):
     parts, body = archive()

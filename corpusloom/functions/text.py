@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A run of letters and digits, or one other visible character: the token estimate of chunking.
+#: A run of letters and digits, or one other visible character: the token estimate of chunking (fixed value).
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 LEXEME = r"[\p{L}\p{N}]+"
 SNIPPET = 240

@@ -61,12 +61,24 @@ def error_ratio(events: DataFrame, at: str, minutes: int, failed: Column, *by: s
 
 def sustained(samples: DataFrame, at: str, holds: Column, minutes: int = QUEUE_MINUTES, by: list[str] | None = None) -> DataFrame:
     """Runs of samples in which a condition holds without a break, from the first to the last, of at least ``minutes``: keys,
-    since, until, minutes. Gaps and islands: a run is what lies between two samples where it does not hold."""
+    since, until, minutes. Gaps and islands: a run is what lies between two samples where it does not hold.
+
+    Samples go by day, so that one long series is many tasks' work; only the days' runs are then put together in order.
+    """
     by = by or []
-    w = Window.partitionBy(*by).orderBy(at)
-    rows = samples.withColumn("_h", F.coalesce(holds, F.lit(False)))
-    rows = rows.withColumn("_run", F.sum(F.when(F.col("_h"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = rows.where("_h").groupBy(*by, "_run").agg(F.min(at).alias("since"), F.max(at).alias("until")).drop("_run")
+    day = Window.partitionBy(*by, "_day")
+    so_far = day.orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    broken = F.when(F.col("_h"), 0).otherwise(1)
+    rows = samples.withColumns({"_h": F.coalesce(holds, F.lit(False)), "_day": F.to_date(at)})
+    rows = rows.withColumns({"_run": F.sum(broken).over(so_far), "_breaks": F.sum(broken).over(day)})
+    own = F.when(F.col("_h"), F.col(at))
+    # a run within a day, and whether it reaches the day's first and last sample; where nothing holds, a row without a run
+    pieces = rows.groupBy(*by, "_day", "_run").agg(F.min(own).alias("since"), F.max(own).alias("until"), F.first("_breaks").alias("_breaks"))
+    pieces = pieces.where(F.col("since").isNotNull() | (F.col("_run") == F.col("_breaks")))
+    order = Window.partitionBy(*by).orderBy("_day", "_run")
+    goes_on = F.lag((F.col("_run") == F.col("_breaks")) & F.col("since").isNotNull()).over(order) & (F.col("_run") == 0)
+    joined = pieces.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    runs = joined.where("since is not null").groupBy(*by, "_run").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("_run")
     return runs.withColumn("minutes", F.timestamp_diff("MINUTE", F.col("since"), F.col("until"))).where(F.col("minutes") >= minutes)
 
 

@@ -71,6 +71,7 @@ def cited(answers: DataFrame, sources: DataFrame, key: str, answer: str = "answe
 
 
 def refusal(tenant: str) -> str:
+    """What a refused question is answered with (fixed value)."""
     return f"I couldn't find information about that in {tenant}'s content."
 
 

@@ -67,3 +67,21 @@ def merged_settings(base: dict, overlay: dict) -> dict:
     for k, v in overlay.items():
         out[k] = merged_settings(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
+
+
+def boilerplate(pages: DataFrame) -> DataFrame:
+    """One row for a corpus of parsed pages (text, content and boilerplate: markers that should stay and go): pages, removal (the mean
+    share of boilerplate that is gone; 1 for a page without any), retention (the share of all content markers that are left)."""
+    left = lambda c: F.size(F.filter(c, lambda m: F.contains(F.col("text"), m)))
+    gone = F.coalesce(F.try_divide((F.size("boilerplate") - left("boilerplate")).cast("double"), F.size("boilerplate").cast("double")), F.lit(1.0))
+    kept = F.try_divide(F.sum(left("content")).cast("double"), F.sum(F.size("content")).cast("double"))
+    return pages.agg(F.count("*").alias("pages"), F.avg(gone).alias("removal"), F.coalesce(kept, F.lit(1.0)).alias("retention"))
+
+
+def cases_changed(cases: DataFrame, changes: DataFrame) -> DataFrame:
+    """The cases (case_id, question, expected) after a list of changes (seq, op: put or delete, and the same columns): the last change
+    of each case stands."""
+    last = changes.groupBy("case_id").agg(F.max_by(F.struct("op", "question", "expected"), "seq").alias("_c"))
+    rows = cases.join(last, "case_id", "full_outer").where(F.col("_c").isNull() | (F.col("_c.op") == "put"))
+    pick = lambda c: F.when(F.col("_c").isNotNull(), F.col(f"_c.{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select("case_id", pick("question"), pick("expected"))

@@ -129,7 +129,8 @@ def admitted(queued: DataFrame, running: DataFrame, cap: int = 2) -> DataFrame:
     """The oldest queued jobs of each tenant that its free places take."""
     busy = running.groupBy("tenant_id").agg(F.count("*").alias("_busy"))
     place = F.row_number().over(Window.partitionBy("tenant_id").orderBy("created_at", "job_id"))
-    return queued.withColumn("_n", place).join(busy, "tenant_id", "left").where(F.col("_n") + F.coalesce("_busy", F.lit(0)) <= cap).drop("_n", "_busy")
+    # the plain limit comes first: it lets Spark keep the first rows of a tenant on the map side
+    return queued.withColumn("_n", place).where(F.col("_n") <= cap).join(busy, "tenant_id", "left").where(F.col("_n") + F.coalesce("_busy", F.lit(0)) <= cap).drop("_n", "_busy")
 
 
 class TokenBucket:

@@ -64,6 +64,12 @@ def deletable(tenants: DataFrame, now: datetime) -> DataFrame:
     return tenants.where((F.col("status") == "deleting") & (F.col("delete_after") <= utc(now)))
 
 
+def to_migrate(tenants: DataFrame, slug: str | None = None) -> DataFrame:
+    """Tenants that a fleet migration takes, by slug: those whose database is in use, or the one asked for if it is such."""
+    rows = tenants.where(F.col("status").isin("active", "suspended", "deleting"))
+    return (rows.where(F.col("slug") == slug) if slug else rows).orderBy("slug")
+
+
 def chained_limits(requests: DataFrame, rate: float, burst: float, key_burst: float, tenant: str = "tenant_id", key: str = "key_id", at: str = "at", seq: str = "seq") -> DataFrame:
     """``requests`` with limited_by (tenant, key or null) and retry_after: first the tenant's bucket, then, for what that lets
     through and has a key, the key's. What the key's bucket refuses has taken the tenant's token."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import answer, evaluate
+from corpusloom.operators import answer, blocks, evaluate, search
 from corpusloom.plans.base import DataFrame, SparkSession, query, table
 
 _RANKED = """ranked as (select source, doc_id, text, row_number() over (partition by source order by doc_id) as r from documents)"""
@@ -162,3 +162,80 @@ def retrieved_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select doc_id, case when source like 'src1%' or source = 'src2' then true else false end as permitted from documents""")
 def model_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", answer.permitted_model(F.col("source"), ["src1*", "src2"]).alias("permitted"))
+
+
+_FUSED = "f as (select doc_id // 30 as query, doc_id as chunk_id, row_number() over (partition by doc_id // 30 order by doc_id) as r from documents)"
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty candidates for each query."""
+    i = F.col("doc_id")
+    group = F.floor(i / 30).alias("query")
+    return table(spark, sf_dir, "documents").select(group, i.alias("chunk_id")).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("chunk_id")))
+
+
+_SCORED = "s as (select query, chunk_id, cast((chunk_id * 7) % 13 as double) as score from f where r % 5 <> 0 and r <= 20)"
+
+
+@query(f"""with {_FUSED}, {_SCORED}, k as (select f.query, f.chunk_id, row_number() over (partition by f.query order by case when r <= 20 then 0 else 1 end, case when r <= 20 then -coalesce(score, 0) end, r) as n from f left join s using (query, chunk_id) where r <= 20)
+select query, chunk_id, n as r from k where n <= 8""")
+def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reranker's answer names candidates by index, one out of range and one twice; what it leaves out has score 0."""
+    fused = _fused(spark, sf_dir)
+    index, relevance = (F.col("r") - 1).alias("index"), ((F.col("chunk_id") * 7) % 13).cast("double").alias("relevance")
+    own = fused.where("r % 5 <> 0 and r <= 20").select("query", index, relevance, F.lit(0).alias("at"))
+    odd = fused.where("r = 1").select("query", F.explode(F.array(F.lit(0), F.lit(99))).alias("index"), F.lit(50.0).alias("relevance"), F.lit(1).alias("at"))
+    settings = search.Reranking(True, "cohere", ("cohere",), True)
+    head = fused.where(F.col("r") <= settings.top_n)
+    rows = search.searched(fused, search.mapped(head, own.union(odd)), 8, settings)
+    return rows.select("query", "chunk_id", F.col("r").cast("long").alias("r"))
+
+
+@query(f"""with {_FUSED} select query, chunk_id, r from f where r <= 8""")
+def search_without_reranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider that is not on the list leaves the fused order."""
+    rows = search.searched(_fused(spark, sf_dir), None, 8, search.Reranking(True, "cohere", ("other",), True))
+    return rows.select("query", "chunk_id", F.col("r").cast("long").alias("r"))
+
+
+@query("""select doc_id, case when doc_id % 2 = 0 and doc_id % 3 > 0 and doc_id % 5 <> 0 then 'rewritten ' || doc_id else source end as question from documents""")
+def rewrite_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    rewritten = F.when(i % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit('"rewritten '), i, F.lit('"')))
+    return table(spark, sf_dir, "documents").select("doc_id", search.standalone(F.col("source"), i % 3, i % 2 == 0, rewritten).alias("question"))
+
+
+@query(f"""with {_FUSED}, q as (select distinct query, case when query % 7 = 3 then null else 'as [2] and [' || (query % 9 + 1) || '], [77]' end as answer, query % 5 <> 0 as grounded, query % 2 = 0 as streamed from f),
+o as (select *, case when not grounded then 'refused' when answer is null then 'degraded' else 'answered' end as outcome from q)
+select o.query, outcome, coalesce(string_agg(chunk_id, ',' order by r) filter (where outcome <> 'refused' and (outcome = 'degraded' or streamed or r = 2 or r = query % 9 + 1)), '') as citations from o join f using (query) where r <= 8 group by 1, 2""")
+def answer_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = _fused(spark, sf_dir)
+    k = F.col("query")
+    told = F.when(k % 7 != 3, F.concat(F.lit("as [2] and ["), k % 9 + 1, F.lit("], [77]")))
+    asked = fused.select("query").distinct().select("query", told.alias("answer"), F.when(k % 7 == 3, "timeout").alias("error"), (k % 5 != 0).alias("grounded"), (k % 2 == 0).alias("streamed"))
+    rows = search.answered(asked, fused.where("r <= 8"))
+    return rows.select("query", "outcome", F.array_join("citations", ",").alias("citations"))
+
+
+@query("""select count(*) as pages, 1.0::double as removal, 1.0::double as retention from pages""")
+def boilerplate_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page wrapped in chrome that the parser is to take away, around an article that is to stay."""
+    i = F.col("page_id")
+    chrome = [F.concat(F.lit(m), i) for m in ("navmark", "asidemark", "footmark")]
+    html = F.concat(F.lit("<html><body><nav>"), chrome[0], F.lit("</nav><main><h1>kept"), i, F.lit("</h1><p>stays"), i, F.lit("</p></main><aside>"), chrome[1], F.lit("</aside><footer>"), chrome[2], F.lit("</footer></body></html>"))
+    text = blocks.canonical_column(blocks.parsed("text/html", html)["blocks"]).alias("text")
+    rows = table(spark, sf_dir, "pages").select(text, F.array(F.concat(F.lit("kept"), i), F.concat(F.lit("stays"), i)).alias("content"), F.array(*chrome).alias("boilerplate"))
+    return evaluate.boilerplate(rows)
+
+
+@query("""select item_id as case_id, case when item_id % 4 = 1 then 'new ' || item_id else text end as question from benchmark where item_id % 4 <> 2 union all select -1 - item_id, 'added' from benchmark where item_id % 4 = 3""")
+def eval_case_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("item_id")
+    items = table(spark, sf_dir, "benchmark")
+    none = F.array().cast("array<string>").alias("expected")
+    cases = items.select(i.alias("case_id"), F.col("text").alias("question"), none)
+    puts = items.where(i % 4 == 1).select(F.lit(1).alias("seq"), F.lit("put").alias("op"), i.alias("case_id"), F.concat(F.lit("new "), i).alias("question"), none)
+    first = items.where(i % 4 == 2).select(F.lit(0), F.lit("put"), i, F.lit("soon gone"), none)
+    gone = items.where(i % 4 == 2).select(F.lit(2), F.lit("delete"), i, F.lit(None).cast("string"), none)
+    added = items.where(i % 4 == 3).select(F.lit(3), F.lit("put"), -1 - i, F.lit("added"), none)
+    return evaluate.cases_changed(cases, puts.union(first).union(gone).union(added)).select("case_id", "question")

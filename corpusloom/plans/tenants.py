@@ -119,3 +119,8 @@ def querylog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     feedback = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), F.col("quality").alias("rating"))
     page, _ = tenancy.logged(logged, feedback, tenancy.cursor(datetime(2024, 1, 20), 0), 20, event_type="click", source=None)
     return page.select(F.col("query_id").alias("event_id"), "rating", "next")
+
+
+@query(f"""with {_TENANTS} select tenant_id from t""")
+def fleet_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tenancy.to_migrate(tenants(spark, sf_dir).withColumn("slug", F.concat(F.lit("t"), "tenant_id"))).select("tenant_id")

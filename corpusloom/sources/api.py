@@ -6,6 +6,7 @@ source (format "records_api") whose partitions are the endpoints.
 
 from __future__ import annotations
 
+import base64
 import importlib
 import json
 import re
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any
+from email.utils import parsedate_to_datetime
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -77,13 +79,62 @@ def fetch(url: str, transport: Transport, sleep: Callable[[float], None] = time.
         status, headers, body = transport(url)
         if status not in (429, 503) or attempt == RETRIES:
             break
-        wait = headers.get("retry-after", "")
-        sleep(min(float(wait) if wait.replace(".", "", 1).isdigit() else 2.0**attempt, LONGEST_WAIT))
+        sleep(min(wait_of(headers.get("retry-after", ""), 2.0**attempt), LONGEST_WAIT))
     if status >= 400:
         raise OSError(f"{url}: status {status}")
     return status, headers, body
 
 
+def wait_of(header: str, default: float, now: float | None = None) -> float:
+    """Seconds that a Retry-After header asks for: a number, or the time until a date; else the default."""
+    if header.replace(".", "", 1).isdigit():
+        return float(header)
+    try:
+        return max(0.0, parsedate_to_datetime(header).timestamp() - (time.time() if now is None else now))
+    except ValueError:
+        return default
+
+
+#: Sends a request with headers, and a form if one is given.
+Send = Callable[[str, dict[str, str], dict[str, str] | None], Response]
+
+
+def authorised(send: Send, auth: dict | None, credentials: dict[str, str], clock: Callable[[], float] = time.time) -> Transport:
+    """A transport that puts the credentials of a source's ``auth`` on each request: a key in a header, a bearer token, a name and a
+    password, or a client's token, which is fetched when the last one ends. A credential that is missing is an error at once."""
+    kind = (auth or {}).get("type", "none")
+    needed = {"none": (), "api_key_header": ("api_key",), "bearer": ("token",), "basic": ("username", "password"), "oauth2_cc": ("client_id", "client_secret")}
+    if kind not in needed:
+        raise ValueError(f"no authorisation of type {kind!r}")
+    if missing := [c for c in needed[kind] if not credentials.get(c) and not (c == "password" and c in credentials)]:
+        raise ValueError(f"{kind} needs {', '.join(missing)}")
+    if kind == "oauth2_cc" and not auth.get("token_url"):
+        raise ValueError("oauth2_cc needs token_url")
+    held = {"token": "", "until": 0.0}
+
+    def client_token() -> str:
+        if clock() >= held["until"]:
+            form = {"grant_type": "client_credentials", "client_id": credentials["client_id"], "client_secret": credentials["client_secret"]}
+            if auth.get("scopes"):
+                form["scope"] = " ".join(auth["scopes"])
+            status, _, body = send(auth["token_url"], {}, form)
+            if status >= 400:
+                raise OSError(f"no token: status {status}")
+            told = json.loads(body)
+            held.update(token=told["access_token"], until=clock() + float(told.get("expires_in", 3600)) - 10)
+        return held["token"]
+
+    def headers() -> dict[str, str]:
+        if kind == "api_key_header":
+            return {auth.get("header") or "X-API-Key": credentials["api_key"]}
+        if kind == "basic":
+            return {"Authorization": "Basic " + base64.b64encode(f"{credentials['username']}:{credentials['password']}".encode()).decode()}
+        token = credentials["token"] if kind == "bearer" else client_token() if kind == "oauth2_cc" else ""
+        return {"Authorization": f"Bearer {token}"} if token else {}
+
+    return lambda url: send(url, headers(), None)
+
+
 def next_link(header: str) -> str | None:
     """The address of a Link header whose rel holds next."""
     for m in re.finditer(r"<([^>]*)>([^<]*)", header or ""):
@@ -223,6 +274,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.endpoints = json.loads(options["endpoints"])
         self.transport = options["transport"]
+        self.auth, self.credentials = (json.loads(options.get(k) or "null") for k in ("auth", "credentials"))
 
     def partitions(self) -> list[_Endpoint]:
         return [_Endpoint(e) for e in self.endpoints]
@@ -230,6 +282,8 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Endpoint) -> Iterator[tuple]:
         module, _, name = self.transport.partition(":")
         transport = getattr(importlib.import_module(module), name)
+        if self.auth:
+            transport = authorised(transport, self.auth, self.credentials or {})
         e = partition.config
         mapping = Mapping(**e["mapping"])
         number = 0
@@ -241,7 +295,8 @@ class _Reader(DataSourceReader):
 
 
 class ApiSource(DataSource):
-    """Options: endpoints, a JSON list of {url, paging, items_path, mapping}, and transport, ``module:function``."""
+    """Options: endpoints, a JSON list of {url, paging, items_path, mapping}, and transport, ``module:function`` of a URL; with auth and
+    credentials (JSON objects) of a URL, headers and a form."""
 
     @classmethod
     def name(cls) -> str:

@@ -22,6 +22,13 @@ def root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, which cuts its lineage and survives lost executors."""
+    path = f"{root(df.sparkSession)}/corpusloom-tables/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stamp(tables: list[DataFrame], *more: object) -> str:
     """A name for the present files of tables, by path, length and time."""
     told = [repr(more)]

@@ -95,15 +95,17 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, max_pa
     """(url, depth) of pages reached from the seeds along links (url, link), level by level, and whether the cap cut it.
 
     A level is a join of the frontier with the links, less what was visited; of a level that passes the cap the first pages
-    by URL are taken. A depth of 0 means the default.
+    by URL are taken. A depth of 0 means the default. Each level is a stored table, so none computes those before it again.
     """
+    from corpusloom.sources.shared import stored
+
     depth, truncated = 0, False
-    visited = seeds.select("url").distinct().withColumn("depth", F.lit(0))
+    visited = stored(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "seeds")
     total = visited.count()
     frontier = visited
     while depth < (max_depth or MAX_DEPTH) and not truncated:
         depth += 1
-        found = frontier.join(edges, "url").select(F.col("link").alias("url")).distinct().join(visited, "url", "left_anti").withColumn("depth", F.lit(depth))
+        found = stored(frontier.join(edges, "url").select(F.col("link").alias("url")).distinct().join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)), "level")
         n = found.count()
         if not n:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
 
 from corpusloom.operators.operations import Breaker, TokenBucket
+from corpusloom.sources.tablestore import TableStore
 
 
 def usage_daily(stream: DataFrame, tenant: str, at: str, late: str = "1 day", **sums: Column) -> DataFrame:
@@ -31,8 +33,10 @@ def unique_jobs(stream: DataFrame, key: list[str], at: str, within: str) -> Data
 
 
 def rate_limited(stream: DataFrame, rate: float, burst: float, key: str, at: str, idle_ms: int | None = 3_600_000) -> DataFrame:
-    """``key``, ``at``, allowed and retry_after of each request under its key's token bucket. The state of a key is two
-    numbers, dropped after ``idle_ms`` without a request, when the bucket is full again; None keeps it."""
+    """``key``, ``at``, allowed and retry_after of each request under its key's token bucket, a micro-batch's requests in order of
+    time. The state of a key is two numbers, dropped after ``idle_ms`` without a request, but never before the bucket is full
+    again (burst / rate seconds); None, or a rate of 0, keeps it. Only the times of a key's requests in a micro-batch are held."""
+    idle_ms = idle_for(rate, burst, idle_ms)
     schema = T.StructType([stream.schema[key], stream.schema[at], T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType())])
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,6 +54,11 @@ def rate_limited(stream: DataFrame, rate: float, burst: float, key: str, at: str
     return stream.select(key, at).groupBy(key).applyInPandasWithState(step, schema, "tokens double, at double", "append", _timeout(idle_ms))
 
 
+def idle_for(rate: float, burst: float, idle_ms: int | None) -> int | None:
+    """The time after which a bucket's state may go: at least what an empty one takes to fill."""
+    return max(idle_ms, math.ceil(burst / rate * 1000)) if idle_ms and rate > 0 else None
+
+
 def broken(stream: DataFrame, key: str, at: str, ok: str, failures: int = 5, cooldown: float = 30.0, idle_ms: int | None = 86_400_000) -> DataFrame:
     """``key``, ``at`` and result of each call under its key's circuit breaker."""
     schema = T.StructType([stream.schema[key], stream.schema[at], T.StructField("result", T.StringType())])
@@ -81,8 +90,23 @@ def job_states(stream: DataFrame, job: str = "job_id", at: str = "at", state: st
     return stream.groupBy(job).agg(F.when(F.bool_or(F.col(state) == "cancelled"), F.lit("cancelled")).otherwise(F.max_by(state, order)).alias(state))
 
 
+def committing(store: TableStore, query: str, change: Callable[[DataFrame, int], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that applies each batch once, across restarts too: the tables that ``change`` makes of a batch and the
+    number of that batch are committed to the store as one."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        known = store.read("applied") if "applied" in store.names() else store.spark.createDataFrame([], "query string, number long")
+        last = known.where(F.col("query") == query).agg(F.max("number")).first()[0]
+        if last is None or number > last:
+            mark = store.spark.createDataFrame([(query, number)], "query string, number long")
+            store.commit({**change(batch, number), "applied": known.where(F.col("query") != query).union(mark)})
+
+    return sink
+
+
 def upserting(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that applies each batch once: a batch number that was applied is passed over."""
+    """A foreachBatch sink that passes over a batch that this process has applied, for writes that do no harm when repeated after a
+    restart; ``committing`` holds across restarts."""
     done: set[int] = set()
 
     def sink(batch: DataFrame, number: int) -> None:

@@ -8,9 +8,9 @@ from corpusloom.functions.vector import cosine_distance, parse, render
 from corpusloom.operators import retrieve
 
 ROWS = [
-    (1, "docs", "https://docs.acme.com/x200", '{"team":"support"}', "How to reset the X200 device", [1.0] + [0.0] * 7),
-    (2, "docs", "https://docs.acme.com/errors", '{"team":"engineering"}', "X200 error codes reference", [0.9, 0.1] + [0.0] * 6),
-    (3, "shop", "https://shop.acme.com/pasta", '{"team":"marketing"}', "Pasta carbonara cooking recipe", [0.0] * 7 + [1.0]),
+    (1, "docs", "https://manual.loomworks.test/k7", '{"group":"weavers"}', "Ways to restart the K7 loom", [1.0] + [0.0] * 7),
+    (2, "docs", "https://manual.loomworks.test/faults", '{"group":"smiths"}', "K7 list of fault lamps", [0.9, 0.1] + [0.0] * 6),
+    (3, "shop", "https://store.loomworks.test/bread", '{"group":"bakers"}', "Rye bread baking plan", [0.0] * 7 + [1.0]),
 ]
 
 
@@ -21,7 +21,7 @@ def chunks(spark):
 
 
 def ids(chunks, **filters):
-    got = retrieve.hybrid(chunks, [1.0] + [0.0] * 7, "X200 reset", retrieve.Filters(**filters)).collect()
+    got = retrieve.hybrid(chunks, [1.0] + [0.0] * 7, "K7 restart", retrieve.Filters(**filters)).collect()
     return [r["chunk_id"] for r in got], got
 
 
@@ -30,10 +30,10 @@ def test_golden_set(chunks):
     assert order[0] == 1 and rows[0]["score"] == pytest.approx(2 / 61)
     assert ids(chunks, sources=["shop"])[0] == [3]
     assert ids(chunks, sources=[])[0] == order
-    assert sorted(ids(chunks, uri_prefix="https://docs.acme.com/")[0]) == [1, 2]
-    assert ids(chunks, uri_prefix="https://docs.acme.com/%")[0] == []
-    assert ids(chunks, tags={"team": "support"})[0] == [1]
-    assert ids(chunks, tags={"team": ["support"]})[0] == [] and ids(chunks, tags={"team": "support", "n": 1})[0] == []
+    assert sorted(ids(chunks, uri_prefix="https://manual.loomworks.test/")[0]) == [1, 2]
+    assert ids(chunks, uri_prefix="https://manual.loomworks.test/%")[0] == []
+    assert ids(chunks, tags={"group": "weavers"})[0] == [1]
+    assert ids(chunks, tags={"group": ["weavers"]})[0] == [] and ids(chunks, tags={"group": "weavers", "n": 1})[0] == []
     assert ids(chunks, since=datetime(2030, 1, 1))[0] == []
     assert ids(chunks, since=datetime(2024, 5, 1), until=datetime(2024, 5, 1))[0] == order
     with pytest.raises(ValueError):

@@ -160,7 +160,7 @@ class Index:
 
         @F.pandas_udf(T.DoubleType())
         def density(query: pd.Series, at: pd.Series) -> pd.Series:
-            return pd.Series([parsed[q].density({x["lexeme"]: list(x["places"]) for x in xs}) for q, xs in zip(query, at, strict=True)], dtype="float64")
+            return pd.Series([parsed[q].density({x["lexeme"]: [int(p) for p in x["places"]] for x in xs}) for q, xs in zip(query, at, strict=True)], dtype="float64")
 
         # a group holds the query's words of one document
         held = met.where("not single").groupBy("query", self.id).agg(F.collect_list(F.struct("lexeme", "places")).alias("at"))

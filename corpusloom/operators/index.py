@@ -116,7 +116,8 @@ def build(docs: DataFrame, vectors: DataFrame, folder: str, id: str = "chunk_id"
     """Write the postings of ``docs`` and the lists of ``vectors`` under ``folder``."""
     parts = max(1, -(-docs.count() // PART_ROWS))
     rows = postings(docs, id, content).withColumn("bucket", bucket_of(F.col("lexeme")))
-    rows = rows.repartition(BUCKETS * parts, "bucket", F.pmod(F.xxhash64(id), F.lit(parts)))
+    tasks = BUCKETS * parts if parts > 1 else min(BUCKETS, 2 * docs.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.repartition(tasks, "bucket", F.pmod(F.xxhash64(id), F.lit(parts)))
     rows.sortWithinPartitions("bucket", "lexeme", id).write.partitionBy("bucket").parquet(f"{folder}/postings")
     unit = _sampled(vectors, id, embedding, SAMPLE)
     total = vectors.count()

@@ -22,19 +22,23 @@ _PREFIX = f"""{_RANKED}, t as (select *, cast(ceil(strlen(text) / 4.0) as bigint
 s as (select *, sum(tokens) over (partition by source order by r) as running from t), kept as (select * from s where running <= 4000 or r = 1)"""
 
 
+#: A first text over the budget, cut to its bytes at a whole code point.
+_CUT = """case when tokens <= 4000 then text else left(text, list_max(list_filter(range(greatest(0, 16000 - (strlen(text) - length(text))), 16001), lambda n: strlen(left(text, cast(n as bigint))) <= 16000))) end"""
+
+
 @query(f"""with {_PREFIX} select source, doc_id, tokens, cast(running as bigint) as running from kept""")
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = answer.budget_prefix(ranked(spark, sf_dir), 4000, ["source"], content="text")
     return kept.select("source", "doc_id", "tokens", "running")
 
 
-@query(f"""with {_PREFIX} select source, doc_id, '[' || r || '] ' || source || chr(10) || 'doc/' || doc_id || chr(10) || text as block from kept""")
+@query(f"""with {_PREFIX} select source, doc_id, '[' || r || '] ' || source || chr(10) || 'doc/' || doc_id || chr(10) || {_CUT} as block from kept""")
 def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("source", "doc_id", "block")
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources that each question's budget takes, rendered whole."""
+    """The sources that each question's budget takes, rendered; a first one over the budget is cut to it."""
     uri = F.concat(F.lit("doc/"), F.col("doc_id"))
     kept = answer.budget_prefix(ranked(spark, sf_dir), 4000, ["source"], content="text")
     return kept.withColumn("block", answer.rendered_block(F.col("r"), F.col("source"), _no_path(), uri, F.col("text")))
@@ -44,7 +48,7 @@ def _no_path():
     return F.lit(None).cast("array<string>")
 
 
-@query(f"""with {_PREFIX}, b as (select source, r, '[' || r || '] ' || source || chr(10) || 'doc/' || doc_id || chr(10) || text as block from kept)
+@query(f"""with {_PREFIX}, b as (select source, r, '[' || r || '] ' || source || chr(10) || 'doc/' || doc_id || chr(10) || {_CUT} as block from kept)
 select source, string_agg(block, chr(10) || chr(10) order by r) as context from b group by source""")
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.context(_blocks(spark, sf_dir), ["source"])

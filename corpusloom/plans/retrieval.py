@@ -33,8 +33,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id and embedding."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    """chunk_id and embedding of the vectors that have a text."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(own, "chunk_id", "left_semi")
 
 
 def probe(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:

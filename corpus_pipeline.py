@@ -24,7 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of exact copies and of texts linked by a five-word shingle similarity
-    of at least 0.8; of repeated rows of that id, one.
+    of at least 0.8; of repeated rows of that id, one. Candidates are SimHash links over deletion variants and what a shingle join
+    finds beyond them; every link is verified on whole texts.
 
     A document without an id goes by a hash of its text, above all ids."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))

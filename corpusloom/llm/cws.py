@@ -13,7 +13,6 @@ as many as shuffle partitions, one for each, so what the driver holds depends on
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np

@@ -189,7 +189,7 @@ def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, relevance = (F.col("r") - 1).alias("index"), ((F.col("chunk_id") * 7) % 13).cast("double").alias("relevance")
     own = fused.where("r % 5 <> 0 and r <= 20").select("query", index, relevance, F.lit(0).alias("at"))
     odd = fused.where("r = 1").select("query", F.explode(F.array(F.lit(0), F.lit(99))).alias("index"), F.lit(50.0).alias("relevance"), F.lit(1).alias("at"))
-    settings = search.Reranking(True, "cohere", ("cohere",), True)
+    settings = search.Reranking(True, "remote", ("remote",), True)
     head = fused.where(F.col("r") <= settings.top_n)
     rows = search.searched(fused, search.mapped(head, own.union(odd)), 8, settings)
     return rows.select("query", "chunk_id", F.col("r").cast("long").alias("r"))
@@ -198,7 +198,7 @@ def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_FUSED} select query, chunk_id, r from f where r <= 8""")
 def search_without_reranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A provider that is not on the list leaves the fused order."""
-    rows = search.searched(_fused(spark, sf_dir), None, 8, search.Reranking(True, "cohere", ("other",), True))
+    rows = search.searched(_fused(spark, sf_dir), None, 8, search.Reranking(True, "remote", ("other",), True))
     return rows.select("query", "chunk_id", F.col("r").cast("long").alias("r"))
 
 

@@ -34,7 +34,7 @@ _ID = 4  # bytes of an id
 #: The word pre-tokenizer's pattern for lower-case text below U+0250, where all versions of Unicode agree and the
 #: normaliser composes nothing.
 _L, _N, _S = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t\n\x0b\x0c\r \x85\xa0"
-_PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _BEYOND = re.compile("[^\\x00-ɏ]")
 
 
@@ -61,7 +61,7 @@ class WordIds:
             if _BEYOND.search(lower) or text and any(s in text for s in self.special):
                 words.append(_packed(self.lib.encode(text, add_special_tokens=False).ids))
             else:
-                words.append(_PRE.findall(lower))
+                words.append(PRE.findall(lower))
         if len(self.kept) > KEPT:
             self.kept = {}
         new = list(set().union(*(w for w in words if isinstance(w, list))).difference(self.kept))

@@ -38,14 +38,38 @@ select (select count(*) from seen) as docs_seen, (select count(*) from changed)
 (select string_agg(e, ';' order by e) from (select doc_id || ': unsupported mime type ''x/unknown''' as e from seen where doc_id % 50 = 1 order by cast(doc_id as varchar) limit 100)) as errors""")
 def sync_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of a second full sync, with new, changed, unchanged, unreadable and vanished documents."""
-    docs, own = documents(spark, sf_dir), store(spark)
+    own = store(spark)
+    out = shared.stored(_twice(spark, sf_dir, own).drop("duration_ms").withColumn("errors", F.array_join("errors", ";")), "sync-run")
+    own.remove()
+    return out
+
+
+def _twice(spark: SparkSession, sf_dir: str, own: TableStore) -> DataFrame:
+    """Two full syncs of the documents; the counters of the second."""
+    docs = documents(spark, sf_dir)
     mime = F.when(F.col("doc_id") % 50 == 1, "x/unknown").otherwise("text/plain").alias("mime")
     first = docs.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("external_id"), mime, F.col("text").alias("data"))
     text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("data")
     second = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("external_id"), mime, text)
     sync.synced(own, first, lengths, sync.Run("s", "m1", datetime(2024, 1, 1), target=WHOLE))
-    stats = sync.synced(own, second, lengths, sync.Run("s", "m1", datetime(2024, 1, 2), target=WHOLE))
-    return stats.drop("duration_ms").withColumn("errors", F.array_join("errors", ";"))
+    return sync.synced(own, second, lengths, sync.Run("s", "m1", datetime(2024, 1, 2), target=WHOLE))
+
+
+@query(f"""with a as (select doc_id, {_CANON} as c from (select doc_id, text as t from documents where doc_id % 4 <> 0 and doc_id % 50 <> 1)),
+b as (select doc_id, {_CANON} as c from (select doc_id, case when doc_id % 5 = 0 then text || '!' else text end as t from documents where doc_id % 3 <> 0 and doc_id % 50 <> 1))
+select cast(doc_id as varchar) as external_id, case when doc_id % 3 = 0 then 'deleted' else 'active' end as status, case when doc_id % 3 = 0 then 1 else 2 end as seen_on,
+sha256(coalesce(b.c, a.c)) as markdown, cast(coalesce(b.c, a.c) <> '' as bigint) as chunks from a full join b using (doc_id)""")
+def sync_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the store has it after two syncs, read from the logs of parts: state, current version and its chunks."""
+    own = store(spark)
+    _twice(spark, sf_dir, own)
+    now = sync.opened(own.snapshot())
+    held = now["chunks"].groupBy("version_id").agg(F.count("*").alias("chunks"))
+    rows = now["documents"].join(now["versions"].select(F.col("version_id").alias("current_version"), "markdown"), "current_version", "left").join(held.withColumnRenamed("version_id", "current_version"), "current_version", "left")
+    out = rows.select("external_id", "status", F.dayofmonth("last_seen_at").alias("seen_on"), F.sha2("markdown", 256).alias("markdown"), F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))
+    out = shared.stored(out, "sync-state")
+    own.remove()
+    return out
 
 
 @query("""with live as (select source || '/' || lang as d, max(doc_id) as v from documents where lang <> 'es' group by 1)
@@ -59,9 +83,11 @@ def reindex_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = top.select("external_id", F.lit("s").alias("source"), F.lit("h").alias("content_hash"), "current_version", F.when(F.substring_index("external_id", "/", -1) == "es", "deleted").otherwise("active").alias("status"), F.lit(None).cast("timestamp").alias("deleted_at"), now.alias("last_seen_at"))
     versions = docs.select(version, key, F.lit("s").alias("source"), F.lit("h").alias("content_hash"), F.col("source").alias("title"), F.col("text").alias("markdown"), now.alias("created_at"))
     chunks = docs.select(version.alias("chunk_id"), version, F.lit(0).alias("position"), F.array().cast("array<string>").alias("heading_path"), F.col("text").alias("content"), F.col("text").alias("embed_text"), F.lit(1).alias("token_count"), F.sha2("text", 256).alias("chunk_hash"), F.lit("m1").alias("model"), F.array(F.lit(0.0)).cast("array<float>").alias("embedding"))
-    own.commit({"documents": states, "versions": versions, "chunks": chunks})
+    own.commit(own.snapshot(), replace={"documents": states, "versions": versions, "chunks": chunks})
     work = sync.Reindex(own, lengths, "m2", batch=40)
     work.run()
     work.swap()
     work.drop_old()
-    return own.read("chunks").select(F.col("version_id").cast("long").alias("doc_id"), "model", "embed_text", F.col("embedding")[0].cast("double").alias("first"))
+    out = shared.stored(own.read("chunks").select(F.col("version_id").cast("long").alias("doc_id"), "model", "embed_text", F.col("embedding")[0].cast("double").alias("first")), "reindex-run")
+    own.remove()
+    return out

@@ -95,11 +95,14 @@ def committing(store: TableStore, query: str, change: Callable[[DataFrame, int],
     number of that batch are committed to the store as one."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        known = store.read("applied") if "applied" in store.names() else store.spark.createDataFrame([], "query string, number long")
+        base = store.snapshot()
+        kind = "query string, number long"
+        known = base.read("applied") if "applied" in base.tables else store.spark.createDataFrame([], kind)
         last = known.where(F.col("query") == query).agg(F.max("number")).first()[0]
         if last is None or number > last:
-            mark = store.spark.createDataFrame([(query, number)], "query string, number long")
-            store.commit({**change(batch, number), "applied": known.where(F.col("query") != query).union(mark)})
+            mark = store.spark.createDataFrame([(query, number)], kind)
+            # made from the snapshot taken before ``change`` reads: what others commit meanwhile makes it fail, not get lost
+            store.commit(base, replace=change(batch, number), upsert={"applied": (mark, ["query"])})
 
     return sink
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from corpusloom.functions import urls
 from corpusloom.operators.blocks import canonical
 from corpusloom.sources import api, files, registry, web
-from corpusloom.sources.tablestore import TableStore
 
 
 @pytest.mark.parametrize(
@@ -236,15 +235,6 @@ def test_waits():
     assert api.wait_of("Thu, 01 Jan 1970 00:02:00 GMT", 1.0, 100.0) == 20 and api.wait_of("Thu, 01 Jan 1970 00:00:00 GMT", 1.0, 100.0) == 0
 
 
-def test_table_store_swaps_whole_versions(spark, tmp_path):
-    store = TableStore(spark, f"file://{tmp_path}/store")
-    store.commit({"t": spark.range(3), "u": spark.range(1)})
-    old = store.read("t")
-    store.commit({"t": store.read("t").where("id > 0")})
-    assert old.count() == 3 and store.read("t").count() == 2 and store.names() == ["t", "u"]
-    assert store.vacuum() == 0 and store.vacuum(0) == 1 and store.read("t").count() == 2
-
-
 @pytest.mark.parametrize(
     ("address", "blocked"),
     [("8.8.8.8", False), ("10.0.0.1", True), ("127.0.0.1", True), ("169.254.169.254", True), ("::1", True), ("::ffff:192.168.0.1", True), ("fd00::1", True), ("2606:4700::1111", False), ("224.0.0.1", True), ("255.255.255.255", True), ("junk", True), (None, True)],
@@ -253,21 +243,3 @@ def test_blocked_addresses(address, blocked):
     from corpusloom.functions.net import blocked as found
 
     assert found(address) is blocked
-
-
-def test_two_writers_of_a_store(spark, tmp_path):
-    """The second commit made from the same state fails; a pointer left empty by a writer that died counts for nothing."""
-    one, two = (TableStore(spark, f"file://{tmp_path}/store") for _ in range(2))
-    one.commit({"t": spark.range(3)})
-    stale = two._state()
-    one.commit({"t": spark.range(4)})
-    two._state = lambda: stale
-    with pytest.raises(OSError):
-        two.commit({"t": spark.range(9)})
-    assert one.read("t").count() == 4
-    (tmp_path / "store/_pointers/000000000002").write_text("")
-    assert one.read("t").count() == 4
-    one.commit({"u": spark.range(1)})
-    assert one.names() == ["t", "u"]
-    one.put("a/b.bin", b"\x00data")
-    assert one.get("a/b.bin") == b"\x00data"

@@ -4,16 +4,19 @@ Postings: a row for each (lexeme, document) with the lexeme's places, dealt over
 reads the partitions of its own words, with the words pushed down to the row groups, and never a text. A lexeme that most
 documents hold is spread over ``parts`` files of its partition.
 
-Vectors: an inverted file. Centres are fitted on a bounded sample, each vector lies in the partition of its nearest centre, and a
-query reads the nearest ``probes`` of them. ``probes`` is the least number that finds ``RECALL`` of the exact neighbours of a
-sample of queries, measured when the index is built.
+Vectors: an inverted file. Centres are fitted on a bounded sample, each vector lies in the partition of its nearest centre with the
+columns that filters read. A search probes list by list, nearest centre first, until enough rows pass the filters and no list left
+can hold a nearer one: by the triangle inequality on the sphere, a list is no nearer than its centre less its radius. So the result is
+exact; with a ``share`` of each radius fewer lists are read. The index proposes the least share that finds ``RECALL`` of the exact
+neighbours of a sample of queries, and for searches without bounds the least number of ``probes``; both are measured when it is
+built.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +34,11 @@ from corpusloom.operators import retrieve
 BUCKETS, PART_ROWS = 64, 2_000_000
 #: Vectors that centres are fitted on and rounds of fitting; queries that recall is measured by, their neighbours, the share of
 #: these to be found.
-SAMPLE, ROUNDS, ASKED, NEIGHBOURS, RECALL = 20_000, 10, 64, 10, 0.97
+SAMPLE, ROUNDS, ASKED, NEIGHBOURS, RECALL = 20_000, 10, 64, 10, 0.95
+#: Waves of a batch; shares of a radius that are tried, in twentieths; how many times the rows of a wave those of the next are;
+#: vectors and queries of one task of a batch; the slack of a bound in radians.
+WAVES, SHARES, GROWTH = 3, range(21), 4
+TASK_ROWS, TASK_QUERIES, SLACK = 200_000, 4096, 1e-6
 
 
 def bucket_of(lexeme: Column, buckets: int = BUCKETS) -> Column:
@@ -97,35 +104,91 @@ def probes_for(unit: np.ndarray, c: np.ndarray, recall: float = RECALL, asked: i
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
 
 
+def lower_bounds(cosine: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The least cosine distance that a member of each list can have to a query, from the cosine to the centre and the radius."""
+    return 1 - np.cos(np.maximum(np.arccos(np.clip(cosine, -1, 1)) - radius - SLACK, 0))
+
+
+def share_for(unit: np.ndarray, c: np.ndarray, recall: float = RECALL, asked: int = ASKED, k: int = NEIGHBOURS) -> float:
+    """The least share of the radii with which a bounded search finds ``recall`` of the nearest ``k`` of some of the sample's own vectors."""
+    if len(c) < 2:
+        return 1.0
+    own, cosine = (unit @ c.T).argmax(1), unit @ c.T
+    off = np.arccos(np.clip(cosine[np.arange(len(unit)), own], -1, 1))
+    queries = np.arange(0, len(unit), max(1, len(unit) // asked))
+    radius = np.zeros(len(c))
+    np.maximum.at(radius, own, off)
+    for share in (x / 20 for x in SHARES[:-1]):
+        found = wanted = 0
+        for q in queries:
+            distance = 1 - unit @ unit[q]
+            near = np.argsort(distance, kind="stable")[:k]
+            bounds, order = lower_bounds(cosine[q], share * radius), np.argsort(-cosine[q], kind="stable")
+            probed: list[int] = []
+            kth = np.inf
+            for part in waves(order, np.bincount(own, minlength=len(c)), k):
+                probed += [x for x in part if bounds[x] < kth]
+                mine = np.sort(distance[np.isin(own, probed)])
+                kth = mine[k - 1] if len(mine) >= k else np.inf
+            found += np.isin(own[near], probed).sum()
+            wanted += len(near)
+        if found >= recall * wanted:
+            return share
+    return 1.0
+
+
+def waves(order: np.ndarray, sizes: np.ndarray, k: int) -> list[list[int]]:
+    """Lists with rows, in a query's order, cut into waves: the first of ten rows for each asked for, each next ``GROWTH`` times as
+    many."""
+    order = np.asarray(order)[sizes[order] > 0] if len(order) else np.zeros(0, np.int64)
+    out, at, rows, sums = [], 0, 10 * k, np.cumsum(sizes[order])
+    while at < len(order):
+        stop = int(np.searchsorted(sums, (sums[at - 1] if at else 0) + rows)) + 1
+        out.append(order[at:stop].tolist())
+        at, rows = stop, rows * GROWTH
+    return out
+
+
 def listed(vectors: DataFrame, c: np.ndarray, id: str, embedding: str) -> DataFrame:
-    """``id``, ``embedding`` and list, the nearest centre; -1 for vectors that cannot be compared."""
-    schema = T.StructType([vectors.schema[id], vectors.schema[embedding], T.StructField("list", T.IntegerType())])
+    """The columns of ``vectors``, list (the nearest centre; -1 for vectors that cannot be compared) and off, the angle to it."""
+    schema = T.StructType([*vectors.schema.fields, T.StructField("list", T.IntegerType()), T.StructField("off", T.DoubleType())])
+    at = vectors.columns.index(embedding)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.full(batch.num_rows, -1, np.int32)
-            rows = [(k, v) for k, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(c) and len(v) == c.shape[1] and None not in v and any(v)]
+            own, off = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+            rows = [(k, v) for k, v in enumerate(batch.column(at).to_pylist()) if v is not None and len(c) and len(v) == c.shape[1] and None not in v and any(v)]
             if rows:
-                own[[k for k, _ in rows]] = (np.array([v for _, v in rows], np.float64) @ c.T).argmax(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=schema.names)
+                m, places = np.array([v for _, v in rows], np.float64), [k for k, _ in rows]
+                cosine = m @ c.T / np.linalg.norm(m, axis=1, keepdims=True)
+                own[places], off[places] = cosine.argmax(1), np.arccos(np.clip(cosine.max(1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(off)], names=schema.names)
 
-    return vectors.select(id, embedding).mapInArrow(run, schema)
+    return vectors.mapInArrow(run, schema)
 
 
-def build(docs: DataFrame, vectors: DataFrame, folder: str, id: str = "chunk_id", content: str = "content", embedding: str = "embedding") -> None:
-    """Write the postings of ``docs`` and the lists of ``vectors`` under ``folder``."""
+def build(docs: DataFrame, vectors: DataFrame, folder: str, id: str = "chunk_id", content: str = "content", embedding: str = "embedding", attributes: tuple[str, ...] = ()) -> None:
+    """Write the postings of ``docs``, the lists of ``vectors`` with the ``attributes`` of their documents and held (whether there
+    is one), and the attributes by themselves, under ``folder``. Ids are unique in both tables."""
     parts = max(1, -(-docs.count() // PART_ROWS))
     rows = postings(docs, id, content).withColumn("bucket", bucket_of(F.col("lexeme")))
     tasks = BUCKETS * parts if parts > 1 else min(BUCKETS, 2 * docs.sparkSession.sparkContext.defaultParallelism)
     rows = rows.repartition(tasks, "bucket", F.pmod(F.xxhash64(id), F.lit(parts)))
     rows.sortWithinPartitions("bucket", "lexeme", id).write.partitionBy("bucket").parquet(f"{folder}/postings")
+    docs.select(id, *attributes).write.parquet(f"{folder}/attributes")
     unit = _sampled(vectors, id, embedding, SAMPLE)
     total = vectors.count()
-    c = centres(unit, max(1, min(round(total**0.5 / 4), 4096, len(unit))))
-    rows = listed(vectors, c, id, embedding)
+    c = centres(unit, max(1, min(round(total**0.5), 4096, len(unit))))
+    told = docs.sparkSession.read.schema(docs.select(id, *attributes).schema).parquet(f"{folder}/attributes").withColumn("held", F.lit(True))
+    wide = vectors.select(id, embedding).join(told, id, "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    rows = listed(wide, c, id, embedding)
     rows.repartition("list", F.pmod(F.xxhash64(id), F.lit(max(1, total // PART_ROWS)))).write.partitionBy("list").parquet(f"{folder}/vectors")
-    told = json.dumps({"centres": c.tolist(), "probes": probes_for(unit, c)})
-    docs.sparkSession.createDataFrame([(told,)], "value string").coalesce(1).write.text(f"{folder}/meta")
+    lists = docs.sparkSession.read.parquet(f"{folder}/vectors").where("list >= 0").groupBy("list").agg(F.count("*").alias("n"), F.max("off").alias("radius")).collect() if total else []  # a row for each list
+    sizes, radii = [0] * len(c), [0.0] * len(c)
+    for r in lists:
+        sizes[r["list"]], radii[r["list"]] = r["n"], r["radius"]
+    meta = json.dumps({"centres": c.tolist(), "probes": probes_for(unit, c), "share": share_for(unit, c), "sizes": sizes, "radii": radii})
+    docs.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{folder}/meta")
 
 
 @dataclass
@@ -139,8 +202,9 @@ class Index:
 
     def __post_init__(self) -> None:
         told = json.loads(self.spark.read.text(f"{self.folder}/meta").first()[0])
-        self.centres, self.probes = np.array(told["centres"]), told["probes"]
-        self._postings, self._vectors = (self.spark.read.parquet(f"{self.folder}/{x}") for x in ("postings", "vectors"))
+        self.centres, self.probes, self.share = np.array(told["centres"]), told["probes"], told["share"]
+        self.sizes, self._radii = np.array(told["sizes"], np.int64), np.array(told["radii"], np.float64)
+        self._postings, self._vectors, self.attributes = (self.spark.read.parquet(f"{self.folder}/{x}") for x in ("postings", "vectors", "attributes"))
 
     def places(self, words: list[str]) -> DataFrame:
         """The postings of some words."""
@@ -182,6 +246,103 @@ class Index:
         """``id``, distance and r of the nearest of the probed lists."""
         return retrieve.top_vector(self.near(vector, probes), vector, k, self.id, self.embedding)
 
+    def _bounds(self, vector: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Lists in the order of their centres, and the bound of each list's distance."""
+        cosine = self.centres @ (vector / np.linalg.norm(vector))
+        bounds = lower_bounds(cosine, share * self._radii)
+        bounds[self.sizes == 0] = np.inf
+        return np.argsort(-cosine, kind="stable"), bounds
+
+    def search(self, vector: list[float], k: int = retrieve.K_VECTOR, where: Column | None = None, share: float = 1.0) -> tuple[DataFrame, list[int]]:
+        """``id``, distance and r of the nearest ``k`` that pass ``where`` (on ``id``, held and the attributes), and the lists that
+        were read. Lists are read in growing waves, of which all while fewer than k rows pass, and then those whose bound is under the
+        k-th distance so far. ``share`` is what counts of a list's radius; 1 is exact."""
+        v = np.asarray(vector, np.float64)
+        empty = self._vectors.select(self.id).limit(0).withColumns({"distance": F.lit(0.0), "r": F.lit(0)})
+        if not len(self.centres) or len(v) != self.centres.shape[1] or not v.any():
+            return empty, []
+        order, bounds = self._bounds(v, share)
+        best: list[tuple] = []
+        read: list[int] = []
+        for part in waves(order, self.sizes, k):
+            now = [x for x in part if len(best) < k or bounds[x] < best[-1][1]]
+            if not now:
+                continue
+            some = self._vectors.where(F.col("list").isin(now))
+            near = retrieve.top_vector(some if where is None else some.where(where), vector, k, self.id, self.embedding)
+            best = sorted([*best, *((r[0], r[1]) for r in near.select(self.id, "distance").collect())], key=lambda r: (r[1], r[0]))[:k]  # k rows
+            read += now
+        if not best:
+            return empty, read
+        found = self.spark.createDataFrame([(*row, n + 1) for n, row in enumerate(best)], T.StructType([self._vectors.schema[self.id], T.StructField("distance", T.DoubleType()), T.StructField("r", T.IntegerType())]))
+        return found, read
+
+    def search_batch(self, queries: DataFrame, k: int = retrieve.K_VECTOR, where: Column | None = None, share: float = 1.0) -> tuple[DataFrame, DataFrame]:
+        """query, ``id``, distance and r for a table of queries (query, vector), and (query, list), what was read for each. Waves as in
+        ``search``, of all queries at once, the third being the last; a task compares a block of a list's vectors with a block of its queries, and nothing
+        of either passes the driver. Queries without a comparable vector find nothing."""
+        from corpusloom.sources import shared
+
+        kind = self._vectors.schema[self.id]
+        asked = shared.stored(queries.select(F.col("query").cast("long").alias("query"), F.col("vector").cast("array<float>").alias("vector")), "asked")
+        width = self.centres.shape[1] if len(self.centres) else 0
+        # plain values for the tasks
+        centres, sizes, radii = self.centres, self.sizes, share * self._radii
+
+        def lists(number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    out: list[tuple[int, int]] = []
+                    for row, (v, kth) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                        if v is None or len(v) != width or None in v or not any(v):
+                            continue
+                        cosine = centres @ (np.asarray(v, np.float64) / np.linalg.norm(v))
+                        parts = waves(np.argsort(-cosine, kind="stable"), sizes, k)
+                        parts = parts[number : number + 1] if number + 1 < WAVES else parts[number:]
+                        bounds = lower_bounds(cosine, radii)
+                        out += [(row, x) for part in parts for x in part if kth is None or bounds[x] < kth]
+                    rows = pa.array([r for r, _ in out], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([x for _, x in out], pa.int32())], names=["query", "vector", "list"])
+
+            return run
+
+        def compared(left: pa.Table, right: pa.Table) -> pa.Table:
+            names = ["query", own_id, "distance"]
+            if not left.num_rows or not right.num_rows:
+                return pa.table([pa.array([], pa.int64()), left.column(own_id).slice(0, 0), pa.array([], pa.float64())], names=names)
+            m, q = (np.array(t.column(c).combine_chunks().flatten(), np.float64).reshape(-1, width) for t, c in ((left, embedding), (right, "vector")))
+            distance = 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
+            # rows are in the order of ids, so of equal distances the smaller id is taken
+            least = np.argsort(distance, axis=1, kind="stable")[:, :k]
+            ids = left.column(own_id).combine_chunks().take(pa.array(least.ravel()))
+            return pa.table([pa.array(np.repeat(right.column("query").to_numpy(), least.shape[1])), ids, pa.array(np.take_along_axis(distance, least, 1).ravel())], names=names)
+
+        own_id, embedding = self.id, self.embedding
+        parts = max(1, -(-int(self.sizes.max(initial=0)) // TASK_ROWS))
+        schema = T.StructType([T.StructField("query", T.LongType()), kind, T.StructField("distance", T.DoubleType())])
+
+        def wave(rows: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+            told = shared.stored(rows.mapInArrow(lists(number), "query long, vector array<float>, list int"), "probes")
+            n, busiest = told.groupBy("list").count().agg(F.count("*"), F.max("count")).first()
+            probed = [r[0] for r in told.select("list").distinct().collect()] if n else []  # numbers of lists, 4,096 at most
+            blocks = max(1, -(-(busiest or 0) // TASK_QUERIES))
+            every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+            dealt = told.withColumn("part", every(parts)).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+            some = self._vectors.where(F.col("list").isin(probed))
+            some = (some if where is None else some.where(where)).select(self.id, self.embedding, "list", F.pmod(F.xxhash64(self.id), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"))
+            key = ["list", "part", "block"]
+            near = some.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(lambda a, b: compared(a.sort_by(own_id), b), schema)
+            return near, told.select("query", "list")
+
+        place = F.row_number().over(Window.partitionBy("query").orderBy("distance", self.id))
+        found, read = wave(asked.withColumn("kth", F.lit(None).cast("double")), 0)
+        for number in range(1, WAVES):
+            found = shared.stored(found.withColumn("r", place).where(F.col("r") <= k), "near")
+            kth = found.where(F.col("r") == k).select("query", F.col("distance").alias("kth"))
+            more, others = wave(asked.join(kth, "query", "left"), number)
+            found, read = found.drop("r").union(more), read.union(others)
+        return found.withColumn("r", place).where(F.col("r") <= k), read
+
     def top_vector_batch(self, queries: list[tuple[int, list[float]]], k: int = retrieve.K_VECTOR, probes: int | None = None) -> DataFrame:
         """query, ``id``, distance and r for many queries: a task compares a list's vectors with the queries that probe it."""
         lists: dict[int, list[int]] = {}

@@ -122,18 +122,22 @@ def final_k(asked: int | None, setting: int | None, ceiling: int = MAX_K) -> int
     return min(k, ceiling)
 
 
-def hybrid(chunks: DataFrame, vector: list[float], text: str, filters: Filters | None = None, k_vector: int = K_VECTOR, k_text: int = K_TEXT, k: int = FINAL_K, id: str = "chunk_id", texts: DataFrame | None = None, index: Index | None = None) -> DataFrame:
-    """The chunks' rows with score, best first. Filters apply before either ranking. ``texts`` are the
-    chunks without their vectors, where those are stored apart: then only the vector list reads the vectors. With ``index``
-    the text list comes from its postings instead of the texts."""
+def hybrid(chunks: DataFrame, vector: list[float], text: str, filters: Filters | None = None, k_vector: int = K_VECTOR, k_text: int = K_TEXT, k: int = FINAL_K, id: str = "chunk_id", index: Index | None = None, share: float = 1.0) -> DataFrame:
+    """The chunks' rows with score, best first. Filters apply before either ranking.
+
+    With ``index`` both lists come from it: the words' postings, and the vector lists that can hold a neighbour which passes the
+    filters (``share`` below 1 reads fewer, see ``Index.search``); ``chunks`` is then read for the best rows only. It must have been
+    built of these chunks, with the columns that the filters read."""
     if not text.strip():
         raise ValueError("the query is blank")
-    texts = chunks if texts is None else texts
-    kept, read = ((df.where(filters.condition()) if filters else df) for df in (chunks, texts))
-    by_text = top_text(read.select(id, "content"), text, k_text, id) if index is None else index.top_text(text, k_text, read if filters else None)
-    best = fused([top_vector(kept, vector, k_vector, id), by_text], k, id)
+    if index is None:
+        kept = chunks.where(filters.condition()) if filters else chunks
+        lists = [top_vector(kept, vector, k_vector, id), top_text(kept.select(id, "content"), text, k_text, id)]
+    else:
+        held = F.col("held") & filters.condition() if filters else F.col("held")
+        lists = [index.search(vector, k_vector, held, share)[0], index.top_text(text, k_text, index.attributes.where(filters.condition()) if filters else None)]
     # at most k rows
-    return texts.join(F.broadcast(best), id).orderBy(F.col("score").desc(), F.col(id))
+    return chunks.join(F.broadcast(fused(lists, k, id)), id).orderBy(F.col("score").desc(), F.col(id))
 
 
 def top_vector_batch(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int = K_VECTOR, id: str = "chunk_id", embedding: str = "embedding", lists: dict[int, list[int]] | None = None) -> DataFrame:

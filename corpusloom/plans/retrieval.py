@@ -15,9 +15,9 @@ from corpusloom.plans.base import DataFrame, SparkSession, documents, query, tab
 from corpusloom.sources import shared
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """chunk_id, source, uri, metadata, created_at, content."""
-    return table(spark, sf_dir, "documents").select(
+    return (table(spark, sf_dir, "documents") if docs is None else docs).select(
         F.col("doc_id").alias("chunk_id"),
         "source",
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "lang", F.lit("/"), "doc_id").alias("uri"),
@@ -32,12 +32,6 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id and embedding of the vectors that have a text."""
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(own, "chunk_id", "left_semi")
-
-
 def probe(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
     """The query vector: that of a given id."""
     return list(table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
@@ -49,10 +43,10 @@ _OPEN: dict[str, indexes.Index] = {}
 def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
     """The index of the documents' texts and vectors, built when it is first asked for and after the tables' files change."""
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    name = "index-" + shared.stamp([docs, vectors], "first form", indexes.BUCKETS)
+    name = "index-" + shared.stamp([docs, vectors], "fifth form", indexes.BUCKETS)
     if (known := _OPEN.get(name)) is None or known.spark is not spark:
-        own = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-        folder = shared.built(spark, name, lambda path: indexes.build(own, vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), path))
+        own = texts(spark, sf_dir, documents(spark, sf_dir))
+        folder = shared.built(spark, name, lambda path: indexes.build(own, vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), path, attributes=("source", "uri", "metadata", "created_at")))
         _OPEN[name] = known = indexes.Index(spark, folder)
     return known
 
@@ -207,15 +201,34 @@ def text_cover_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("r").cast("long").alias("r"))
 
 
+FILTERS = retrieve.Filters(["src0", "src1", "src2", "src3"], "https://src", datetime(2024, 1, 5), datetime(2024, 11, 30), {"lang": "en"})
+
+
 @query(_lists())
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told(retrieve.hybrid(vectors(spark, sf_dir), probe(spark, sf_dir), WORD, texts=texts(spark, sf_dir), index=index(spark, sf_dir)))
+    return _told(retrieve.hybrid(texts(spark, sf_dir), probe(spark, sf_dir), WORD, index=index(spark, sf_dir)))
 
 
 @query(_lists("source in ('src0', 'src1', 'src2', 'src3') and lang = 'en' and starts_with(uri, 'https://src') and created_on >= date '2024-01-05' and created_on <= date '2024-11-30'"))
 def hybrid_rrf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filters = retrieve.Filters(["src0", "src1", "src2", "src3"], "https://src", datetime(2024, 1, 5), datetime(2024, 11, 30), {"lang": "en"})
-    return _told(retrieve.hybrid(chunks(spark, sf_dir), probe(spark, sf_dir), WORD, filters, texts=texts(spark, sf_dir), index=index(spark, sf_dir)))
+    return _told(retrieve.hybrid(texts(spark, sf_dir), probe(spark, sf_dir), WORD, FILTERS, index=index(spark, sf_dir)))
+
+
+@query()
+def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What searches with the share that the index proposes find of the exact ten nearest, over the whole query set, without filters
+    and with: recall, and the part of the lists that a query reads."""
+    own, out = index(spark, sf_dir), None
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    total = int((own.sizes > 0).sum())
+    for name, where in (("none", F.col("held")), ("all", F.col("held") & FILTERS.condition())):
+        exact = own.search_batch(asked, 10, where)[0].select("query", "chunk_id")
+        found, read = own.search_batch(asked, 10, where, own.share)
+        hits = exact.join(found.select("query", "chunk_id", F.lit(True).alias("hit")), ["query", "chunk_id"], "left").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
+        row = hits.crossJoin(read.agg(F.countDistinct("query").alias("queries"), F.count("*").alias("lists")))  # frames of one row
+        row = row.select(F.lit(name).alias("filters"), "queries", "wanted", "found", F.try_divide("found", "wanted").alias("recall"), F.try_divide("lists", F.col("queries") * total).alias("read"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query("""select vec_id, round(1.0::double / (60 + r), 6) as score from (select vec_id, row_number() over (order by vec_id) as r from embeddings) where r <= 10""")

@@ -64,6 +64,83 @@ def test_a_batch_is_many_single_queries(corpus):
     assert len(got[77]) == 8  # no text: by vector alone
 
 
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    """Vectors in clusters of different width, with attributes; two of them have no document."""
+    draw = np.random.default_rng(1)
+    rows = []
+    for k in range(1200):
+        own = k % 12
+        v = np.eye(16)[own] * 3 + draw.normal(size=16) * (0.1 + 0.01 * own)
+        rows.append((k, "rye" if k % 3 else "oat", f"s{k % 7}", [float(x) for x in v]))
+    table = spark.createDataFrame(rows, "chunk_id long, content string, source string, embedding array<float>").cache()
+    folder = f"file://{tmp_path_factory.mktemp('index')}/two"
+    indexes.build(table.where("chunk_id not in (12, 24)"), table, folder, attributes=("source",))
+    return table, indexes.Index(spark, folder)
+
+
+@pytest.mark.parametrize("where", [None, "source = 's3'", "source = 's3' and chunk_id % 12 = 5", "source = 'absent'", "held"])
+def test_bounded_search_is_exact(clustered, where):
+    table, index = clustered
+    told = table.withColumn("held", ~F.col("chunk_id").isin(12, 24)).withColumn("source", F.when(F.col("held"), F.col("source")))
+    asked = {r["chunk_id"]: list(r["embedding"]) for r in table.where("chunk_id in (0, 5, 500)").collect()} | {-1: [1.0] * 16}
+    kept = told if where is None else told.where(where)
+    want = {q: [(r["chunk_id"], r["r"]) for r in retrieve.top_vector(kept, v, 10).orderBy("r").collect()] for q, v in asked.items()}
+    for q in (0, -1):
+        found, read = index.search(asked[q], 10, F.expr(where) if where else None)
+        assert [(r["chunk_id"], r["r"]) for r in found.orderBy("r").collect()] == want[q]
+        assert len(read) == len(set(read))
+        if q == 0 and where in (None, "held"):
+            assert len(read) < (index.sizes > 0).sum() / 2
+    table_of = table.sparkSession.createDataFrame([*asked.items(), (7, None), (8, [0.0] * 16), (9, [1.0])], "query long, vector array<float>")
+    found, read = index.search_batch(table_of, 10, F.expr(where) if where else None)
+    got = {}
+    for r in found.orderBy("query", "r").collect():
+        got.setdefault(r["query"], []).append((r["chunk_id"], r["r"]))
+    assert got == {q: w for q, w in want.items() if w}
+    assert read.count() == read.distinct().count()
+
+
+def test_a_batch_in_blocks(clustered, monkeypatch):
+    table, index = clustered
+    queries = table.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("vector"))
+    key = lambda found: sorted((r["query"], r["chunk_id"], r["r"]) for r in found[0].collect())
+    whole = key(index.search_batch(queries, 5))
+    monkeypatch.setattr(indexes, "TASK_ROWS", 20)
+    monkeypatch.setattr(indexes, "TASK_QUERIES", 3)
+    assert key(index.search_batch(queries, 5)) == whole and len(whole) == 300
+
+
+def test_a_smaller_share_reads_fewer_lists(clustered):
+    table, index = clustered
+    queries = table.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query"), F.col("embedding").alias("vector"))
+    exact, read = index.search_batch(queries, 10)
+    found, fewer = index.search_batch(queries, 10, share=index.share)
+    hits = exact.join(found, ["query", "chunk_id"], "left_semi").count()
+    assert hits >= 0.9 * exact.count() and fewer.count() <= read.count()
+
+
+def test_only_the_lists_of_a_search_are_scanned(clustered, monkeypatch):
+    table, index = clustered
+    seen = []
+    real = retrieve.top_vector
+    monkeypatch.setattr(retrieve, "top_vector", lambda df, *a: (seen.append(df), real(df, *a))[1])
+    index.search([1.0] + [0.0] * 15, 10, F.col("source") == "s1")
+    for df in seen:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(list" in plan or "PartitionFilters: [list" in plan
+        assert "EqualTo(source,s1)" in plan
+
+
+def test_hybrid_of_the_index_is_hybrid_of_the_chunks(clustered):
+    table, index = clustered
+    own = table.where("chunk_id not in (12, 24)")
+    v = list(table.where("chunk_id = 14").first()["embedding"])
+    for filters in (None, retrieve.Filters(sources=["s2", "s4"])):
+        key = lambda df: [(r["chunk_id"], round(r["score"], 9)) for r in df.collect()]
+        assert key(retrieve.hybrid(own, v, "oat", filters, index=index)) == key(retrieve.hybrid(own, v, "oat", filters))
+
+
 def test_one_bad_case_never_stops_a_run(spark):
     cases = spark.createDataFrame([(1, "q", ["a"]), (2, " ", ["a"]), (3, None, None), (4, "q", []), (5, "q", ["z"])], "case_id long, question string, expected array<string>")
     found = spark.createDataFrame([(1, 2, "a"), (1, 1, "b"), (1, 3, "a"), (4, 1, "a")], "case_id long, r int, document_id string")

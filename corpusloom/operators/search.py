@@ -79,7 +79,9 @@ def answered(questions: DataFrame, sources: DataFrame, id: str = "chunk_id", pla
     one the sources that it cites, in order of number.
     """
     own = F.array_sort(F.collect_list(F.struct(F.col(place).alias("n"), F.col(id).alias("id"))))
-    rows = questions.join(sources.groupBy("query").agg(own.alias("_s")), "query", "left").withColumn("_s", F.coalesce("_s", F.array().cast("array<struct<n:int,id:bigint>>")))
+    rows = questions.join(sources.groupBy("query").agg(own.alias("_s")), "query", "left")
+    kind = rows.schema["_s"].dataType  # ids of any type
+    rows = rows.withColumn("_s", F.coalesce("_s", F.array().cast(kind)))
     cited = F.transform(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(r"\[([0-9]{1,9})\]"), F.lit(1)), lambda s: s.cast("int"))
     outcome = F.when(~F.coalesce("grounded", F.lit(False)), "refused").when(F.col("error").isNotNull() | F.col("answer").isNull(), "degraded").otherwise("answered")
     every = F.transform("_s", lambda s: s["id"])

@@ -112,5 +112,5 @@ def logged(queries: DataFrame, feedback: DataFrame, after: str | None, limit: in
         if v is not None:
             queries = queries.where(F.col(c) == v)
     page = operations.keyset(queries, ["created_at", "query_id"], opened(after, datetime, int), limit)
-    at = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    at = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return page.join(feedback, "query_id", "left").withColumn("next", encoded(at, F.col("query_id"))).orderBy(F.desc("created_at"), F.desc("query_id")), limit

@@ -113,7 +113,7 @@ def rate_limit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with p as (select event_id, ts, event_type from events where event_type = 'click' and ts < timestamp '2024-01-20 00:00:00' order by ts desc, event_id desc limit 21)
-select event_id, quality as rating, replace(replace(rtrim(base64(encode('["' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '",' || event_id || ']')), '='), '+', '-'), '/', '_') as next from p left join labels on doc_id = event_id""")
+select event_id, quality as rating, replace(replace(rtrim(base64(encode('["' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '",' || event_id || ']')), '='), '+', '-'), '/', '_') as next from p left join labels on doc_id = event_id""")
 def querylog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     logged = table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), F.col("ts").alias("created_at"), "event_type")
     feedback = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), F.col("quality").alias("rating"))

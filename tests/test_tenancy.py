@@ -18,6 +18,33 @@ def test_cursors_round_trip_and_refuse_junk(spark):
     assert tenancy.opened(row, str, int) == ('ä"b', 7)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50])
+def test_pages_join_up_to_the_listing(spark, size):
+    """Queries within one second, some at the same microsecond."""
+    at = datetime(2025, 1, 1, 12)
+    rows = [(k, at + timedelta(microseconds=[0, 7, 7, 500_000, 999_999, 1_000_000, 7][k % 7]), "click") for k in range(20)]
+    queries = spark.createDataFrame(rows, "query_id long, created_at timestamp, kind string")
+    feedback = spark.createDataFrame([(3, 1)], "query_id long, rating int")
+    got, after = [], None
+    while True:
+        page, limit = tenancy.logged(queries, feedback, after, size, kind="click")
+        found = page.collect()
+        got += [r["query_id"] for r in found[:limit]]
+        if len(found) <= limit:
+            break
+        after = found[limit - 1]["next"]
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)]
+
+
+def test_answers_over_sources_of_text_ids(spark):
+    from corpusloom.operators import search
+
+    asked = spark.createDataFrame([(1, "so [2]", None, True, False), (2, None, "down", True, False), (3, "x", None, False, False), (4, "[1]", None, True, False)], "query long, answer string, error string, grounded boolean, streamed boolean")
+    sources = spark.createDataFrame([(1, "v/0", 1), (1, "v/1", 2), (2, "w/0", 1)], "query long, chunk_id string, r int")
+    got = {r["query"]: (r["outcome"], r["citations"]) for r in search.answered(asked, sources).collect()}
+    assert got == {1: ("answered", ["v/1"]), 2: ("degraded", ["w/0"]), 3: ("refused", []), 4: ("answered", [])}
+
+
 def test_a_grace_that_is_not_positive_is_the_default(spark):
     now = datetime(2025, 1, 1)
     rows = spark.createDataFrame([(1, "active"), (2, "deleted")], "tenant_id long, status string").withColumn("delete_after", F.lit(None).cast("timestamp"))

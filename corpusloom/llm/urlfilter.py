@@ -5,11 +5,13 @@ loss, histogram splits) over the length, depth, digit ratio, entropy, parameter
 from labelled URLs. Any labelled table will do; by default the URLs that rules decide are the labelled ones, which teaches the
 trees what the lists' authors block.
 
-A labelled URL's suffix statistics leave out all URLs of its fold, so no tree sees a label in a feature. Folds are sets of
-hosts, or of rules where these are the labels: what the method has to judge then is just what no rule covers. The same folds
-are held out in turn to measure the trees. The verdict is block only from the score at which held-out URLs are blocked with the
-precision asked for; where no score reaches it, or the trees rank held-out URLs no better than ``SKILL``, the method allows
-what no rule decides, as a rule for part of a site says nothing about the rest of it.
+A labelled URL's suffix statistics leave out all URLs of its fold of hosts, so no tree sees a label in a feature. The trees are
+measured on what they have not seen, in two ways: on folds of hosts, which is how they meet a URL of a suffix that has labelled
+URLs, and on folds of suffixes, each with suffixes of both kinds, which is how they meet any other. A held-out URL is ranked only
+against those of its own fold, as each fold's trees have another base rate. The verdict is block from the score at which held-out
+URLs are blocked with the precision asked for; where no score reaches it, from the score of the highest precision, if that is
+above the share of blocked URLs. Where the ranking is not better than chance by more than its error, the labels teach nothing
+that carries over, and the method allows.
 
 Plan: host, path, rules and all features are JVM expressions in one scan. Suffix statistics are a grouped aggregate over all
 labelled URLs, joined by suffix. The trees are fitted on a bounded sample of labelled rows (``SAMPLE``, those of smallest
@@ -33,8 +35,8 @@ from corpusloom.llm import scratch
 SAMPLE, TREES, DEPTH, STEP, BINS, LEAF = 20_000, 60, 4, 0.15, 32, 20
 #: Pseudo-URLs, half of them blocked, that each suffix's share of blocked URLs starts from.
 SHRINK = 5.0
-#: Folds; the precision of block asked for (a lower bound, of 95 %) and the least area under the ROC curve, held out.
-FOLDS, PRECISION, SKILL = 4, 0.8, 0.65
+#: Folds; the precision of block asked for, held out; normal variates of its bound (95 %) and of what is more than chance (99.5 %).
+FOLDS, PRECISION, SURE, CHANCE = 4, 0.8, 1.645, 2.58
 #: (verdict, host, path) of each rule.
 Rule = tuple[str, str, str]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -203,7 +205,7 @@ def least_score(score: np.ndarray, y: np.ndarray, precision: float = PRECISION)
     side, 95 %): midway to the next lower one of ``score``. Infinite where none has."""
     order = np.argsort(-score, kind="stable")
     s, right = score[order], np.cumsum(y[order])
-    n, z = np.arange(1, len(s) + 1), 1.645
+    n, z = np.arange(1, len(s) + 1), SURE
     p = right / n
     low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     ends = np.r_[s[1:] != s[:-1], True] if len(s) else np.zeros(0, bool)
@@ -213,23 +215,73 @@ def least_score(score: np.ndarray, y: np.ndarray, precision: float = PRECISION)
 
 @dataclass
 class Fitted:
-    """The trees, the score from which they block, and how they did on folds that they had not seen."""
+    """The trees, and for suffixes with labelled URLs and for others: the score from which they block, and their held-out area."""
 
     model: Boosted
     threshold: float = float("inf")
     area: float = 0.5
-    rows: int = 0
+    new_threshold: float = float("inf")
+    new_area: float = 0.5
 
 
-def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Fitted:
-    """Trees of all rows; those of all folds but one score the rows of that one."""
-    held = np.full(len(y), 0.5)
-    for k in range(FOLDS):
+def skill(score: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[float, float]:
+    """The area under the ROC curve within folds, each weighted by its pairs of a blocked and an allowed URL, and the error that it
+    would have for scores that know nothing."""
+    pairs = total = variance = 0.0
+    for k in np.unique(fold):
         own = fold == k
-        if own.any() and not own.all():
-            held[own] = Boosted().fit(x[~own], y[~own]).predict(x[own])
-    skill = area(held, y)
-    return Fitted(Boosted().fit(x, y), least_score(held, y) if skill >= SKILL else float("inf"), skill, len(y))
+        n, m = float((y[own] == 1).sum()), float((y[own] == 0).sum())
+        total += area(score[own], y[own]) * n * m
+        variance += n * m * (n + m + 1) / 12
+        pairs += n * m
+    return (total / pairs, variance**0.5 / pairs) if pairs else (0.5, 0.5)
+
+
+def blocking_score(score: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[float, float]:
+    """The score from which held-out URLs are to be blocked, infinite without skill, and the area within folds."""
+    found, error = skill(score, y, fold)
+    if found - CHANCE * error <= 0.5:
+        return float("inf"), found
+    for precision in np.arange(PRECISION, float(y.mean()), -0.02):
+        if (least := least_score(score, y, float(precision))) < np.inf:
+            return least, found
+    return float("inf"), found
+
+
+def suffix_folds(suffix: np.ndarray, y: np.ndarray, folds: int = FOLDS) -> np.ndarray:
+    """A fold of each row by its suffix: mostly blocked and mostly allowed suffixes are dealt apart, so that as many folds as can
+    have both have them. All 0 where one kind is missing."""
+    names, at = np.unique(suffix, return_inverse=True)
+    blocked = np.bincount(at, y, len(names)) * 2 > np.bincount(at, None, len(names))
+    own = np.zeros(len(names), np.int64)
+    n = min(folds, int(blocked.sum()), int((~blocked).sum()))
+    if n:
+        for kind in (blocked, ~blocked):
+            own[kind] = np.arange(kind.sum()) % n
+    return own[at]
+
+
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, suffix: np.ndarray | None = None) -> Fitted:
+    """Trees of all rows; those of all folds but one score the rows of that one. The last two columns of ``x`` are the suffix
+    statistics, which a held-out suffix has not."""
+
+    def held(folds: np.ndarray, unseen: bool) -> np.ndarray:
+        out = np.full(len(y), 0.5)
+        for k in np.unique(folds):
+            own = folds == k
+            if not own.all():
+                asked = x[own].copy()
+                if unseen:
+                    asked[:, -2:] = 0.5, 0.0
+                out[own] = Boosted().fit(x[~own], y[~own]).predict(asked)
+        return out
+
+    threshold, found = blocking_score(held(fold, False), y, fold)
+    out = Fitted(Boosted().fit(x, y), threshold, found)
+    if suffix is not None and len(y):
+        folds = suffix_folds(suffix, y)
+        out.new_threshold, out.new_area = blocking_score(held(folds, True), y, folds)
+    return out
 
 
 def described(df: DataFrame, *keep: str) -> DataFrame:
@@ -254,9 +306,9 @@ def learned(known: DataFrame, sample: int = SAMPLE) -> tuple[Fitted, DataFrame]:
     suffixes = by_fold.groupBy("suffix").agg(F.sum("u").alias("urls"), F.sum("b").alias("blocked"))
     total = by_fold.agg(F.sum("u")).first()[0] or 0
     rows = scratch.smallest(known, total, sample, "h", "label").join(by_fold, ["suffix", "fold"]).join(suffixes, "suffix")
-    rows = rows.select(*NUMBERS, *_suffix(F.col("urls") - F.col("u"), F.col("blocked") - F.col("b")), "h", "label", "fold").orderBy("h", "label", *NUMBERS)
-    taught = rows.select(*COLUMNS, "label", "fold").toPandas()
-    return fit(taught[COLUMNS].to_numpy(float), taught["label"].to_numpy(float), taught["fold"].to_numpy()), suffixes
+    rows = rows.select(*NUMBERS, *_suffix(F.col("urls") - F.col("u"), F.col("blocked") - F.col("b")), "h", "label", "fold", "suffix").orderBy("h", "label", *NUMBERS)
+    taught = rows.select(*COLUMNS, "label", "fold", "suffix").toPandas()
+    return fit(taught[COLUMNS].to_numpy(float), taught["label"].to_numpy(float), taught["fold"].to_numpy(), taught["suffix"].to_numpy(str)), suffixes
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame | None = None, url: str = "url", id: str = "page_id", sample: int = SAMPLE) -> DataFrame:
@@ -265,12 +317,12 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame
 
     ``labelled`` has columns url and label (1: block); by default the rows that a rule decides. Null urls, repeated rows and
     urls without a host are judged like others; without labelled URLs the score is 0.5. URLs that no rule decides are blocked
-    from the score that ``fit`` finds, else allowed. An empty table gives an empty result.
+    from the score that ``fit`` finds for their kind of suffix, else allowed. An empty table gives an empty result.
     """
     blocks = F.array(*[F.lit(int(v == "block")) for v, _, _ in rules]) if rules else F.array().cast("array<int>")
     own = described(pages.select(F.col(id).alias("id"), F.col(url).alias("url")), "id").withColumn("k", deciding(F.col("host"), F.col("path"), rules))
     if labelled is None:
-        known = own.where("k is not null").withColumn("label", F.get(blocks, F.col("k"))).withColumn("fold", F.col("k") % FOLDS)
+        known = own.where("k is not null").withColumn("label", F.get(blocks, F.col("k")))
     else:
         known = described(labelled.where("label is not null").select(F.col("url"), F.col("label").cast("int").alias("label")), "label")
     taught, suffixes = learned(known, sample)
@@ -281,12 +333,13 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[4:]], 1) if batch.num_rows else np.zeros((0, len(COLUMNS)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(model.predict(x))], names=["id", "host", "path", "k", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(model.predict(x)), pa.array(x[:, -1] > 0)], names=["id", "host", "path", "k", "score", "known"])
 
     kind = pages.schema[id].dataType
-    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.StringType()) for c in ("host", "path")), T.StructField("k", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.StringType()) for c in ("host", "path")), T.StructField("k", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.BooleanType())])
     judged = ready.mapInArrow(run, schema)
     names = F.array(*[F.lit(h + p) for _, h, p in rules]) if rules else F.array().cast("array<string>")
     verdicts = F.array(*[F.lit(v) for v, _, _ in rules]) if rules else F.array().cast("array<string>")
-    by_score = F.when(F.col("score") >= taught.threshold, "block").otherwise("allow")
+    # a suffix without labelled URLs has 0 of them
+    by_score = F.when(F.col("score") >= F.when(F.col("known"), F.lit(taught.threshold)).otherwise(F.lit(taught.new_threshold)), "block").otherwise("allow")
     return judged.select(F.col("id").alias(id), "host", "path", F.get(names, F.col("k")).alias("rule"), F.coalesce(F.get(verdicts, F.col("k")), by_score).alias("verdict"), "score")

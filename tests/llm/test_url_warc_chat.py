@@ -99,6 +99,31 @@ def test_area_and_threshold_against_brute_force():
     assert urlfilter.least_score(np.zeros(0), np.zeros(0)) == np.inf
 
 
+def test_the_held_out_measure_of_noise_is_even():
+    draw = np.random.default_rng(5)
+    found, passed = [], 0
+    for _ in range(20):
+        n = 400
+        x, y, fold = draw.normal(size=(n, 4)), (draw.random(n) < 0.3).astype(float), draw.integers(0, 4, n)
+        fitted = urlfilter.fit(x, y, fold)
+        found.append(fitted.area)
+        passed += fitted.threshold < np.inf
+    assert abs(np.mean(found) - 0.5) < 0.03 and passed <= 1
+    # a signal under folds of very different base rates
+    y = np.repeat([1.0, 0.0, 1.0, 0.0], 100)
+    fold = np.repeat([0, 0, 1, 1], 100)
+    y[:5], y[100:190], y[200:290] = 0, 1, 0
+    x = (y + draw.normal(size=400) * 0.2)[:, None]
+    assert urlfilter.fit(x, y, fold).area > 0.97
+
+
+def test_trees_decide_what_no_rule_covers_in_the_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = urlfilter.judge(pages).where("rule is null").groupBy("verdict").agg({"score": "min", "page_id": "count"}).collect()
+    told = {r["verdict"]: r for r in rows}
+    assert set(told) == {"allow", "block"} and min(r["count(page_id)"] for r in rows) >= 50
+
+
 def test_trees_learn_and_hold_out(spark):
     draw = random.Random(0)
     rows = [(f"http://{draw.choice(['shop', 'news'])}{k}.example.com/" + ("/".join(str(draw.randrange(10**6)) for _ in range(5)) + "?a=1&b=2" if k % 2 else "story"), k % 2) for k in range(600)]

@@ -226,15 +226,17 @@ class Fitted:
 
 def skill(score: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[float, float]:
     """The area under the ROC curve within folds, each weighted by its pairs of a blocked and an allowed URL, and the error that it
-    would have for scores that know nothing."""
+    would have for scores that know nothing; larger than that of independent folds, as the folds' trees share rows (Nadeau and
+    Bengio's correction)."""
     pairs = total = variance = 0.0
-    for k in np.unique(fold):
+    folds = np.unique(fold)
+    for k in folds:
         own = fold == k
         n, m = float((y[own] == 1).sum()), float((y[own] == 0).sum())
         total += area(score[own], y[own]) * n * m
         variance += n * m * (n + m + 1) / 12
         pairs += n * m
-    return (total / pairs, variance**0.5 / pairs) if pairs else (0.5, 0.5)
+    return (total / pairs, (variance * (1 + len(folds) / max(len(folds) - 1, 1))) ** 0.5 / pairs) if pairs else (0.5, 0.5)
 
 
 def blocking_score(score: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[float, float]:

@@ -48,16 +48,17 @@ def opened(base: Snapshot) -> dict[str, DataFrame]:
     return now | {"documents": documents.select(*[f.split()[0] for f in DOCUMENTS.split(", ")])}
 
 
-def synced(store: TableStore, incoming: DataFrame, embed: Embed, run: Run) -> DataFrame:
+def synced(store: TableStore, incoming: DataFrame, embed: Embed, run: Run, base: Snapshot | None = None, also: dict[str, tuple[DataFrame, list[str]]] | None = None) -> DataFrame:
     """Take ``incoming`` (external_id, mime, data) into the store; returns the run's twelve counters as one row.
 
     A document is read once, of repeated ids the one of the smallest hash. Parsed, it is compared by content hash; only new and changed ones
     are chunked, only chunk texts that no stored chunk has for the model are embedded. New versions, chunks and document
     states are committed together, and nothing else is written: the bytes of a run follow what has changed. After a full, complete and
     uncut run that saw something, unseen documents are deleted. Runs of several sources may commit at the same time; of two runs of
-    one source, or a run and a reindex that swaps, the later to commit fails with Conflict and can be run again."""
+    one source, or a run and a reindex that swaps, the later to commit fails with Conflict and can be run again. ``base`` is the
+    snapshot to work from if one has been taken; ``also``, rows by key of further tables for the same commit."""
     began = time.monotonic()
-    base = store.snapshot()
+    base = base or store.snapshot()
     now = opened(base)
     docs = ingest.latest_once(incoming.withColumn("external_id", F.col("external_id").cast("string")), ["external_id"], F.xxhash64("mime", "data"))
     read = store.staged(blocks.documents_parsed(docs, F.col("mime"), "data").withColumn("bytes", F.octet_length("data").cast("long")).drop("data"), "parsed")
@@ -95,7 +96,7 @@ def synced(store: TableStore, incoming: DataFrame, embed: Embed, run: Run) -> Da
     states = store.staged(states, "documents")
     gone = states.where("status = 'deleted'").join(own.where("status = 'active'").select("external_id"), "external_id", "left_semi").count()
     ended = {"runs": store.spark.createDataFrame([(run.source, run.started)], RUNS)} if reconciles else {}
-    store.commit(base, upsert={"documents": (states, ["source", "external_id"])}, append={"versions": versions, "chunks": rows, **ended}, scope=f"source {run.source}")
+    store.commit(base, upsert={"documents": (states, ["source", "external_id"]), **(also or {})}, append={"versions": versions, "chunks": rows, **ended}, scope=f"source {run.source}")
 
     of = cut.join(made.where("error is null").select("chunk_hash", F.lit(True).alias("made")), "chunk_hash", "left").agg(F.count("made").alias("chunks_embedded"), (F.count("*") - F.count("made")).alias("other"))
     broken = cut.join(made.where("error is not null").select("chunk_hash"), "chunk_hash", "left_semi").agg(F.count("*").alias("broken"))

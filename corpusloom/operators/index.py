@@ -2,7 +2,9 @@
 
 Postings: a row for each (lexeme, document) with the lexeme's places, dealt over partitions by a hash of the lexeme. A text query
 reads the partitions of its own words, with the words pushed down to the row groups, and never a text. A lexeme that most
-documents hold is spread over ``parts`` files of its partition.
+documents hold is spread over ``parts`` files of its partition. Within a word the rows lie by level, the power of two of how often the
+document has it, and the number of rows of each level is kept apart: the best documents of one word are in its highest levels, and
+no row of a lower one can beat them, so the search reads these blocks and ends.
 
 Vectors: an inverted file. Centres are fitted on a bounded sample, each vector lies in the partition of its nearest centre with the
 columns that filters read. A search probes list by list, nearest centre first, until enough rows pass the filters and no list left
@@ -32,6 +34,8 @@ from corpusloom.operators import retrieve
 
 #: Partitions of the postings, and documents for each file of one.
 BUCKETS, PART_ROWS = 64, 2_000_000
+#: Bytes of a row group of the postings, and rows of a page.
+ROW_GROUP, PAGE_ROWS = 16 << 20, 1000
 #: Vectors that centres are fitted on and rounds of fitting; queries that recall is measured by, their neighbours, the share of
 #: these to be found.
 SAMPLE, ROUNDS, ASKED, NEIGHBOURS, RECALL = 20_000, 10, 64, 10, 0.95
@@ -171,10 +175,14 @@ def build(docs: DataFrame, vectors: DataFrame, folder: str, id: str = "chunk_id"
     """Write the postings of ``docs``, the lists of ``vectors`` with the ``attributes`` of their documents and held (whether there
     is one), and the attributes by themselves, under ``folder``. Ids are unique in both tables."""
     parts = max(1, -(-docs.count() // PART_ROWS))
-    rows = postings(docs, id, content).withColumn("bucket", bucket_of(F.col("lexeme")))
+    rows = postings(docs, id, content).withColumns({"bucket": bucket_of(F.col("lexeme")), "n": F.size("places"), "level": F.floor(F.log2(F.size("places"))).cast("int")})
     tasks = BUCKETS * parts if parts > 1 else min(BUCKETS, 2 * docs.sparkSession.sparkContext.defaultParallelism)
     rows = rows.repartition(tasks, "bucket", F.pmod(F.xxhash64(id), F.lit(parts)))
-    rows.sortWithinPartitions("bucket", "lexeme", id).write.partitionBy("bucket").parquet(f"{folder}/postings")
+    # small row groups and pages, so that their bounds of (lexeme, level) leave most of them unread
+    blocks = {"parquet.block.size": ROW_GROUP, "parquet.page.row.count.limit": PAGE_ROWS}
+    rows.sortWithinPartitions("bucket", "lexeme", F.desc("level"), id).write.options(**blocks).partitionBy("bucket").parquet(f"{folder}/postings")
+    levels = docs.sparkSession.read.schema(rows.schema).parquet(f"{folder}/postings").groupBy("bucket", "lexeme", "level").agg(F.count("*").alias("rows"))
+    levels.repartition("bucket").sortWithinPartitions("bucket", "lexeme").write.partitionBy("bucket").parquet(f"{folder}/levels")
     docs.select(id, *attributes).write.parquet(f"{folder}/attributes")
     unit = _sampled(vectors, id, embedding, SAMPLE)
     total = vectors.count()
@@ -204,7 +212,7 @@ class Index:
         told = json.loads(self.spark.read.text(f"{self.folder}/meta").first()[0])
         self.centres, self.probes, self.share = np.array(told["centres"]), told["probes"], told["share"]
         self.sizes, self._radii = np.array(told["sizes"], np.int64), np.array(told["radii"], np.float64)
-        self._postings, self._vectors, self.attributes = (self.spark.read.parquet(f"{self.folder}/{x}") for x in ("postings", "vectors", "attributes"))
+        self._postings, self._levels, self._vectors, self.attributes = (self.spark.read.parquet(f"{self.folder}/{x}") for x in ("postings", "levels", "vectors", "attributes"))
 
     def places(self, words: list[str]) -> DataFrame:
         """The postings of some words."""
@@ -233,10 +241,39 @@ class Index:
 
     def top_text(self, query: str, k: int = retrieve.K_TEXT, within: DataFrame | None = None) -> DataFrame:
         """``id``, score and r of the k best documents, of those ``within`` if given; ties go by id."""
+        if word := textquery.parse(query).word:
+            return self._top_word(word, k, within)
         rows = self.scores({0: query})
         rows = rows.join(within.select(self.id), self.id, "left_semi") if within is not None else rows
         return retrieve.ranked(rows.select(self.id, "score"), k, F.col("score").desc(), F.col(self.id))
 
+    def levels(self, word: str) -> list[tuple[int, int]]:
+        """(level, rows) of a word's postings, the highest level first; some thirty at most."""
+        bucket = zlib.crc32(word.encode()) % BUCKETS
+        rows = self._levels.where((F.col("bucket") == bucket) & (F.col("lexeme") == word)).groupBy("level").agg(F.sum("rows").alias("rows")).collect()
+        return sorted(((r["level"], r["rows"]) for r in rows), reverse=True)
+
+    def of_levels(self, word: str, low: int, high: int) -> DataFrame:
+        """``id`` and n of a word's postings from one level to another; the bounds reach the row groups and pages."""
+        bucket = zlib.crc32(word.encode()) % BUCKETS
+        return self._postings.where((F.col("bucket") == bucket) & (F.col("lexeme") == word) & F.col("level").between(low, high)).select(self.id, "n")
+
+    def _top_word(self, word: str, k: int, within: DataFrame | None) -> DataFrame:
+        """The best of one word, level by level from the highest, as many as have k rows and more each time, until k are found: what
+        a lower level has is less."""
+        best: list[tuple] = []
+        left, wanted = self.levels(word), k
+        while left and len(best) < k:
+            held, stop = 0, 0
+            while stop < len(left) and held < wanted:
+                held, stop = held + left[stop][1], stop + 1
+            rows = self.of_levels(word, left[stop - 1][0], left[0][0])
+            rows = rows if within is None else rows.join(within.select(self.id), self.id, "left_semi")
+            best += [tuple(r) for r in rows.orderBy(F.desc("n"), self.id).limit(k - len(best)).collect()]  # k rows
+            left, wanted = left[stop:], wanted * GROWTH
+        schema = T.StructType([self._postings.schema[self.id], T.StructField("score", T.DoubleType()), T.StructField("r", T.IntegerType())])
+        return self.spark.createDataFrame([(i, n * textquery.WEIGHT, r) for r, (i, n) in enumerate(best, 1)], schema)
+
     def near(self, vector: list[float], probes: int | None = None) -> DataFrame:
         """The vectors of the lists nearest to one."""
         order = np.argsort(-(self.centres @ np.asarray(vector, np.float64)), kind="stable") if len(self.centres) else []

@@ -43,7 +43,7 @@ _OPEN: dict[str, indexes.Index] = {}
 def index(spark: SparkSession, sf_dir: str) -> indexes.Index:
     """The index of the documents' texts and vectors, built when it is first asked for and after the tables' files change."""
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    name = "index-" + shared.stamp([docs, vectors], "fifth form", indexes.BUCKETS)
+    name = "index-" + shared.stamp([docs, vectors], "sixth form", indexes.BUCKETS)
     if (known := _OPEN.get(name)) is None or known.spark is not spark:
         own = texts(spark, sf_dir, documents(spark, sf_dir))
         folder = shared.built(spark, name, lambda path: indexes.build(own, vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), path, attributes=("source", "uri", "metadata", "created_at")))

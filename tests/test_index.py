@@ -39,6 +39,35 @@ def test_postings_of_some_documents(corpus):
     assert [r["chunk_id"] for r in index.top_text("rye", 5, some).collect()] == [r["chunk_id"] for r in retrieve.top_text(some, "rye", 5).collect()]
 
 
+def test_the_best_of_a_common_word_are_few_blocks(spark, tmp_path):
+    """60,000 documents have the word, a few of them often; only the pages of the highest levels are read."""
+    often = F.when(F.col("id") % 3000 == 7, 40 + F.col("id") % 5).otherwise(1 + F.col("id") % 3)
+    docs = spark.range(60_000).select(F.col("id").alias("chunk_id"), F.concat(F.repeat(F.lit("rye "), often.cast("int")), F.lit("oat")).alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
+    indexes.build(docs, docs.select("chunk_id", "embedding"), f"file://{tmp_path}/i")
+    index = indexes.Index(spark, f"file://{tmp_path}/i")
+    want = sorted(((k, 40 + k % 5) for k in range(7, 60_000, 3000)), key=lambda x: (-x[1], x[0]))
+    assert [(r["chunk_id"], round(r["score"] * 10)) for r in index.top_text("rye", 10).orderBy("r").collect()] == want[:10]
+    (level, rows), *rest = index.levels("rye")
+    assert (level, rows) == (5, 20) and sum(n for _, n in rest) == 59_980
+    scan = index.of_levels("rye", level, level)
+    assert scan.count() == 20
+    few, every = (_scanned(index.of_levels("rye", low, 5)) for low in (5, 0))
+    assert every == 60_000 and few <= 0.1 * every
+    # where few pass the filter, lower levels follow
+    within = docs.where("chunk_id % 3000 = 8 or chunk_id = 7")
+    found = [r["chunk_id"] for r in index.top_text("rye", 5, within).orderBy("r").collect()]
+    assert found == [r["chunk_id"] for r in retrieve.top_text(within, "rye", 5).orderBy("r").collect()] and len(found) == 5
+
+
+def _scanned(df):
+    """Rows that the scan of a query without exchanges gave."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    while plan.children().nonEmpty():
+        plan = plan.children().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
 def test_the_inverted_file(corpus):
     chunks, index = corpus
     asked = [(r["chunk_id"], list(r["embedding"])) for r in chunks.where("chunk_id < 40").collect()]

@@ -5,9 +5,14 @@ States are tables in, tables out; ``sources.tablestore`` swaps the staged result
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import random
+import time
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +23,9 @@ from corpusloom.functions.times import utc
 
 #: Of one embedding request: texts and estimated tokens.
 BATCH_TEXTS, BATCH_TOKENS = 96, 100_000
+#: Requests of a task at the same time.
+IN_FLIGHT = 4
+R, S = TypeVar("R"), TypeVar("S")
 
 
 def invalid(docs: DataFrame, *required: str) -> tuple[DataFrame, DataFrame]:
@@ -112,10 +120,57 @@ def batch_numbers(tokens: pd.Series, texts: int = BATCH_TEXTS, limit: int = BATC
     return [requests.take(int(t)) for t in tokens]
 
 
-def embedded(missing: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, tokens: Callable[[str], int] | None = None, hash: str = "chunk_hash", failsafe: bool = False) -> DataFrame:
-    """``hash``, model and embedding of texts, by requests of bounded size within a task; ``embed`` keeps the order. With
-    ``failsafe`` a request that raises or answers with another number of vectors gives its texts an error, and the other requests go
-    on; without, it fails the task, which Spark tries again."""
+@dataclass(frozen=True)
+class Retry:
+    """Whether and when a request is made again: after a ``TimeoutError`` or ``ConnectionError``, or an exception with a true attribute
+    ``retryable``; at most ``times`` times, after a wait that doubles from ``first`` seconds up to ``most`` and is spread by up to half,
+    or what the exception's ``retry_after`` says, up to ``most`` too."""
+
+    times: int = 5
+    first: float = 0.5
+    most: float = 30.0
+
+    def wait(self, error: Exception, attempt: int, draw: Callable[[], float] = random.random) -> float | None:
+        """Seconds before attempt ``attempt`` + 1 (from 1), None for giving up."""
+        if attempt > self.times or not (isinstance(error, TimeoutError | ConnectionError) or getattr(error, "retryable", False)):
+            return None
+        if (told := getattr(error, "retry_after", None)) is not None:
+            return min(float(told), self.most)
+        return min(self.first * 2 ** (attempt - 1), self.most) * (1 - draw() / 2)
+
+    def __call__(self, ask: Callable[[list[str]], list], texts: list[str], sleep: Callable[[float], None] = time.sleep) -> list:
+        attempt = 1
+        while True:
+            try:
+                return ask(texts)
+            except Exception as e:  # whatever a provider's client raises
+                if (seconds := self.wait(e, attempt)) is None:
+                    raise
+            sleep(seconds)
+            attempt += 1
+
+
+def in_order(ask: Callable[[R], S], given: Iterable[R], in_flight: int) -> Iterator[S]:
+    """``ask`` of each, at most ``in_flight`` at the same time, the answers in the order of what was given; no more of it is taken than
+    is in flight."""
+    if in_flight <= 1:
+        yield from map(ask, given)
+        return
+    with ThreadPoolExecutor(in_flight) as pool:
+        waiting: deque[Future] = deque()
+        for one in given:
+            waiting.append(pool.submit(ask, one))
+            if len(waiting) == in_flight:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
+def embedded(missing: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, tokens: Callable[[str], int] | None = None, hash: str = "chunk_hash", failsafe: bool = False, in_flight: int = IN_FLIGHT, retry: Retry = Retry()) -> DataFrame:
+    """``hash``, model and embedding of texts, by requests of bounded size within a task, ``in_flight`` of them at a time (``embed`` is
+    then called from several threads) and each made again as ``retry`` says; the order is kept. With ``failsafe`` a request that
+    raises in the end or answers with another number of vectors gives its texts an error, and the other requests go on; without, it
+    fails the task, which Spark tries again."""
     from corpusloom.operators.chunks import estimate
 
     count = tokens or estimate
@@ -124,7 +179,7 @@ def embedded(missing: DataFrame, embed: Callable[[list[str]], list[list[float]]]
 
     def asked(texts: list[str]) -> tuple[list, str | None]:
         try:
-            vectors = embed(texts)
+            vectors = retry(embed, texts)
             if len(vectors) != len(texts):
                 raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
             return vectors, None
@@ -136,10 +191,10 @@ def embedded(missing: DataFrame, embed: Callable[[list[str]], list[list[float]]]
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             vectors, errors = [], []
-            for _, part in frame.groupby(batch_numbers(frame["embed_text"].map(count)), sort=False):
-                own, error = asked(part["embed_text"].tolist())
+            requests = (part["embed_text"].tolist() for _, part in frame.groupby(batch_numbers(frame["embed_text"].map(count)), sort=False))
+            for own, error in in_order(asked, requests, in_flight):
                 vectors += own
-                errors += [error] * len(part)
+                errors += [error] * len(own)
             yield pd.DataFrame({hash: frame[hash], "model": model, "embedding": vectors, **({"error": errors} if failsafe else {})})
 
     return missing.select(hash, "embed_text").mapInPandas(run, schema)

@@ -148,3 +148,24 @@ def fetch_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 13 == 0, 304).when(i % 17 == 0, 500).otherwise(200).alias("status"), body.alias("body_hash"), F.when(i % 2 == 0, body).alias("known_hash"),
     )
     return state.select("page_id", web.fetch_decision(True).alias("decision"))
+
+
+@query(r"""with p as (select page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) as host from pages),
+t as (select *, row_number() over (partition by host order by url, page_id) - 1 as turn from p)
+select page_id, host, turn, turn * case when starts_with(host, 'm.') then 2500 else 700 end as at_ms from t order by at_ms, host, url, page_id limit (select count(*) // 2 from pages)""")
+def crawl_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier half of the fetches of all pages, each host's spaced by its own delay."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url")).alias("host"))
+    delays = pages.where("host like 'm.%'").select("host").distinct().withColumn("delay_ms", F.lit(2500))
+    rows = web.scheduled(pages, delays, 700, order=("url", "page_id"), most=pages.count() // 2)
+    return rows.select("page_id", "host", "turn", "at_ms")
+
+
+@query("""select page_id, case when page_id % 13 = 0 then 'unchanged' when strlen(coalesce(html, '')) > 1500 then 'too large' when page_id % 17 = 0 then 'failed' else 'changed' end as decision from pages""")
+def fetch_size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, none = F.col("page_id"), F.lit(None)
+    state = table(spark, sf_dir, "pages").select(
+        i, F.lit(True).alias("in_scope"), F.lit(True).alias("robots_ok"), none.cast("timestamp_ntz").alias("lastmod"), none.cast("timestamp_ntz").alias("last_fetched_at"),
+        F.when(i % 13 == 0, 304).when(i % 17 == 0, 500).otherwise(200).alias("status"), F.sha2("html", 256).alias("body_hash"), none.cast("string").alias("known_hash"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes"),
+    )
+    return state.select("page_id", web.fetch_decision(True, 1500).alias("decision"))

@@ -11,7 +11,7 @@ from datetime import datetime
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,13 +116,42 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, max_pa
     return visited, truncated
 
 
-def fetch_decision(incremental: bool) -> Column:
+def scheduled(frontier: DataFrame, delays: DataFrame | None = None, delay_ms: int = 1000, host: str = "host", order: tuple[str, ...] = ("url",), most: int | None = None, lanes: int = 64) -> DataFrame:
+    """``frontier`` with turn, at_ms and lane: each host's fetches in the order of ``order`` (which tells its rows apart), its delay
+    apart, all hosts from 0 on, so that sorting by at_ms interleaves them. A host is in one lane, so tasks that fetch lanes in the order
+    of at_ms keep the delays without speaking to each other. ``delays`` (host, delay_ms) has those that robots files ask for;
+    ``most`` keeps that many fetches, the earliest.
+
+    A host may have any number of rows: turns are counted within ranges of (host, order), of which a large host has many, and the
+    counts of its ranges before are added. Null hosts are one host."""
+    from corpusloom.sources.shared import stored
+
+    key = F.coalesce(F.col(host), F.lit(""))
+    spread = frontier.withColumn("_host", key).repartitionByRange("_host", *order).withColumn("_part", F.spark_partition_id())
+    ranged = stored(spread, "frontier")
+    counts = stored(ranged.groupBy("_host", "_part").agg(F.count("*").alias("_n")), "turns")
+    # a host has a row for each of its ranges here
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_host").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("_host", "_part", before.alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_host", "_part").orderBy(*order)) - 1
+    rows = ranged.withColumn("_within", within).join(bases, ["_host", "_part"]).withColumn("turn", (F.col("_base") + F.col("_within")).cast("long"))
+    if delays is not None:
+        rows = rows.join(delays.select(F.coalesce(host, F.lit("")).alias("_host"), F.col("delay_ms").alias("_delay")), "_host", "left")
+    else:
+        rows = rows.withColumn("_delay", F.lit(None).cast("long"))
+    rows = rows.withColumn("at_ms", F.col("turn") * F.greatest(F.coalesce("_delay", F.lit(delay_ms)), F.lit(0)).cast("long")).withColumn("lane", F.pmod(F.xxhash64("_host"), F.lit(lanes)).cast("int"))
+    if most is not None:
+        rows = rows.orderBy("at_ms", "_host", *order).limit(most)
+    return rows.select(*[F.col(f"`{c}`") for c in frontier.columns], "turn", "at_ms", "lane")
+
+
+def fetch_decision(incremental: bool, most_bytes: int | None = None) -> Column:
     """What a crawl does with a page: its columns are robots_ok, in_scope, lastmod, last_fetched_at, status, body_hash and
-    known_hash."""
+    known_hash. With ``most_bytes``, also bytes, which is one more than it for a body that was cut there."""
     fresh = F.lit(incremental) & F.col("lastmod").isNotNull() & F.col("last_fetched_at").isNotNull() & (F.col("lastmod") <= F.col("last_fetched_at"))
     return (
         F.when(~F.col("in_scope"), "out of scope").when(fresh, "not modified since").when(~F.col("robots_ok"), "robots").when(F.col("status") == 304, "unchanged")
-        .when(F.col("status") >= 400, "failed").when(F.col("body_hash").eqNullSafe(F.col("known_hash")) & F.col("body_hash").isNotNull(), "unchanged").otherwise("changed")
+        .when(F.lit(False) if most_bytes is None else F.col("bytes") > most_bytes, "too large").when(F.col("status") >= 400, "failed").when(F.col("body_hash").eqNullSafe(F.col("known_hash")) & F.col("body_hash").isNotNull(), "unchanged").otherwise("changed")
     )
 
 

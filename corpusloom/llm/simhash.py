@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", dis
     marked = scratch.stored(fingerprints(docs, text, id, words, seed), "fingerprints")
     nodes = scratch.stored(marked.groupBy("fp").agg(F.min(id).alias("least")), "nodes")
     found = graph.components(links(nodes.select("fp"), distance))
-    joined = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = joined.join(named, "component").select("fp", "component_id")
+    joined = scratch.stored(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "joined")
+    # stored: joins of scans are split where a component or a fingerprint has very many rows, those with an aggregate on its key are not
+    named = scratch.stored(joined.groupBy("component").agg(F.min("least").alias("component_id")), "named")
+    of = scratch.stored(joined.join(named, "component").select("fp", "component_id"), "components")
     return marked.join(of, "fp").select(id, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

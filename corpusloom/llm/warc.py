@@ -4,8 +4,8 @@ The writer stores a payload once: of records with equal payloads the one of the
 revisits that refer to it. The reader is sequential: it decompresses incrementally (one zlib stream for each member), frames
 records by Content-Length and verifies the digests, and holds a buffer and one record at a time.
 
-Plan: payloads are compared by SHA-1 and length in one grouped aggregate, so a payload that a third of all pages share is one
-row of the aggregate and a skewed side of a join that adaptive execution splits. Each task writes archives of about
+Plan: payloads are compared by SHA-1 and length in one grouped aggregate, which is stored, so a payload that a third of all pages
+share is one row of a table and a skewed side of a join of two scans, which adaptive execution splits. Each task writes archives of about
 ``ARCHIVE_BYTES`` to the shared folder, under another name until they are whole; the tasks' lists of archives are a table
 there, from which the reading job is dealt out. Archives are opened by URI, so any store that pyarrow knows will do.
 """
@@ -169,7 +169,8 @@ def planned(pages: DataFrame, url: str = "url", payload: str = "html", id: str =
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), body.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("n", F.octet_length("payload"))
     largest = rows.select("digest", "n", "id").where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("id").alias("top"))
-    out = rows.join(largest, ["digest", "n"], "left")
+    # stored first: a join with an aggregate on its own key would keep the aggregate's partitions, which are not split
+    out = rows.join(scratch.stored(largest, "payloads"), ["digest", "n"], "left")
     return out.select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
 
 

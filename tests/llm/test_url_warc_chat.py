@@ -169,6 +169,24 @@ def test_warc_round_trip(spark):
     assert small.count() == 0
 
 
+def test_a_payload_of_half_the_pages_is_split(spark):
+    """With low thresholds, the join that brings back whom a payload refers to deals the hot one out over several tasks."""
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    rows = [(k, f"u{k}", "the same payload" if k % 2 else f"payload {k} " * 3) for k in range(20_000)]
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        out = warc.planned(pages(spark, rows).repartition(8))
+        assert out.where("refers_to is not null").count() == 9_999
+        whole = out.select("id", "refers_to")
+        whole._jdf.queryExecution().executedPlan().executeCollect()
+        assert "skew=true" in whole._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def archive():
     body = b"hello" * 5000
     parts = [warc.record(k, "u", body, warc.base32(hashlib.sha1(body).digest()), refers) for k, refers in ((1, None), (2, 1), (3, None))]

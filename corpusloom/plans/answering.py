@@ -232,6 +232,22 @@ def boilerplate_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.boilerplate(rows)
 
 
+@query(r"""with p as (select page_id, html, regexp_replace(regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g') as t from pages),
+m as (select page_id, t, regexp_extract_all(html, '<p>([\p{L}., ]{12,})</p>', 1) as content, list_concat(regexp_extract_all(html, '<div class="ad">([\p{L}., ]{12,})', 1), regexp_extract_all(html, '&middot; ([\p{L}., ]{12,})', 1)) as chrome from p),
+n as (select len(content) as c, len(list_filter(content, lambda x: contains(t, x))) as kept, len(chrome) as b, len(list_filter(chrome, lambda x: contains(t, x))) as stayed from m)
+select count(*) as pages, cast(sum(c) as bigint) as paragraphs, cast(sum(b) as bigint) as chrome, round(avg(case when b = 0 then 1.0::double else (b - stayed)::double / b end), 9) as removal, round(sum(kept)::double / sum(c), 9) as retention from n""")
+def boilerplate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser on the pages as they are: plain paragraphs of the article are to stay, the texts of the advertisement and of the
+    footer to go."""
+    pages = table(spark, sf_dir, "pages")
+    plain = lambda before, after: F.regexp_extract_all("html", F.lit(before + r"([\p{L}., ]{12,})" + after), F.lit(1))
+    text = blocks.canonical_column(blocks.parsed("text/html", F.col("html"))["blocks"]).alias("text")
+    rows = pages.select(text, plain("<p>", "</p>").alias("content"), F.concat(plain('<div class="ad">', ""), plain("&middot; ", "")).alias("boilerplate"))
+    counts = rows.agg(F.sum(F.size("content")).alias("paragraphs"), F.sum(F.size("boilerplate")).alias("chrome"))
+    # frames of one row
+    return evaluate.boilerplate(rows).crossJoin(counts).withColumns({"removal": F.round("removal", 9), "retention": F.round("retention", 9)})
+
+
 @query("""select item_id as case_id, case when item_id % 4 = 1 then 'new ' || item_id else text end as question from benchmark where item_id % 4 <> 2 union all select -1 - item_id, 'added' from benchmark where item_id % 4 = 3""")
 def eval_case_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("item_id")

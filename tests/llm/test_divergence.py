@@ -49,7 +49,7 @@ def rows_of(n, sources, seed=0):
     return out
 
 
-@pytest.mark.parametrize(("rare", "tile", "terms"), [(0, 128, 2048), (3, 4, 5), (8, 3, 4), (100, 4, 2048)])
+@pytest.mark.parametrize(("rare", "tile", "terms"), [(0, 128, 2048), (3, 4, 5), (100, 4, 2048)])
 def test_against_a_plain_computation(spark, monkeypatch, rare, tile, terms):
     monkeypatch.setattr(divergence, "GROUPS", tile)
     monkeypatch.setattr(divergence, "TERMS", terms)

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import graph, scratch, simhash
@@ -241,8 +241,9 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
 
     places = nodes.select("node", "n", "a", F.posexplode("prefix").alias("i", "key"))
     rare = places.where("i < a").select("key", "node", (F.shiftleft("n", 32) + F.col("i")).alias("n"))
-    rare = rare.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
-    rare = scratch.stored(rare.select("key", "size", F.struct("node", F.shiftright("n", 32).alias("n"), (F.col("n") % (1 << 32)).alias("i"), F.lit(0).cast("long").alias("a")).alias("own")), "keys")
+    # counts by key are a table, joined back: a key may have any number of rows
+    sizes = scratch.stored(rare.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    rare = scratch.stored(rare.join(sizes, "key").select("key", "size", F.struct("node", F.shiftright("n", 32).alias("n"), (F.col("n") % (1 << 32)).alias("i"), F.lit(0).cast("long").alias("a")).alias("own")), "keys")
     few = rare.where(F.col("size") <= FEW)
     one, two = few.select("key", F.col("own").alias("p")), few.select("key", F.col("own").alias("q"))
     both = one.join(two, "key").where((F.col("p.node") < F.col("q.node")) & _may(F.col("p"), F.col("q")))
@@ -282,7 +283,7 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Data
         if not more.isEmpty():
             parts = graph.components(found.union(more))
     least = marked.groupBy("node").agg(F.min(id).alias("least"))
-    joined = least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    top = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    joined = scratch.stored(least.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "joined")
+    top = scratch.stored(joined.groupBy("component").agg(F.min("least").alias("component_id")), "tops")
     groups = scratch.stored(joined.join(top, "component").select("node", "component_id"), "groups")
     return marked.select(id, "node").join(groups, "node").select(id, "component_id")

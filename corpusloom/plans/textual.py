@@ -150,6 +150,27 @@ def fetch_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.select("page_id", web.fetch_decision(True).alias("decision"))
 
 
+@query(f"""with n as ({_NORMAL}), a as (select url, case when page_id % 3 = 0 then timestamp '2024-01-01 00:00:00' + to_days(cast(page_id % 300 as integer)) end as lastmod, page_id % 2 as deeper, page_id // 500 as file, page_id from n)
+select url, arg_min(struct_pack(t := lastmod), (deeper, file, page_id)).t as lastmod from a group by url""")
+def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by the sitemaps that list them, which are made from the table: an index for odd and a set for even ids of each 500."""
+    i = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select(i, (i % 2 == 1).alias("odd"), F.floor(i / 500).alias("k"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("loc"))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 300).cast("int")), "yyyy-MM-dd")
+    entry = F.concat(F.lit("<url><loc>"), "loc", F.lit("</loc>"), F.when(i % 3 == 0, F.concat(F.lit("<lastmod>"), day, F.lit("</lastmod>"))).otherwise(F.lit("")), F.lit("</url>"))
+    name = F.format_string("https://maps.test/%s/%08d.xml", F.when(F.col("odd"), F.lit("odd")).otherwise(F.lit("even")), F.col("k").cast("long"))
+    # 250 entries a file
+    sets = pages.groupBy(name.alias("url"), "odd").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"]), "").alias("x"))
+    sets = sets.select("url", "odd", F.encode(F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")), "utf-8").alias("body"))
+    # an index for each file of odd ids
+    lead = F.replace("url", F.lit("/odd/"), F.lit("/index/"))
+    tops = sets.where("odd").select(lead.alias("url"), F.encode(F.concat(F.lit("<sitemapindex><sitemap><loc>"), "url", F.lit("</loc></sitemap></sitemapindex>")), "utf-8").alias("body"))
+    files = sets.select("url", "body").union(tops)
+    roots = sets.where("not odd").select("url").union(tops.select("url"))
+    found = web.sitemap_urls(roots, lambda wanted: wanted.join(files, "url"), files=None, urls=None)
+    return found.pages.select("url", F.to_utc_timestamp("lastmod", F.current_timezone()).cast("timestamp_ntz").alias("lastmod"))
+
+
 @query(r"""with p as (select page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) as host from pages),
 t as (select *, row_number() over (partition by host order by url, page_id) - 1 as turn from p)
 select page_id, host, turn, turn * case when starts_with(host, 'm.') then 2500 else 700 end as at_ms from t order by at_ms, host, url, page_id limit (select count(*) // 2 from pages)""")

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-import gzip
 import re
 import xml.etree.ElementTree as ET
 import zlib
-from collections.abc import Iterator
-from datetime import datetime
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.urls import normalise
+from corpusloom.functions.urls import normalise, normalise_udf
 from corpusloom.operators.blocks import Node, squeeze, tree
 
 MAX_DEPTH, MAX_PAGES = 3, 1000
-SITEMAP_DEPTH, SITEMAP_FILES, SITEMAP_URLS = 5, 200, 50_000
+SITEMAP_DEPTH, SITEMAP_FILES, SITEMAP_URLS, SITEMAP_BYTES = 5, 200, 50_000, 20 << 20
+
+
+@dataclass(frozen=True)
+class Sitemaps:
+    """pages (url, lastmod), files that could not be read (url, error), and whether a bound has left something out."""
+
+    pages: DataFrame
+    errors: DataFrame
+    cut: bool
+
 
 LINKS = T.StructType([T.StructField("title", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))])
 
@@ -52,10 +62,17 @@ def may_fetch(rules: list[tuple[str, bool]], path: str) -> bool:
 
 
 def robots_allowed(pages: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
-    """``pages`` with allowed, by a table of rules (host, prefix, allow): an equality join by host, longest prefix first."""
-    hit = F.when(F.startswith(F.col(path), F.col("prefix")), F.struct(F.length("prefix").alias("n"), F.col("allow")))
-    keys = pages.columns
-    return pages.join(rules, "host", "left").groupBy(*keys).agg(F.coalesce(F.max(hit)["allow"], F.lit(True)).alias("allowed"))
+    """``pages`` with allowed, by a table of rules (host, prefix, allow): the longest prefix of a page's path decides, of equal ones
+    allow, without any it is allowed. Rows stay as they are, repeated ones too.
+
+    The rules of a host are one row, so a host of any number of pages is a join without a sum over them. A robots file is read up to a
+    size cap, which bounds that row."""
+    from corpusloom.sources.shared import stored
+
+    of = stored(rules.groupBy("host").agg(F.collect_set(F.struct(F.length("prefix").alias("n"), "allow", "prefix")).alias("_rules")), "robots")
+    hits = F.filter("_rules", lambda r: F.startswith(F.col(path), r["prefix"]))
+    told = pages.join(of, "host", "left").withColumn("allowed", F.coalesce(F.array_max(hits)["allow"], F.lit(True)))
+    return told.select(*[F.col(f"`{c}`") for c in pages.columns], "allowed")
 
 
 def _all(n: Node, tag: str) -> Iterator[Node]:
@@ -163,18 +180,30 @@ def canonical_once(pages: DataFrame, canonical: str = "canonical", url: str = "u
     return latest_once(pages.withColumn("external_id", key), ["external_id"], F.col(depth), F.col(url))
 
 
-#: Layouts of a lastmod: fixed values.
-LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+#: Layouts of a lastmod, each with the zone that a text of that layout is read in if it names none: fixed values.
+LAYOUTS = (("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX", ""), ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX", "Z"), ("yyyy-MM-dd'T'HH:mmXXX", ""), ("yyyy-MM-dd'T'HH:mmXXX", "Z"), ("yyyy-MM-ddXXX", "Z"))
 
 
 def lastmod(text: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in LAYOUTS])
+    """The time of a sitemap's lastmod, null if it is none; without a zone it is UTC, whatever the session's."""
+    return F.coalesce(*[F.try_to_timestamp(F.concat(F.trim(text), F.lit(zone)), F.lit(layout)) for layout, zone in LAYOUTS])
+
+
+def unpacked(data: bytes, most: int = SITEMAP_BYTES) -> bytes:
+    """A body without gzip, if it has any; one that would be longer than ``most``, or is damaged, is an error before it is held."""
+    if data[:2] == b"\x1f\x8b":
+        reader = zlib.decompressobj(31)
+        data = reader.decompress(data, most + 1)
+        if len(data) <= most and not reader.eof:
+            raise ValueError("a damaged gzip stream")
+    if len(data) > most:
+        raise ValueError("larger than the size cap")
+    return data
 
 
 def sitemap(data: bytes) -> tuple[list[str], list[tuple[str, str | None]]]:
     """(children, urls with lastmod) of a sitemap or index, which may be gzipped. A DTD is refused, so no entity expands."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    data = unpacked(data)
     if b"<!DOCTYPE" in data[:4096] or b"<!ENTITY" in data:
         raise ValueError("a sitemap must not declare entities")
     root = ET.fromstring(data)
@@ -187,32 +216,66 @@ def sitemap(data: bytes) -> tuple[list[str], list[tuple[str, str | None]]]:
     return ([loc for loc, _ in rows], []) if name(root) == "sitemapindex" else ([], rows)
 
 
-def sitemap_urls(files: dict[str, bytes], root: str) -> tuple[list[tuple[str, str | None]], bool]:
-    """URLs of a sitemap and the indexes under it, each file once, within the bounds on depth, files and URLs, and whether a bound
-    has cut them."""
-    out: dict[str, str | None] = {}
-    level, seen, cut = [root], set(), False
-    for _ in range(SITEMAP_DEPTH):
-        below = []
-        for url in level:
-            if url in seen or url not in files:
-                continue
-            if len(seen) >= SITEMAP_FILES:
-                cut = True
-                continue
-            seen.add(url)
-            try:
-                children, urls = sitemap(files[url])
-            except (ValueError, ET.ParseError, OSError, EOFError, zlib.error):
-                continue
-            below += children
-            for u, when in urls:
-                if len(out) < SITEMAP_URLS:
-                    out.setdefault(u, when)
-                elif u not in out:
-                    cut = True
-        level = below
-    return list(out.items()), cut or any(u not in seen and u in files for u in level)
+def sitemap_entries(files: DataFrame) -> DataFrame:
+    """file, child, place, loc (normalised) and lastmod (as written) of each entry of sitemap files (url, body), and for a file that
+    cannot be read one row with its error. Files are read in tasks, one after the other; entries without a usable URL are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for url, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    if not body.is_valid:
+                        raise ValueError("not fetched")
+                    children, urls = sitemap(body.as_py())
+                    found = [(bool(children), k, u, when, None) for k, (loc, when) in enumerate([(c, None) for c in children] or urls) if (u := normalise(loc))]
+                except (ValueError, ET.ParseError, zlib.error) as e:
+                    found = [(None, 0, None, None, str(e))]
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    yield pa.RecordBatch.from_pylist([{"file": url, "child": c, "place": k, "loc": u, "lastmod": w, "error": e} for c, k, u, w, e in part], schema)
+
+    schema = pa.schema([("file", pa.string()), ("child", pa.bool_()), ("place", pa.int64()), ("loc", pa.string()), ("lastmod", pa.string()), ("error", pa.string())])
+    return files.select("url", "body").mapInArrow(run, "file string, child boolean, place long, loc string, lastmod string, error string")
+
+
+def sitemap_urls(roots: DataFrame, fetched: Callable[[DataFrame], DataFrame], depth: int = SITEMAP_DEPTH, files: int | None = SITEMAP_FILES, urls: int | None = SITEMAP_URLS) -> Sitemaps:
+    """What the sitemaps ``roots`` (url) and the indexes' files below them list, level by level, each file once.
+
+    ``fetched`` gives (url, body) for a level's (url): a join with a table of bodies, or a function of tasks that fetches; a URL
+    without a row or with a null body counts as an error. Of a page that several files list, the entry of the shallowest one stands, then
+    of the first by URL, then the first in it. Bounds, None for none: index levels below the roots, files in all (a level that passes
+    it is read in the order of URLs up to it) and pages (in the order of level, file and place); ``cut`` tells whether any has left
+    something out. Only counts reach the driver. Null and unusable roots are ignored; without any the result is empty.
+    """
+    from corpusloom.sources.shared import stored
+
+    spark, cut, level = roots.sparkSession, False, 0
+    wanted = stored(roots.select(normalise_udf("url").alias("url")).where("url is not null").distinct(), "sitemaps")
+    seen, total = None, 0
+    entries = spark.createDataFrame([], "file string, child boolean, place long, loc string, lastmod string, error string, level int")
+    while n := wanted.count():
+        if level > depth or (files is not None and total + n > files):
+            cut = True
+            if level > depth or total >= files:
+                break
+            wanted = stored(wanted.orderBy("url").limit(files - total), "sitemaps")
+        got = wanted.join(fetched(wanted).select("url", "body"), "url", "left")
+        own = stored(sitemap_entries(got).withColumn("level", F.lit(level)), "sitemap-entries")
+        entries = own if not level else entries.union(own)
+        seen = wanted if seen is None else seen.union(wanted)
+        total, level = total + n, level + 1
+        if cut:
+            break
+        wanted = stored(own.where("child").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti"), "sitemaps")
+    place = F.struct("level", "file", "place")
+    once = entries.where("not child").groupBy(F.col("loc").alias("url")).agg(F.min_by(F.struct(place.alias("at"), "lastmod"), place).alias("e"))
+    found = once.select("url", lastmod(F.col("e.lastmod")).alias("lastmod"), F.col("e.at").alias("at"))
+    if urls is not None:
+        found = stored(found, "sitemap-urls")
+        if found.count() > urls:
+            cut, found = True, found.orderBy("at").limit(urls)
+    return Sitemaps(found.select("url", "lastmod"), entries.where("error is not null").select(F.col("file").alias("url"), "error"), cut)
 
 
 def pages_merged(stored: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -292,13 +355,3 @@ def selected_html(html: str, include: list[str], exclude: list[str]) -> Node:
         root.children = [html_node]
         return root
     return doc
-
-
-def parse_time(text: str | None) -> datetime | None:
-    """A lastmod on the driver."""
-    if not text:
-        return None
-    try:
-        return datetime.fromisoformat(text.replace("Z", "+00:00"))
-    except ValueError:
-        return None

@@ -59,20 +59,66 @@ def test_crawl_levels_and_cap(spark):
     assert {r["url"] for r in found.collect()} == {"a", "b"} and cut
 
 
-def test_sitemaps():
-    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
-    index = f"<sitemapindex {ns}><sitemap><loc>s1</loc></sitemap><sitemap><loc>s2</loc></sitemap><sitemap><loc>root</loc></sitemap></sitemapindex>".encode()
-    s1 = f"<urlset {ns}><url><loc> a </loc><lastmod>2024-01-02</lastmod></url><url><loc>b</loc></url></urlset>".encode()
-    s2 = gzip.compress(f"<urlset {ns}><url><loc>c</loc></url><url><loc>a</loc></url></urlset>".encode())
-    assert web.sitemap_urls({"root": index, "s1": s1, "s2": s2}, "root") == ([("a", "2024-01-02"), ("b", None), ("c", None)], False)
+NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+
+
+def index_of(*urls):
+    return f"<sitemapindex {NS}>{''.join(f'<sitemap><loc>{u}</loc></sitemap>' for u in urls)}</sitemapindex>".encode()
+
+
+def urlset_of(*urls):
+    return f"<urlset {NS}>{''.join(f'<url><loc>{u}</loc>' + (f'<lastmod>{t}</lastmod>' if t else '') + '</url>' for u, t in urls)}</urlset>".encode()
+
+
+def listed(spark, tree, roots=("http://h/root",), **bounds):
+    """(pages, files with errors, cut) of a tree of files by URL."""
+    files = spark.createDataFrame([(u, None if b is None else bytearray(b)) for u, b in tree.items()], "url string, body binary")
+    got = web.sitemap_urls(spark.createDataFrame([(r,) for r in roots], "url string"), lambda wanted: wanted.join(files, "url"), **bounds)
+    pages = {r["url"]: r["lastmod"] and r["lastmod"].day for r in got.pages.collect()}
+    return pages, {r["url"] for r in got.errors.collect()}, got.cut
+
+
+def test_sitemaps(spark):
+    tree = {
+        "http://h/root": index_of("http://h/s1", " HTTP://H/s2#x ", "http://h/root", "http://h/gone", "junk", "http://h/bad", "http://h/dtd", "http://h/cut"),
+        "http://h/s1": urlset_of((" http://h/a?utm_x=1&amp;b=2 ", "2024-01-02T12:00:00Z"), ("http://h/b", ""), ("ftp://h/c", "")),
+        "http://h/s2": gzip.compress(urlset_of(("http://h/c", "2024-01-05T12:00"), ("http://h/a?b=2", "2024-01-09T12:00Z"), ("http://h/c", "2024-01-06T12:00Z"))),
+        "http://h/bad": b"<urlset>",
+        "http://h/dtd": b'<!DOCTYPE x [<!ENTITY a "b">]><urlset/>',
+        "http://h/cut": gzip.compress(urlset_of(("http://h/d", "")))[:-12],
+    }
+    pages, errors, cut = listed(spark, tree, ("http://h/root", None, "no url", "http://h/root"))
+    assert pages == {"http://h/a?b=2": 2, "http://h/b": None, "http://h/c": 5} and not cut
+    assert errors == {"http://h/gone", "http://h/bad", "http://h/dtd", "http://h/cut"}
+    assert listed(spark, tree, ()) == ({}, set(), False)
     with pytest.raises(ValueError):
-        web.sitemap(b'<!DOCTYPE x [<!ENTITY a "b">]><urlset/>')
+        web.unpacked(gzip.compress(bytes(1000)), 999)
+
+
+def test_of_files_the_shallowest_names_a_page(spark):
+    tree = {"http://h/root": index_of("http://h/a", "http://h/z"), "http://h/a": index_of("http://h/deep"), "http://h/deep": urlset_of(("http://h/p", "2024-01-03T12:00Z")), "http://h/z": urlset_of(("http://h/p", "2024-01-04T12:00Z"))}
+    assert listed(spark, tree)[0] == {"http://h/p": 4}
 
 
 def test_lastmod(spark):
-    df = spark.createDataFrame([("2024-01-02",), ("2024-01-02T03:04:05Z",), ("2024-01-02T03:04+01:00",), ("junk",)], "s string")
-    got = [r[0] for r in df.select(F.date_format(web.lastmod(F.col("s")), "yyyy-MM-dd HH:mm")).collect()]
-    assert got == ["2024-01-02 00:00", "2024-01-02 03:04", "2024-01-02 02:04", None]
+    times = ["2024-01-02", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05.25+02:00", "2024-01-02T03:04:05", "2024-01-02T03:04+01:00", " 2024-01-02T03:04 ", "junk", "2024-01-02+01:00", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(times)], "k int, s string")
+    want = [1704153600000, 1704164645000, 1704157445250, 1704164645000, 1704161040000, 1704164640000, None, None, None, None]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert [r[0] for r in df.orderBy("k").select(F.unix_millis(web.lastmod(F.col("s")))).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_robots_of_hosts_and_repeated_rows(spark):
+    rules = spark.createDataFrame([("h", "/a", False), ("h", "/a", True), ("h", "/b", False), ("h", "", True), ("g", "/", False)], "host string, prefix string, allow boolean")
+    pages = spark.createDataFrame([("h", "/a", 1), ("h", "/b/x", 1), ("h", "/b/x", 1), ("h", "/c", 1), ("g", "/", 1), ("x", "/b", 1), (None, "/b", 1), ("g", None, 1)], "host string, path string, prefix int")
+    got = [(r["host"], r["path"], r["allowed"]) for r in web.robots_allowed(pages, rules).collect()]
+    want = [("h", "/a", True), ("h", "/b/x", False), ("h", "/b/x", False), ("h", "/c", True), ("g", "/", False), ("x", "/b", True), (None, "/b", True), ("g", None, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_selectors():
@@ -159,15 +205,15 @@ def test_too_many_pages_are_an_error_and_not_an_end(monkeypatch):
         list(api.pages("https://h/page", api.Paging("page", "page", size=3), "$.data.items", transport))
 
 
-def test_cut_sitemaps_say_so(monkeypatch):
-    urlset = lambda n: ("<urlset>" + "".join(f"<url><loc>{k}</loc></url>" for k in range(n)) + "</urlset>").encode()
-    index = b"<sitemapindex><sitemap><loc>s1</loc></sitemap><sitemap><loc>s2</loc></sitemap></sitemapindex>"
-    tree = {"root": index, "s1": urlset(3), "s2": urlset(5)}
-    assert web.sitemap_urls(tree, "root")[1] is False
-    for name, most in (("SITEMAP_URLS", 4), ("SITEMAP_FILES", 2), ("SITEMAP_DEPTH", 1)):
-        with monkeypatch.context() as m:
-            m.setattr(web, name, most)
-            assert web.sitemap_urls(tree, "root")[1] is True
+def test_cut_sitemaps_say_so(spark):
+    urlset = lambda n: urlset_of(*[(f"http://h/{k}", "") for k in range(n)])
+    tree = {"http://h/root": index_of("http://h/s1", "http://h/s2"), "http://h/s1": urlset(3), "http://h/s2": urlset(5)}
+    assert listed(spark, tree) == ({f"http://h/{k}": None for k in range(5)}, set(), False)
+    assert listed(spark, tree, urls=None, files=None, depth=1)[2] is False
+    assert listed(spark, tree, files=3, urls=5)[2] is False
+    assert listed(spark, tree, urls=4) == ({f"http://h/{k}": None for k in range(4)}, set(), True)
+    assert listed(spark, tree, files=2) == ({f"http://h/{k}": None for k in range(3)}, set(), True)
+    assert listed(spark, tree, depth=0) == ({}, set(), True)
 
 
 def test_data_source(spark):

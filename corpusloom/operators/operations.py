@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.times import utc
-from corpusloom.operators.folds import ordered_fold
+from corpusloom.operators.folds import carried
 
 TERMINAL = ("succeeded", "failed", "cancelled")
 
@@ -174,23 +174,14 @@ class Breaker:
 
 def rate_limited(requests: DataFrame, rate: float, burst: float, key: str = "key", at: str = "at", seq: str = "seq") -> DataFrame:
     """``requests`` with allowed and retry_after, each key's in order of time."""
-    schema = T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType())])
-
-    def step(bucket: TokenBucket, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [bucket.take(pd.Timestamp(t).timestamp()) for t in rows[at]]
-        return rows.assign(allowed=[o[0] for o in out], retry_after=[o[1] for o in out])
-
-    return ordered_fold(requests, key, [at, seq], lambda: TokenBucket(rate, burst), step, schema)
+    adds = T.StructType([T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType())])
+    return carried(requests, key, [at, seq], lambda: TokenBucket(rate, burst), TokenBucket.take, [at], adds)
 
 
 def broken(calls: DataFrame, key: str = "key", at: str = "at", seq: str = "seq", ok: str = "ok", failures: int = 5, cooldown: float = 30.0) -> DataFrame:
     """``calls`` with result: refused, ok or failed, under each key's circuit breaker."""
-    schema = T.StructType([*calls.schema.fields, T.StructField("result", T.StringType())])
-
-    def step(breaker: Breaker, rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(result=[breaker.call(pd.Timestamp(t).timestamp(), bool(x)) for t, x in zip(rows[at], rows[ok], strict=True)])
-
-    return ordered_fold(calls, key, [at, seq], lambda: Breaker(failures, cooldown), step, schema)
+    adds = T.StructType([T.StructField("result", T.StringType())])
+    return carried(calls, key, [at, seq], lambda: Breaker(failures, cooldown), lambda breaker, t, good: (breaker.call(t, bool(good)),), [at, ok], adds)
 
 
 def usable_keys(keys: DataFrame, now: datetime, scope: str | None = None) -> DataFrame:

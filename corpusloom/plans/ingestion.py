@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.times import utc
 from corpusloom.operators import ingest
-from corpusloom.operators.folds import ordered_fold
+from corpusloom.operators.folds import carried
 from corpusloom.plans.base import DataFrame, SparkSession, query, table
 
 NOW = datetime(2024, 6, 1)
@@ -59,10 +59,8 @@ select source, doc_id, batch from f"""
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.ceil(F.octet_length("text") / 4).cast("long").alias("tokens"))
 
-    def step(requests: ingest.Requests, part: pd.DataFrame) -> pd.DataFrame:
-        return part.assign(batch=[requests.take(int(t)) for t in part["tokens"]])[["source", "doc_id", "batch"]]
-
-    return ordered_fold(rows, "source", ["doc_id"], lambda: ingest.Requests(16, 8000), step, "source string, doc_id long, batch long")
+    adds = T.StructType([T.StructField("batch", T.LongType())])
+    return carried(rows, "source", ["doc_id"], lambda: ingest.Requests(16, 8000), lambda requests, tokens: (requests.take(tokens),), ["tokens"], adds).select("source", "doc_id", "batch")
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import jsondoc
 from corpusloom.functions.times import utc
 from corpusloom.operators import alerts, tenancy
 from corpusloom.plans.base import DataFrame, SparkSession, query, table
@@ -124,3 +125,22 @@ def querylog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_TENANTS} select tenant_id from t""")
 def fleet_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenancy.to_migrate(tenants(spark, sf_dir).withColumn("slug", F.concat(F.lit("t"), "tenant_id"))).select("tenant_id")
+
+
+@query("""with d as (select event_id, event_type, json_merge_patch(json_object('limits', json_object('qps', 10, 'burst', user_id), 'llm', json_object('model', event_type)),
+ json_object('limits', cast(props as json), 'flags', json_object('value', value))) as j from events)
+select event_id, cast(j->>'$.limits.qps' as bigint) as qps, cast(j->>'$.limits.burst' as bigint) as burst, cast(j->>'$.limits.k' as bigint) as k, cast(j->>'$.flags.value' as double) as value,
+ case when event_id % 5 <> 0 then case when event_id % 3 = 0 then 'none' else j->>'$.llm.model' end end as model, case when event_id % 7 = 0 then event_type end as before,
+ case when event_id % 7 = 0 then 'before,' else '' end || 'flags,limits' || case when event_id % 5 <> 0 then ',llm' else '' end as names from d""")
+def settings_patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A settings document for each event: its patch merged in, members set and removed."""
+    i, doc = F.col("event_id"), lambda c: F.parse_json(F.to_json(c))
+    stored = doc(F.struct(F.struct(F.lit(10).alias("qps"), F.col("user_id").alias("burst")).alias("limits"), F.struct(F.col("event_type").alias("model")).alias("llm")))
+    patch = doc(F.struct(F.from_json("props", "map<string,long>").alias("limits"), F.struct("value").alias("flags")))
+    rows = table(spark, sf_dir, "events").select(i, jsondoc.merged(stored, patch).alias("d"), F.to_variant_object(F.array("event_type")).alias("t"))
+    text = F.variant_get("t", "$[0]", "variant")
+    rows = rows.select(i, F.when(i % 3 == 0, jsondoc.with_member(F.col("d"), ["llm", "model"], F.parse_json(F.lit('"none"')))).otherwise(F.col("d")).alias("d"), F.when(i % 7 == 0, text).alias("t"))
+    rows = rows.select(i, jsondoc.with_member(F.col("d"), ["before"], F.col("t")).alias("d"))
+    rows = rows.select(i, F.when(i % 5 == 0, jsondoc.without(F.col("d"), "llm")).otherwise(F.col("d")).alias("d"))
+    get = lambda path, kind: F.try_variant_get("d", path, kind)
+    return rows.select(i, get("$.limits.qps", "long").alias("qps"), get("$.limits.burst", "long").alias("burst"), get("$.limits.k", "long").alias("k"), get("$.flags.value", "double").alias("value"), get("$.llm.model", "string").alias("model"), get("$.before", "string").alias("before"), F.array_join(jsondoc.names(F.col("d")), ",").alias("names"))

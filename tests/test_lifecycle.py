@@ -195,3 +195,28 @@ def test_folds_carry_their_state_over_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(got) == 150
     assert all(r["total"] == r["n"] * (r["n"] + 1) // 2 for r in got)
+
+
+def test_rows_of_short_keys_in_one_batch(spark):
+    from pyspark.sql import types as T
+
+    from corpusloom.operators.folds import carried
+
+    rows = [(k, n, 7) for k in ("a", None, "b") for n in range(50)]
+    df = spark.createDataFrame(rows, "key string, n long, total int").repartition(5)
+    adds = T.StructType([T.StructField("total", T.LongType())])
+
+    def add(state, n):
+        state[0] += n
+        return (state[0],)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("7", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = carried(df, "key", ["n"], lambda: [0], add, ["n"], adds)
+            assert got.columns == ["key", "n", "total"]
+            assert sorted(((r["key"] or "", r["n"], r["total"]) for r in got.collect())) == sorted((k or "", n, n * (n + 1) // 2) for k, n, _ in rows)
+            assert carried(df.limit(0), "key", ["n"], lambda: [0], add, ["n"], adds).count() == 0
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

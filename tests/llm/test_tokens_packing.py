@@ -25,6 +25,26 @@ def test_counts_equal_the_library(spark, docs_of):
         assert got[k]["over_limit"] == (got[k]["n_tokens"] > 512)
 
 
+def test_counts_do_not_depend_on_what_is_joined_how(spark, docs_of):
+    given = [*texts(300, 2), None, "", "y" * 3000 + " the end", "the " * 2000, *["the one line <|endoftext|> of many"] * 200]
+    lib = vocab.load("byte_bpe_50k.json")
+    want = sorted((k, len(lib.encode(t or "", add_special_tokens=False).ids)) for k, t in enumerate(given))
+    for kept in (0, 3, 10**6):
+        assert sorted((r["doc_id"], r["n_tokens"]) for r in tokens.count_tokens(docs_of(given), kept=kept).collect()) == want
+
+
+def test_each_distinct_pretoken_is_counted_once(spark, docs_of):
+    given = [*texts(200, 4), "a b a", None]
+    got = tokens.piece_counts(docs_of(given).select("text"), "byte_bpe_50k.json", kept=5).collect()
+    cut = tokens.counter("byte_bpe_50k.json")
+    found = defaultdict(int)
+    for t in given:
+        for p in cut.pretokens(t or ""):
+            found[p] += 1
+    assert sorted((r["pre"], r["n"]) for r in got) == sorted(found.items())
+    assert all(r["pieces"] == len(cut.lib.encode(r["pre"], add_special_tokens=False).ids) for r in got)
+
+
 def test_counts_of_no_rows_and_repeated_ids(spark, docs_of):
     assert tokens.count_tokens(docs_of([])).count() == 0
     twice = docs_of([(1, "a b c", None), (1, "a b c", None), (None, "q", None)])

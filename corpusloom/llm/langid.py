@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 #: n-grams of a profile and of a document's ranking; labelled documents of a language to fit on; languages from which a table is
 #: refused, as profiles are held on the driver and in every task.
 PROFILE, SAMPLE, LANGUAGES = 300, 4000, 50_000
+#: Share of held-out documents that may score lower than twice the least score of a text in a learned language.
+SHARE = 0.001
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -144,18 +146,35 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, T.StructType(fields))
 
 
-def _told(profiles: Profiles, text: str | None) -> bool:
-    return profiles.predict(text)[0] != "und" if profiles.langs else len(counted(text)[0]) > 0
+def least_score(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", share: float = SHARE) -> float:
+    """The score below which a text is in no learned language: half of what all but ``share`` of the rows of ``docs`` that have a
+    language and a letter reach. Take rows that the profiles were not learned from. Without any it is 0.
 
+    Scores of all rows are counted by thousandths, so 1,001 counts reach the driver, and the result does not depend on partitions."""
+    told = predict(docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text")), profiles, "text").where("lang_pred <> 'und'")
+    counts = sorted((r["at"], r["n"]) for r in told.groupBy(F.floor(F.col("score") * 1000).alias("at")).agg(F.count("*").alias("n")).collect())
+    left = share * sum(n for _, n in counts)
+    for at, n in counts:
+        left -= n
+        if left < 0:
+            return at / 2000
+    return 0.0
 
-def identified(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a letter, as they are: a filter where the rows lie. Any such text has a nearest language,
-    and without profiles (no row has a language to learn from) it is kept as well."""
+
+def identified(docs: DataFrame, profiles: Profiles, text: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` in a learned language, as they are: their text has a letter, and the nearest profile gives it a score of
+    ``least`` or more. Without profiles (no row has a language to learn from) any text with a letter is kept."""
     at = docs.columns.index(text)
 
+    def kept(t: str | None) -> bool:
+        if not profiles.langs:
+            return len(counted(t)[0]) > 0
+        lang, score = profiles.predict(t)
+        return lang != "und" and score >= least
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([_told(profiles, t.as_py()) for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([kept(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -137,3 +137,29 @@ def test_a_table_without_languages_keeps_its_texts(spark, docs_of):
 
     docs = docs_of([(0, "alba anda", None), (1, "12 %% ² _", None), (2, None, None), (3, "", None)])
     assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [0]
+
+
+def test_the_language_stage_rejects_by_its_profiles(spark, docs_of):
+    import random
+
+    import corpus_pipeline
+
+    draw = random.Random(3)
+    words = {"la": "alba arbor aqua terra stella silva luna casa via porta".split(), "ru": "дом река лес поле небо звезда вода гора трава снег".split()}
+    text = lambda k: " ".join(draw.choice(words[k]) for _ in range(30))
+    latin = [(k, text("la"), "la") for k in range(300)] + [(300, "alba", None), (301, "Luna 7", "la")]
+    odd = [(400, "中文的句子没有空格", None), (401, text("ru"), None), (402, "qqzx " * 30, None), (403, "12 %%", "la"), (404, None, "la"), (405, "", "la")]
+    kept = lambda rows: {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs_of(rows), "").collect()}
+    assert kept(latin + odd) == set(range(302))
+    # once the language is learned its texts stay
+    assert kept([*latin, *odd, *((500 + k, text("ru"), "ru") for k in range(20))]) == {*range(302), 401, *range(500, 520)}
+    assert kept([]) == set()
+
+
+def test_the_least_score_counts_all_rows_but_a_share(spark, docs_of):
+    profiles = langid.fit(docs_of([(k, "alba arbor aqua terra", "la") for k in range(5)]))
+    near, far = profiles.predict("alba arbor aqua terra")[1], profiles.predict("alba arbor xyz qqq")[1]
+    rows = [(k, "alba arbor aqua terra", "la") for k in range(999)] + [(1000, "alba arbor xyz qqq", "la"), (1001, "12", "la"), (1002, "zz", None), (1003, None, "la")]
+    assert langid.least_score(docs_of(rows), profiles) == int(near * 1000) / 2000
+    assert langid.least_score(docs_of(rows), profiles, share=0.0) == int(far * 1000) / 2000
+    assert langid.least_score(docs_of(rows[:0]), profiles) == 0.0

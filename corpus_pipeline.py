@@ -15,11 +15,13 @@ from corpusloom.sources.tables import spread, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null texts and texts without a letter. Profiles are learned from the documents that the
-    operator's split does not hold out; a text with letters has a nearest one, so letters alone decide, also where no document
-    has a language to learn from."""
-    profiles = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.identified(docs, profiles)
+    """Drops documents in no learned language: null texts, texts without a letter, and those whose nearest profile is farther than half
+    of what held-out documents reach allows (texts in another script, strings of letters that are no words). Profiles are learned from
+    the documents that the operator's split does not hold out, the bound from those it does; where no document has a language to
+    learn from, letters alone decide."""
+    held = langid.held_out(F.col("doc_id"))
+    profiles = langid.fit(docs.where(~held))
+    return langid.identified(docs, profiles, least=langid.least_score(docs.where(held), profiles))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

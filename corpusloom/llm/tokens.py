@@ -5,8 +5,8 @@ Method: a document is cut into pre-tokens, the units that byte-level BPE never m
 1. One scan finds the distinct pre-tokens of the corpus, summed on the map side first, so that a task sends each once (once more for
    every ``KEPT`` new ones or ``READ`` characters that it meets).
 2. The pieces of each distinct pre-token are counted once, in a stored table.
-3. A second scan joins that table to each document's pre-token frequencies and sums pieces times frequency. The ``KEPT`` most frequent
-   pre-tokens of up to ``KEPT_CHARS`` characters are joined in the task, from a broadcast table whose size these two bound; a
+3. A second scan joins that table to each document's pre-token frequencies and sums pieces times frequency. The most frequent, at most
+   ``KEPT``, pre-tokens of up to ``KEPT_CHARS`` characters are joined in the task, from a broadcast table whose size these two bound; a
    document's other pre-tokens, if the corpus has any, go by a join of two stored tables, which adaptive execution splits.
 
 The library makes ids only of single pre-tokens, to count them. A special string is a pre-token of its own.
@@ -118,7 +118,14 @@ def count_tokens(docs: DataFrame, text: str = "text", id: str = "doc_id", tokeni
     """
     counts = piece_counts(docs.select(F.col(text).alias("text")), tokenizer, kept)
     short = counts.where(F.char_length("pre") <= KEPT_CHARS)
-    frequent = short.orderBy(F.desc("n"), "pre").limit(kept).select("pre", "pieces").toPandas()
+    # all pre-tokens that occur as often as a power of two, the lowest at which they are no more than may be kept
+    level = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    least, total = 63, 0
+    for r in sorted(short.groupBy(level.alias("level")).agg(F.count("*").alias("size")).collect(), reverse=True):
+        if (total := total + r["size"]) > kept:
+            break
+        least = r["level"]
+    frequent = short.where(level >= least).select("pre", "pieces").toPandas()
     every = len(frequent) == counts.count()
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(frequent["pre"], frequent["pieces"].astype(int).tolist(), strict=True)))
 

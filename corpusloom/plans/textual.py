@@ -77,7 +77,7 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 h as (select page_id, origin, title, unnest(paths) as path, generate_subscripts(paths, 1) as n from p), f as (select page_id, title, origin || path as link, min(n) as n from h group by 1, 2, 3)
 select page_id, title, cast(null as varchar) as canonical, cast(row_number() over (partition by page_id order by n) - 1 as integer) as place, link from f""")
 def html_link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", web.links_udf("url", "html").alias("l"))
+    rows = table(spark, sf_dir, "pages").select("page_id", web.terminated_links_udf("url", "html").alias("l"))
     return rows.select("page_id", F.col("l.title").alias("title"), F.col("l.canonical").alias("canonical"), F.posexplode("l.links").alias("place", "link"))
 
 

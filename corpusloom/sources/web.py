@@ -82,9 +82,10 @@ def _all(n: Node, tag: str) -> Iterator[Node]:
         yield from _all(c, tag)
 
 
-def page_links(url: str, html: str | None) -> dict:
-    """Title (of title, og:title, the first h1), canonical URL and normalised links of a page, each once, in order."""
-    doc = tree(html or "")
+def page_links(url: str, html: str | None, terminated: bool = False) -> dict:
+    """Title (of title, og:title, the first h1), canonical URL and normalised links of a page, each once, in order. ``terminated`` as for
+    ``tree``."""
+    doc = tree(html or "", terminated)
     base = next((b.attrs.get("href") for b in _all(doc, "base") if b.attrs.get("href")), "")
     root = urljoin(url or "", base)
     join = lambda href: _joined(root, href)
@@ -108,6 +109,12 @@ def links_udf(url: pd.Series, html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([page_links(u, h) for u, h in zip(url, html, strict=True)], columns=LINKS.names)
 
 
+@F.pandas_udf(LINKS)
+def terminated_links_udf(url: pd.Series, html: pd.Series) -> pd.DataFrame:
+    """``links_udf`` with character references as ``tree`` decodes them with ``terminated``."""
+    return pd.DataFrame([page_links(u, h, True) for u, h in zip(url, html, strict=True)], columns=LINKS.names)
+
+
 def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES) -> tuple[DataFrame, bool]:
     """(url, depth) of pages reached from the seeds along links (url, link), level by level, and whether the cap cut it.
 

@@ -50,6 +50,20 @@ def test_links():
     assert got == {"title": "OG", "canonical": "http://h/c", "links": ["http://h/dir/b", "http://h/a"]}
 
 
+def test_references_without_a_semicolon():
+    page = "<title>a&amp;b &amp c&copy;d &nosuch;&amp</title><a href='/x&amp'>x</a>"
+    assert web.page_links("http://h/", page)["title"] == "a&b & c©d &nosuch;&"
+    assert web.page_links("http://h/", page, True)["title"] == "a&b &amp c©d &nosuch;&amp"
+
+
+def test_registered_links_keep_a_cut_reference(spark, tmp_path):
+    from corpusloom.plans.textual import html_link_extract
+
+    page = '<html><head><title>Tea &amp; les&amp</title></head><body><a href="/a">x</a></body></html>'
+    spark.createDataFrame([(1, "http://h.test/p", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r["title"] for r in html_link_extract(spark, str(tmp_path)).collect()] == ["Tea & les&amp"]
+
+
 def test_crawl_levels_and_cap(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("d", "e"), ("c", "a"), ("e", "f")], "url string, link string")
     seeds = spark.createDataFrame([("a",)], "url string")

@@ -105,7 +105,10 @@ class TextQuery:
                     places[p] = [k for k in at.get(p[0], ()) if all(k + n in r for n, r in enumerate(rest, 1))]
         open_ = [required for required, excluded in self.alternatives if required and not any(places[p] for p in excluded) and all(places[p] for p in required)]
         events = sorted((k, k + len(p) - 1, p) for p in {p for r in open_ for p in r} for k in places[p])
-        return sum(WEIGHT / (1 + noise) for noise in _covers(events, open_))
+        total = 0.0
+        for noise in _covers(events, open_):
+            total += WEIGHT / (1 + noise)  # one by one as SQL adds; Python's sum also carries what rounding loses
+        return total
 
 
 def _covers(events: list[tuple[int, int, Phrase]], alternatives: list[tuple[Phrase, ...]]) -> Iterable[int]:

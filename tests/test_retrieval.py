@@ -92,6 +92,11 @@ def test_text_queries(spark, query, text, matches, rank):
     assert row["m"] is matches and row["r"] == pytest.approx(rank)
 
 
+def test_covers_are_added_one_by_one():
+    """Ten covers of 0.1 as a sum of doubles in SQL has them, not 1.0, so that near ties rank alike."""
+    assert textquery.parse("the of").cover_density("the of " * 5 + "the") == 0.9999999999999999
+
+
 def test_reranking(spark):
     rows = spark.createDataFrame([(k, k) for k in range(1, 7)], "chunk_id long, r int")
     scores = spark.createDataFrame([(1, 0.1), (3, 0.9), (3, 0.2), (6, 5.0), (99, 1.0)], "chunk_id long, rerank_score double")

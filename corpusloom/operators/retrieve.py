@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions.times import utc
 from corpusloom.functions import textquery
@@ -29,6 +30,8 @@ if TYPE_CHECKING:
 RRF = 60
 #: Defaults and the ceiling of final_k.
 K_VECTOR, K_TEXT, FINAL_K, MAX_K = 40, 40, 8, 100
+#: Rows that a task compares with all queries of a batch at once.
+SLICE_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -142,7 +145,7 @@ def hybrid(chunks: DataFrame, vector: list[float], text: str, filters: Filters |
 
 def top_vector_batch(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int = K_VECTOR, id: str = "chunk_id", embedding: str = "embedding", lists: dict[int, list[int]] | None = None) -> DataFrame:
     """query, ``id``, distance and r for many queries at once: each task keeps the k nearest of its rows for each query by one
-    matrix product for each batch, and only those are shuffled. ``queries`` travel to the tasks, so take some thousands at a
+    matrix product for each ``SLICE_ROWS`` rows, and only those are shuffled. ``queries`` travel to the tasks, so take some thousands at a
     time. With ``lists``, a row of column list is compared with the queries (by place) that its list names, and other rows
     are not read."""
     keys = [q for q, _ in queries]
@@ -150,11 +153,14 @@ def top_vector_batch(chunks: DataFrame, queries: list[tuple[int, list[float]]],
     size = np.linalg.norm(wanted, axis=1, keepdims=True)
     unit = np.divide(wanted, size, out=np.zeros_like(wanted), where=size > 0)
     kind = chunks.schema[id].dataType
+    own_kind = to_arrow_type(kind)
 
     some = [q for q in range(len(keys)) if size[q, 0] > 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        near = np.full((len(keys), k), np.inf)
+        ids, places, seen = np.full((len(keys), k), None, object), np.zeros((len(keys), k), np.int64), 0
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             rows = [r for r in zip(*(c.to_pylist() for c in batch.columns), strict=True) if r[1] is not None and len(r[1]) == unit.shape[1] and None not in r[1]]
             if not rows or not some:
                 continue
@@ -164,14 +170,22 @@ def top_vector_batch(chunks: DataFrame, queries: list[tuple[int, list[float]]],
             parts: dict[int, list[int]] = {}
             for j, r in enumerate(rows):
                 parts.setdefault(r[2] if lists else -1, []).append(j)
-            out = []
             for part, at in parts.items():
                 asked = [q for q in lists[part] if size[q, 0] > 0] if lists else some
+                own, order = np.fromiter((rows[j][0] for j in at), object, len(at)), np.array(at) + seen
                 distance = 1 - unit[asked] @ m[at].T
+                # rows come in the order of ids, so of equal distances the earlier one stays
                 least = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                out += [(keys[q], rows[at[j]][0], float(distance[i, j])) for i, q in enumerate(asked) for j in least[i]]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], batch.schema.field(0).type), pa.array(columns[2], pa.float64())], names=["query", id, "distance"])
+                both = np.concatenate([near[asked], np.take_along_axis(distance, least, 1)], axis=1)
+                named = np.concatenate([ids[asked], own[least]], axis=1)
+                placed = np.concatenate([places[asked], order[least]], axis=1)
+                kept = np.lexsort((placed, both))[:, :k]
+                near[asked], ids[asked], places[asked] = (np.take_along_axis(x, kept, 1) for x in (both, named, placed))
+            seen += len(rows)
+        for at in range(0, len(keys), SLICE_ROWS):
+            q, place = np.nonzero(near[at : at + SLICE_ROWS] < np.inf)
+            found = [pa.array([keys[at + x] for x in q], pa.int64()), pa.array(ids[at + q, place].tolist(), own_kind), pa.array(near[at + q, place])]
+            yield pa.RecordBatch.from_arrays(found, names=["query", id, "distance"])
 
     schema = T.StructType([T.StructField("query", T.LongType()), T.StructField(id, kind), T.StructField("distance", T.DoubleType())])
     # rows of equal distance in id order, so that a task's cut agrees with the final one

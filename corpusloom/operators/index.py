@@ -22,7 +22,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,8 +31,12 @@ from corpusloom.functions import textquery
 from corpusloom.functions.text import lexemes
 from corpusloom.operators import retrieve
 
-#: Partitions of the postings, and documents for each file of one.
-BUCKETS, PART_ROWS = 64, 2_000_000
+#: Partitions of the postings, documents for each file of one, and vectors for each file of a list.
+BUCKETS, PART_DOCS, PART_ROWS = 64, 100_000, 2_000_000
+#: Of what a task has in Python at once: words of documents, rows compared with all centres, and probes of queries.
+SLICE_WORDS, SLICE_ROWS, SLICE_PROBES = 200_000, 512, 20_000
+#: Distances of a task at once.
+CELLS = 1 << 22
 #: Bytes of a row group of the postings, and rows of a page.
 ROW_GROUP, PAGE_ROWS = 16 << 20, 1000
 #: Vectors that centres are fitted on and rounds of fitting; queries that recall is measured by, their neighbours, the share of
@@ -50,20 +53,24 @@ def bucket_of(lexeme: Column, buckets: int = BUCKETS) -> Column:
 
 
 def postings(docs: DataFrame, id: str, content: str) -> DataFrame:
-    """lexeme, ``id`` and places (ascending) of each distinct word of each document; a null content has none."""
+    """lexeme, ``id`` and places (ascending) of each distinct word of each document; a null content has none. A task gives what it has
+    after each ``SLICE_WORDS`` words, so its memory does not follow the documents that Spark hands it at once."""
     kind = docs.schema[id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, rows, places = [], [], []
+            words, rows, places, held = [], [], [], 0
             for k, found in enumerate(batch.column(1)):
                 at: dict[str, list[int]] = {}
                 for place, w in enumerate(found.as_py() or ()):
                     at.setdefault(w, []).append(place)
+                    held += 1
                 words.extend(at)
                 rows.extend([k] * len(at))
                 places.extend(at.values())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["lexeme", id, "places"])
+                if words and (held >= SLICE_WORDS or k + 1 == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["lexeme", id, "places"])
+                    words, rows, places, held = [], [], [], 0
 
     schema = T.StructType([T.StructField("lexeme", T.StringType()), T.StructField(id, kind), T.StructField("places", T.ArrayType(T.IntegerType()))])
     return docs.select(F.col(id), lexemes(F.col(content)).alias("words")).mapInArrow(run, schema)
@@ -153,13 +160,20 @@ def waves(order: np.ndarray, sizes: np.ndarray, k: int) -> list[list[int]]:
     return out
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, so many at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def listed(vectors: DataFrame, c: np.ndarray, id: str, embedding: str) -> DataFrame:
     """The columns of ``vectors``, list (the nearest centre; -1 for vectors that cannot be compared) and off, the angle to it."""
     schema = T.StructType([*vectors.schema.fields, T.StructField("list", T.IntegerType()), T.StructField("off", T.DoubleType())])
     at = vectors.columns.index(embedding)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, SLICE_ROWS):
             own, off = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
             rows = [(k, v) for k, v in enumerate(batch.column(at).to_pylist()) if v is not None and len(c) and len(v) == c.shape[1] and None not in v and any(v)]
             if rows:
@@ -174,7 +188,7 @@ def listed(vectors: DataFrame, c: np.ndarray, id: str, embedding: str) -> DataFr
 def build(docs: DataFrame, vectors: DataFrame, folder: str, id: str = "chunk_id", content: str = "content", embedding: str = "embedding", attributes: tuple[str, ...] = ()) -> None:
     """Write the postings of ``docs``, the lists of ``vectors`` with the ``attributes`` of their documents and held (whether there
     is one), and the attributes by themselves, under ``folder``. Ids are unique in both tables."""
-    parts = max(1, -(-docs.count() // PART_ROWS))
+    parts = max(1, -(-docs.count() // PART_DOCS))
     rows = postings(docs, id, content).withColumns({"bucket": bucket_of(F.col("lexeme")), "n": F.size("places"), "level": F.floor(F.log2(F.size("places"))).cast("int")})
     tasks = BUCKETS * parts if parts > 1 else min(BUCKETS, 2 * docs.sparkSession.sparkContext.defaultParallelism)
     rows = rows.repartition(tasks, "bucket", F.pmod(F.xxhash64(id), F.lit(parts)))
@@ -227,17 +241,19 @@ class Index:
         rows = [(k, w, k in single) for k, ws in words.items() for w in sorted(ws)]
         asked = F.broadcast(self.spark.createDataFrame(rows, "query long, lexeme string, single boolean"))
         met = self.places(sorted({w for _, w, _ in rows})).join(asked, "lexeme")
-        plain = met.where("single").select("query", self.id, (F.size("places") * F.lit(textquery.WEIGHT)).alias("score"))
+        plain = met.where("single").select("query", self.id, (F.col("n") * F.lit(textquery.WEIGHT)).alias("score"))
         if len(single) == len(words):
             return plain
+        schema = T.StructType([T.StructField("query", T.LongType()), self._postings.schema[self.id], T.StructField("score", T.DoubleType())])
 
-        @F.pandas_udf(T.DoubleType())
-        def density(query: pd.Series, at: pd.Series) -> pd.Series:
-            return pd.Series([parsed[q].density({x["lexeme"]: [int(p) for p in x["places"]] for x in xs}) for q, xs in zip(query, at, strict=True)], dtype="float64")
+        def density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, SLICE_ROWS):
+                found = [parsed[q.as_py()].density({x["lexeme"]: x["places"] for x in at.as_py()}) for q, at in zip(batch.column(0), batch.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=schema.names)
 
         # a group holds the query's words of one document
         held = met.where("not single").groupBy("query", self.id).agg(F.collect_list(F.struct("lexeme", "places")).alias("at"))
-        return plain.union(held.select("query", self.id, density("query", "at").alias("score")).where("score > 0"))
+        return plain.union(held.mapInArrow(density, schema).where("score > 0"))
 
     def top_text(self, query: str, k: int = retrieve.K_TEXT, within: DataFrame | None = None) -> DataFrame:
         """``id``, score and r of the k best documents, of those ``within`` if given; ties go by id."""
@@ -328,18 +344,19 @@ class Index:
 
         def lists(number: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
+                for batch in sliced(batches, SLICE_ROWS):
                     out: list[tuple[int, int]] = []
                     for row, (v, kth) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                        if v is None or len(v) != width or None in v or not any(v):
-                            continue
-                        cosine = centres @ (np.asarray(v, np.float64) / np.linalg.norm(v))
-                        parts = waves(np.argsort(-cosine, kind="stable"), sizes, k)
-                        parts = parts[number : number + 1] if number + 1 < WAVES else parts[number:]
-                        bounds = lower_bounds(cosine, radii)
-                        out += [(row, x) for part in parts for x in part if kth is None or bounds[x] < kth]
-                    rows = pa.array([r for r, _ in out], pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([x for _, x in out], pa.int32())], names=["query", "vector", "list"])
+                        if v is not None and len(v) == width and None not in v and any(v):
+                            cosine = centres @ (np.asarray(v, np.float64) / np.linalg.norm(v))
+                            parts = waves(np.argsort(-cosine, kind="stable"), sizes, k)
+                            parts = parts[number : number + 1] if number + 1 < WAVES else parts[number:]
+                            bounds = lower_bounds(cosine, radii)
+                            out += [(row, x) for part in parts for x in part if kth is None or bounds[x] < kth]
+                        if out and (len(out) >= SLICE_PROBES or row + 1 == batch.num_rows):
+                            rows = pa.array([r for r, _ in out], pa.int64())
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([x for _, x in out], pa.int32())], names=["query", "vector", "list"])
+                            out = []
 
             return run
 
@@ -348,11 +365,14 @@ class Index:
             if not left.num_rows or not right.num_rows:
                 return pa.table([pa.array([], pa.int64()), left.column(own_id).slice(0, 0), pa.array([], pa.float64())], names=names)
             m, q = (np.array(t.column(c).combine_chunks().flatten(), np.float64).reshape(-1, width) for t, c in ((left, embedding), (right, "vector")))
-            distance = 1 - (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
-            # rows are in the order of ids, so of equal distances the smaller id is taken
-            least = np.argsort(distance, axis=1, kind="stable")[:, :k]
-            ids = left.column(own_id).combine_chunks().take(pa.array(least.ravel()))
-            return pa.table([pa.array(np.repeat(right.column("query").to_numpy(), least.shape[1])), ids, pa.array(np.take_along_axis(distance, least, 1).ravel())], names=names)
+            m, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (m, q))
+            ids, asking, out, step = left.column(own_id).combine_chunks(), right.column("query").to_numpy(), [], max(1, CELLS // len(m))
+            for at in range(0, len(q), step):
+                distance = 1 - q[at : at + step] @ m.T
+                # rows are in the order of ids, so of equal distances the smaller id is taken
+                least = np.argsort(distance, axis=1, kind="stable")[:, :k]
+                out.append(pa.table([pa.array(np.repeat(asking[at : at + step], least.shape[1])), ids.take(pa.array(least.ravel())), pa.array(np.take_along_axis(distance, least, 1).ravel())], names=names))
+            return pa.concat_tables(out)
 
         own_id, embedding = self.id, self.embedding
         parts = max(1, -(-int(self.sizes.max(initial=0)) // TASK_ROWS))
@@ -396,11 +416,15 @@ def hybrid_batch(index: Index, queries: list[tuple[int, str, list[float]]], vect
     ``vectors`` their exact nearest are taken, else those of the probed lists. Queries travel to the tasks: some thousands at
     a time."""
     by_text = Window.partitionBy("query").orderBy(F.desc("score"), index.id)
-    texts = {q: t for q, t, _ in queries if textquery.parse(t).words}
+    # each text is ranked once, however many queries ask it
+    texts: dict[str, int] = {}
+    asking = [(q, texts.setdefault(t, len(texts))) for q, t, _ in queries if textquery.parse(t).words]
     asked = [(q, v) for q, _, v in queries]
     near = retrieve.top_vector_batch(vectors, asked, k_vector, index.id, index.embedding) if vectors is not None else index.top_vector_batch(asked, k_vector)
     both = near.select("query", index.id, "r")
     if texts:
-        both = both.union(index.scores(texts).withColumn("r", F.row_number().over(by_text)).where(F.col("r") <= k_text).select("query", index.id, "r"))
+        ranked = index.scores({n: t for t, n in texts.items()}).withColumn("r", F.row_number().over(by_text)).where(F.col("r") <= k_text).withColumnRenamed("query", "text")
+        own = F.broadcast(index.spark.createDataFrame(asking, "query long, text long"))
+        both = both.union(ranked.join(own, "text").select("query", index.id, "r"))
     score = F.sum(F.lit(1.0).cast("double") / (F.lit(retrieve.RRF) + F.col("r"))).alias("score")
     return both.groupBy("query", index.id).agg(score).withColumn("r", F.row_number().over(by_text)).where(F.col("r") <= k)

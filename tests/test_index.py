@@ -59,6 +59,40 @@ def test_the_best_of_a_common_word_are_few_blocks(spark, tmp_path):
     assert found == [r["chunk_id"] for r in retrieve.top_text(within, "rye", 5).orderBy("r").collect()] and len(found) == 5
 
 
+def test_a_text_of_many_queries_is_ranked_once(corpus, monkeypatch):
+    chunks, index = corpus
+    asked = [(r["chunk_id"], ("rye", "oat")[r["chunk_id"] % 2], list(r["embedding"])) for r in chunks.where("chunk_id < 10").collect()]
+    ranked = []
+    real = indexes.Index.scores
+    monkeypatch.setattr(indexes.Index, "scores", lambda self, queries: (ranked.append(sorted(queries.values())), real(self, queries))[1])
+    got = {q: [r["chunk_id"] for r in rows] for q, rows in _by_query(indexes.hybrid_batch(index, asked, chunks)).items()}
+    assert ranked == [["oat", "rye"]]
+    one = {q: [r["chunk_id"] for r in rows] for own in asked[:2] for q, rows in _by_query(indexes.hybrid_batch(index, [own], chunks)).items()}
+    assert one == {q: got[q] for q in one} and len(got) == 10
+
+
+def _by_query(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["query"], r["r"])):
+        out.setdefault(r["query"], []).append(r)
+    return out
+
+
+def test_postings_of_long_documents_come_in_slices(spark):
+    """A document of more words than a slice, and others after it: all postings, and batches of a slice at most."""
+    rows = spark.range(6).selectExpr("id as chunk_id", "concat(repeat('oat rye ', 150000), 'w', id) as content").coalesce(1)
+    got = {(r["lexeme"], r["chunk_id"]): r["n"] for r in indexes.postings(rows, "chunk_id", "content").selectExpr("lexeme", "chunk_id", "size(places) as n").collect()}
+    assert got == {(w, k): n for k in range(6) for w, n in (("oat", 150000), ("rye", 150000), (f"w{k}", 1))}
+
+
+def test_a_task_keeps_only_the_nearest(spark):
+    """Of a partition of several slices, with equal vectors in different ones, a task gives k rows for each query."""
+    rows = spark.range(3000).selectExpr("id", "array(cast(cos(id % 700) as float), cast(sin(id % 700) as float)) as v").coalesce(1)
+    asked = [(q, [float(np.cos(q)), float(np.sin(q))]) for q in (5, 90)]
+    found = retrieve.top_vector_batch(rows, asked, 3, "id", "v")
+    assert {q: [r["id"] for r in x] for q, x in _by_query(found).items()} == {5: [5, 705, 1405], 90: [90, 790, 1490]}
+
+
 def _scanned(df):
     """Rows that the scan of a query without exchanges gave."""
     plan = df._jdf.queryExecution().executedPlan()

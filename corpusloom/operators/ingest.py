@@ -190,12 +190,12 @@ def embedded(missing: DataFrame, embed: Callable[[list[str]], list[list[float]]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            vectors, errors = [], []
+            at = 0
             requests = (part["embed_text"].tolist() for _, part in frame.groupby(batch_numbers(frame["embed_text"].map(count)), sort=False))
             for own, error in in_order(asked, requests, in_flight):
-                vectors += own
-                errors += [error] * len(own)
-            yield pd.DataFrame({hash: frame[hash], "model": model, "embedding": vectors, **({"error": errors} if failsafe else {})})
+                # the vectors of one request at a time
+                yield pd.DataFrame({hash: frame[hash].iloc[at : at + len(own)].tolist(), "model": model, "embedding": own, **({"error": [error] * len(own)} if failsafe else {})})
+                at += len(own)
 
     return missing.select(hash, "embed_text").mapInPandas(run, schema)
 

@@ -61,14 +61,18 @@ def synced(store: TableStore, incoming: DataFrame, embed: Embed, run: Run, base:
     base = base or store.snapshot()
     now = opened(base)
     docs = ingest.latest_once(incoming.withColumn("external_id", F.col("external_id").cast("string")), ["external_id"], F.xxhash64("mime", "data"))
-    read = store.staged(blocks.documents_parsed(docs, F.col("mime"), "data").withColumn("bytes", F.octet_length("data").cast("long")).drop("data"), "parsed")
+    read = store.staged(blocks.documents_parsed(docs, F.col("mime"), "data").withColumn("bytes", F.octet_length("data").cast("long")).drop("data", "markdown"), "parsed")
+    # the markdown follows from the blocks, so it is not stored beside them
+    read = read.withColumn("markdown", blocks.canonical_column(F.col("blocks")))
     bad = read.where("error is not null").select("external_id", "error")
     own = now["documents"].where(F.col("source") == run.source)
     good = ingest.changed(read.where("error is null").drop("error"), own, ["external_id"])
     # what has the stored hash is only seen, also where it had been deleted
     fresh = good.where(F.col("change").isin("new", "changed")).withColumn("version_id", F.sha2(F.concat_ws("\n", F.lit(run.source), "external_id", "content_hash"), 256))
-    cut = store.staged(chunks.exploded(fresh, "version_id", run.target, run.overlap), "chunks")
-    reused, missing = ingest.reuse(cut, now["chunks"].select("chunk_id", "chunk_hash", "model", "embedding"), run.model)
+    # a chunk without a context line is embedded as it stands, so its text is stored once
+    cut = store.staged(chunks.exploded(fresh, "version_id", run.target, run.overlap).withColumn("embed_text", F.when(F.col("embed_text") != F.col("content"), F.col("embed_text"))), "chunks")
+    whole = F.coalesce("embed_text", "content").alias("embed_text")
+    reused, missing = ingest.reuse(cut.select("version_id", "position", "chunk_hash", whole), now["chunks"].select("chunk_id", "chunk_hash", "model", "embedding"), run.model)
     made = store.staged(ingest.embedded(missing, embed, run.model, failsafe=True), "embedded")
     vectors = reused.select("version_id", "position", F.col("embedding")).unionByName(cut.join(made.where("error is null").select("chunk_hash", "embedding"), "chunk_hash").select("version_id", "position", "embedding"))
     failed = cut.join(made.where("error is not null").select("chunk_hash", "error"), "chunk_hash").groupBy("version_id").agg(F.min("error").alias("error"))
@@ -78,9 +82,9 @@ def synced(store: TableStore, incoming: DataFrame, embed: Embed, run: Run, base:
 
     stamp = F.lit(run.started).cast("timestamp")
     versions = done.select("version_id", "external_id", F.lit(run.source).alias("source"), "content_hash", "title", "markdown", stamp.alias("created_at")).join(now["versions"].select("version_id"), "version_id", "left_anti")
-    rows = cut.join(done.select("version_id"), "version_id", "left_semi").join(vectors, ["version_id", "position"])
-    rows = rows.select(F.concat_ws("/", "version_id", "position").alias("chunk_id"), "version_id", "position", "heading_path", "content", "embed_text", "token_count", "chunk_hash", F.lit(run.model).alias("model"), F.col("embedding").cast("array<float>").alias("embedding"))
-    rows = store.staged(rows.join(now["chunks"].select("version_id").distinct(), "version_id", "left_anti"), "rows")
+    # what is to be written is settled on keys and vectors, and the texts are joined to it once
+    wanted = vectors.join(done.select("version_id"), "version_id", "left_semi").join(now["chunks"].select("version_id").distinct(), "version_id", "left_anti")
+    rows = cut.join(wanted, ["version_id", "position"]).select(F.concat_ws("/", "version_id", "position").alias("chunk_id"), "version_id", "position", "heading_path", "content", whole, "token_count", "chunk_hash", F.lit(run.model).alias("model"), F.col("embedding").cast("array<float>").alias("embedding"))
     count = read.count()
     reconciles = run.full and run.complete and not run.truncated and count > 0
     # a document that failed was seen all the same, so it is not taken for gone

@@ -81,3 +81,17 @@ def test_batches_are_applied_once_across_restarts(spark, tmp_path):
     for number in (0, 1, 1, 0, 2):  # each call as after a restart
         state.committing(store, "q", change)(spark.range(number + 1), number)
     assert sorted(r["n"] for r in store.read("sums").collect()) == [0, 1, 3]
+
+
+def test_a_sync_stores_each_text_once_beside_its_tables(spark, tmp_path):
+    """A chunk that is embedded as it stands has its text once in what a run stages, its markdown and rows not at all; the tables have all."""
+
+    own = TableStore(spark, f"file://{tmp_path}/store")
+    docs = spark.createDataFrame([("a", "text/plain", "rye and oat"), ("b", "text/markdown", "# Mill\n\nflour")], "external_id string, mime string, data string")
+    sync.synced(own, docs, lambda texts: [[float(len(t))] for t in texts], sync.Run("s", "m", datetime(2024, 1, 1)))
+    chunk = {r["content"]: r["embed_text"] for r in own.read("chunks").collect()}
+    assert chunk == {"rye and oat": "rye and oat", "flour": "Mill\nflour"} or set(chunk) >= {"rye and oat"} and all(chunk.values())
+    assert {r["markdown"] for r in own.read("versions").collect()} == {"rye and oat", "# Mill\n\nflour"}
+    staged = {p.name.rsplit("-", 5)[0]: spark.read.parquet(f"file://{p}") for p in (tmp_path / "store" / "_staged").iterdir()}
+    assert "rows" not in staged and "markdown" not in staged["parsed"].columns
+    assert staged["chunks"].where(F.col("embed_text") == F.col("content")).count() == 0

@@ -12,12 +12,12 @@ equals in id and text is dealt over the ranges by its place, so one id with very
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,47 +27,93 @@ from corpusloom.llm import packing, scratch
 
 #: Bytes of a row group and of a page, and rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 128 << 10, 1000
-#: Rows and characters that are encoded together.
-ROWS, CHARS = 256, 4_000_000
-#: Entries of a worker's table of ids before it starts anew (about 120 MB), and the longest chunk that it keeps.
-KEPT, KEPT_CHARS = 600_000, 64
-_ODD = re.compile("[\x1c-\x1f]|[^\\x00-ɏ]")
+#: Rows and bytes of text that are taken together, by default and for ids.
+ROWS, ID_ROWS, BYTES = 256, 10_000, 4_000_000
+#: Entries of a worker's table of ids beyond which only the half that is used most stays (about 20 MB), and the longest chunk that it keeps.
+KEPT, KEPT_CHARS = 400_000, 64
 
 
 class ChunkIds:
-    """Ids of texts by the library, in bytes of little-endian unsigned 32-bit integers.
+    """Ids of texts by the library, as unsigned 32-bit integers.
 
     No pre-token holds white space, so a text's ids are those of its chunks between white space, and a chunk's those of its
-    pre-tokens. A worker keeps what it has met of both in one table. Texts with special strings, or with characters on whose class
-    Unicode versions differ, go to the library whole.
+    pre-tokens. Arrow cuts a block of texts and looks its chunks up in the worker's table; only distinct ones that are not there are
+    met by Python and encoded. Texts with special strings, or with characters on whose class Unicode versions differ, go to the
+    library whole.
     """
 
     def __init__(self, tokenizer: str) -> None:
         self.words = packing.WordIds(tokenizer)
-        self.kept: dict[str, bytes] = {}
+        #: The table: chunks, how many ids each has, the ids one after the other, how often each was met.
+        self.chunks, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.int64)
+        self.pool, self.met = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     def block(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | bytes] = []
-        for text in texts:
-            if not text:
-                cut.append(b"")
-            elif _ODD.search(lower := text.lower()) or any(s in text for s in self.words.special):
-                cut.append(self.words.block([text])[0])
-            else:
-                cut.append(lower.split())
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        table = self.kept
-        new = set().union(*(c for c in cut if isinstance(c, list))).difference(table)
-        if len(new) > KEPT or max(map(len, new), default=0) > KEPT_CHARS:
-            table = dict(table)  # too many, or too long, to keep: they serve this block only
+        """Each text's ids in little-endian bytes."""
+        ids, sizes = self.ids(texts)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all the texts, one after the other, and how many each has."""
+        lower = [(t or "").lower() for t in texts]
+        data = pa.array(lower, pa.large_string())
+        whole = _odd(data) | {k for k, t in enumerate(texts) if t and any(s in t for s in self.words.special)}
+        # such a text is a chunk that no other text can hold
+        apart = {f"\u0250{k}": self.words.block([texts[k]])[0] for k in whole}
+        if apart:
+            data = pa.array([f"\u0250{k}" if k in whole else t for k, t in enumerate(lower)], pa.large_string())
+        cut = pc.utf8_split_whitespace(data)
+        chunks = cut.flatten()
+        found = pc.index_in(chunks, value_set=self.chunks)
+        number = pc.fill_null(found, -1).to_numpy().copy()
+        fresh = chunks.filter(found.is_null()).dictionary_encode()
+        coded = self._encoded(fresh.dictionary.to_pylist(), apart)
+        number[number < 0] = fresh.indices.to_numpy() + len(self.chunks)
+        sizes = np.concatenate([self.sizes, np.fromiter(map(len, coded), np.int64, len(coded)) // 4])
+        pool = np.concatenate([self.pool, np.frombuffer(b"".join(coded), "<u4")])
+        at, of = np.cumsum(sizes) - sizes, sizes[number]
+        ends = np.concatenate([[0], np.cumsum(of)])
+        where = np.repeat((at[number] - ends[:-1]).astype(np.int32), of)
+        where += np.arange(ends[-1], dtype=np.int32)
+        ids = pool[where]
+        self._keep(fresh.dictionary, sizes, pool, np.bincount(number, minlength=len(sizes)), apart)
+        return ids, np.diff(ends[cut.offsets.to_numpy()])
+
+    def _encoded(self, new: list[str], apart: dict[str, bytes]) -> list[bytes]:
+        """Ids in bytes of distinct chunks, or from ``apart``."""
+        plain = set(new).difference(apart)
         # a chunk of letters is one pre-token
-        parts = {c: packing.PRE.findall(c) for c in new if not c.isalpha()}
-        words = new.difference(parts).union(*parts.values()).difference(table)
-        table.update(self.words.encoded(list(words)))
+        parts = {c: packing.PRE.findall(c) for c in plain if not c.isalpha()}
+        table = self.words.encoded(list(plain.difference(parts).union(*parts.values())))
         get = table.__getitem__
         table.update([(c, b"".join(map(get, p))) for c, p in parts.items()])
-        return [b"".join(map(get, c)) if isinstance(c, list) else c for c in cut]
+        table.update(apart)
+        return list(map(get, new))
+
+    def _keep(self, fresh: pa.Array, sizes: np.ndarray, pool: np.ndarray, met: np.ndarray, apart: dict[str, bytes]) -> None:
+        """Put the new chunks into the table; of too many the ones met most stay."""
+        met[: len(self.met)] += self.met
+        stay = np.ones(len(sizes), bool)
+        stay[len(self.met) :] = pc.less_equal(pc.utf8_length(fresh), KEPT_CHARS).to_numpy(zero_copy_only=False)
+        if apart:
+            stay[len(self.met) :] &= ~pc.starts_with(fresh, "\u0250").to_numpy(zero_copy_only=False)
+        if stay.sum() > KEPT:
+            most = np.zeros(len(stay), bool)
+            most[np.argpartition(np.where(stay, met, 0), -(KEPT // 2))[-(KEPT // 2) :]] = True
+            stay &= most
+            met //= 2  # what was met long ago counts less
+        self.chunks = pa.concat_arrays([self.chunks, fresh]).filter(pa.array(stay))
+        self.pool, self.sizes, self.met = pool[np.repeat(stay, sizes)], sizes[stay], met[stay]
+
+
+def _odd(texts: pa.Array) -> set[int]:
+    """The texts with a character from U+0250 on, or with one of the separators U+001C to U+001F."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+    odd = (data >= 0xCA) | (data - np.uint8(0x1C) < 4)
+    at = np.flatnonzero(data[:-1] == 0xC9)
+    odd[at] = data[at + 1] >= 0x90
+    return set((np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1).tolist())
 
 
 _chunks: dict[str, ChunkIds] = {}
@@ -79,17 +125,15 @@ def chunk_ids(tokenizer: str) -> ChunkIds:
     return _chunks[tokenizer]
 
 
-def slices(batch: pa.RecordBatch, column: int, rows: int = ROWS, chars: int = CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Parts of a batch of at most ``rows`` rows, and of one row beyond ``chars`` at most, with the texts of a column."""
+def slices(batch: pa.RecordBatch, column: int, rows: int = ROWS, most: int = BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Parts of a batch of at most ``rows`` rows, and of one row beyond ``most`` bytes of a column at most, with the texts of that column."""
+    before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     at = 0
     while at < batch.num_rows:
-        texts = batch.column(column).slice(at, rows).to_pylist()
-        size = n = 0
-        while n < len(texts) and size < chars:
-            size += len(texts[n] or "")
-            n += 1
-        yield batch.slice(at, n), texts[:n]
-        at += n
+        stop = min(at + rows, int(np.searchsorted(before, before[at] + most)), batch.num_rows)
+        part = batch.slice(at, stop - at)
+        yield part, part.column(column).to_pylist()
+        at = stop
 
 
 def write(docs: DataFrame, folder: str, text: str = "text", id: str = "doc_id", tokenizer: str = "word_bpe_49k.json", end_id: int = 1, shards: int | None = None) -> TokenFile:
@@ -102,16 +146,15 @@ def write(docs: DataFrame, folder: str, text: str = "text", id: str = "doc_id",
     spark = docs.sparkSession
     kind = docs.schema[id].dataType
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = chunk_ids(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part, texts in slices(batch, 1):
-                coded = encoder.block(texts)
-                lengths = np.array([len(b) // 4 + 1 for b in coded], np.int64)
+            for part, texts in slices(batch, 1, ID_ROWS):
+                ids, lengths = encoder.ids(texts)
+                ids = np.insert(ids, np.cumsum(lengths), end_id).view(np.int32)
+                lengths = lengths + 1
                 ends = np.cumsum(lengths)
-                ids = np.frombuffer(end.join([*coded, b""]), "<u4").astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(start + ends - lengths), pa.array(lengths), lists, pa.array(np.full(len(lengths), shard, np.int32))], names=["id", "start", "n_tokens", "ids", "shard"])
                 start += int(ends[-1])

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,35 @@ def test_chunks_over_a_full_table(monkeypatch):
             assert np.frombuffer(data, "<u4").tolist() == ids_of(text)[:-1]
 
 
+def test_a_full_table_keeps_the_chunks_met_most(monkeypatch):
+    monkeypatch.setattr(tokenfile, "KEPT", 20)
+    encoder = tokenfile.ChunkIds("word_bpe_49k.json")
+    asked, encoded = [], encoder.words.encoded
+    monkeypatch.setattr(encoder.words, "encoded", lambda words: asked.extend(words) or encoded(words))
+    for k in range(12):
+        text = " ".join(["often", "again,"] * 9 + [f"once{chr(97 + k)}{chr(97 + j)}" for j in range(8)])
+        assert np.frombuffer(encoder.block([text])[0], "<u4").tolist() == ids_of(text)[:-1]
+        assert len(encoder.chunks) <= 20
+    assert asked.count("often") == asked.count("again") == 1
+
+
+def test_blocks_of_odd_texts_and_none():
+    encoder = tokenfile.ChunkIds("word_bpe_49k.json")
+    given = ["", None, " ", "a\u024fb \u024f", "a \u0250 b", "\u02501 x", "x\x1cy", "x\x20y", "\u212a \u0130", "\u023a", "z <|endoftext|>z", "Z a\x85b\xa0c ", "y" * 70, "\u00c9\u00c9 \u0249"]
+    for _ in range(2):
+        for texts in (given, given[::-1], given[:2], [None], []):
+            assert [np.frombuffer(b, "<u4").tolist() for b in encoder.block(texts)] == [ids_of(t)[:-1] for t in texts]
+    assert not any("\u0250" in c or len(c) > 64 for c in encoder.chunks.to_pylist())
+
+
+def test_slices_are_bounded_by_bytes_and_rows():
+    given = ["\u4e2d" * 10, None, "", "a" * 100, "b", "c"] + [""] * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(given))), pa.array(given)], names=["id", "text"])
+    parts = list(tokenfile.slices(batch, 1, 4, 30))
+    assert [len(t) for _, t in parts] == [1, 3, 4, 4, 1]
+    assert [x for _, t in parts for x in t] == given and [x for p, _ in parts for x in p.column(0).to_pylist()] == list(range(len(given)))
+
+
 def test_repeated_ids_null_ids_and_clashing_columns(spark, docs_of):
     docs = docs_of([(1, "a b", None), (1, "a b", None), (1, "c", None), (None, "q", None), (None, None, None)] + [(5, "same words", None)] * 40)
     docs = docs.withColumnRenamed("lang", "start").withColumnRenamed("source", "ids").withColumnRenamed("n_chars", "shard")

@@ -6,11 +6,14 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import copies, decontam, langid, packing, pii, scratch
-from corpusloom.session import ship
+from corpusloom.session import bound_batches, ship
 from corpusloom.sources.tables import spread, table
 
 
@@ -52,7 +55,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mask_pii", mask_pii), ("pack", pack)]
+def _bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with bounded Arrow batches: stages follow each other in the same executors, beside a heap that the one before has filled."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(stage.__name__, _bounded(stage)) for stage in (language_id, near_dedup, decontaminate, mask_pii, pack)]
 
 #: SimHash components, alignment, classifiers and packing are not expressible in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None

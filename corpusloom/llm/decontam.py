@@ -42,6 +42,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BITS_LEAST, BITS_MOST = 16, 27
 #: Texts that are picked by a broadcast table (16 bytes each); beyond, by a shuffled join.
 ASKED = 1_000_000
+#: Hashes that a task keeps, and characters of a word whose hash is kept (14 MB at most, of words in ASCII). A table of 500,000 took as long.
+KEPT, KEPT_CHARS = 1 << 16, 64
 _WORD = re.compile(r"\w+")
 _LONG = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -52,11 +54,11 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Hashes(dict):
-    """Hashes of words, kept up to a bound."""
+    """Hashes of words, those met first up to ``KEPT`` of them."""
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh3_64_intdigest(word.encode())
-        if len(self) < 500_000:
+        if len(self) < KEPT and len(word) <= KEPT_CHARS:
             self[word] = h
         return h
 

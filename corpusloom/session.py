@@ -37,6 +37,17 @@ def local(cpus: int | None = None, memory: str = "8g", **conf: str) -> SparkSess
     return out
 
 
+#: Bytes from which an Arrow batch is sent to Python. A batch lies in two buffers of the JVM, each of up to twice its bytes, and in its
+#: Python worker, for each core of an executor; Spark's own bounds (10,000 rows or 64 MB) let that take hundreds of MB beside the heap.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 21)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of whole texts, unless the application has set a bound itself. Results do not depend on it."""
+    if BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that the functions run there can import it."""
     sc = spark.sparkContext

@@ -282,3 +282,13 @@ def test_short_runs_anywhere_in_a_long_item(spark, docs_of, n):
     docs = docs_of([" ".join(words(draw, 10) + item[k : k + 24] + words(draw, 10)) for k in range(n - 23)])
     benchmark = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
     assert decontam.leaks(docs, benchmark).select("doc_id").distinct().count() == n - 23
+
+
+def test_kept_hashes_are_few_and_short():
+    hashes = decontam.Hashes()
+    words = [f"w{k}" for k in range(decontam.KEPT + 50)]
+    long = "x" * (decontam.KEPT_CHARS + 1)
+    first = hashes.of([long, *words])
+    assert len(hashes) == decontam.KEPT and long not in hashes
+    assert (hashes.of([long, *words]) == first).all()
+    assert (decontam.Hashes().of(words[::-1])[::-1] == first[1:]).all()

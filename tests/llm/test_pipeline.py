@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from corpusloom import session
 from corpusloom.llm import pii
 from tests.llm.test_copies import brute_groups
 from tests.llm.test_decontam_pii import words
@@ -81,3 +83,29 @@ def test_the_whole_run_and_an_empty_table(spark, tables, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_bound_arrow_batches(spark):
+    key, most = session.BATCH[0], int(session.BATCH[1])
+    before = spark.conf.getAll.get(key)
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 4000) AS text", "'en' AS lang", "'s' AS source", "20000L AS n_chars")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "rows"])
+
+    try:
+        for name, stage in corpus_pipeline.STAGES[:1]:
+            spark.conf.unset(key)
+            kept = stage(spark, docs, "")
+            assert kept.count() == 400, name
+            told = docs.select("text").mapInArrow(sizes, "bytes long, rows long").collect()
+            assert sum(r["rows"] for r in told) == 400
+            assert max(r["bytes"] for r in told) < most + 2 * 20_000, name
+        spark.conf.set(key, "5m")  # an application's own bound stays
+        session.bound_batches(spark)
+        assert spark.conf.get(key) == "5m"
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)

@@ -34,7 +34,9 @@ _ID = 4  # bytes of an id
 #: The word pre-tokenizer's pattern for lower-case text below U+0250, where all versions of Unicode agree and the
 #: normaliser composes nothing.
 _L, _N, _S = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t\n\x0b\x0c\r \x85\xa0"
-PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+#: What is no mark in that pattern: white space, letters and numbers, as in a character class.
+WORD = _S + _L + _N
+PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{WORD}]+")
 _BEYOND = re.compile("[^\\x00-ɏ]")
 
 
@@ -47,7 +49,7 @@ class WordIds:
     """
 
     def __init__(self, name: str) -> None:
-        self.lib = vocab.load(name)
+        self.lib, self.plain = vocab.load(name), vocab.of_words(name)
         self.kept: dict[str, bytes] = {}
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         # the last piece of a pre-token, and no other, carries the mark of the word's end
@@ -77,11 +79,11 @@ class WordIds:
         return [b"".join(map(get, w)) if isinstance(w, list) else w for w in words]
 
     def encoded(self, distinct: list[str], together: int = 64) -> dict[str, bytes]:
-        """Ids of distinct pre-tokens; some are encoded in one call and told apart by their ends."""
+        """Ids of distinct pre-tokens of lower-case text below U+0250; some are encoded in one call and told apart by their ends."""
         out = {}
         for at in range(0, len(distinct), together):
             part = distinct[at : at + together]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 data, start = ids.tobytes(), 0

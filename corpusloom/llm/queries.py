@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import alignment, chat, cws, decontam, divergence, langid, packing, pii, simhash, tokenfile, tokens, urlfilter, warc
+from corpusloom.session import bound_batches
 from corpusloom.sources.tables import spread, table
 
 
@@ -51,10 +52,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return tokenfile.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return alignment.alignment(spread(table(spark, sf_dir, "documents")))
 
 

@@ -31,13 +31,17 @@ ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 128 << 10, 1000
 ROWS, ID_ROWS, BYTES = 256, 10_000, 4_000_000
 #: Entries of a worker's table of ids beyond which only the half that is used most stays (about 20 MB), and the longest chunk that it keeps.
 KEPT, KEPT_CHARS = 400_000, 64
+#: Marks that a chunk ends before, and one of them beside another character that is no letter, number or white space.
+_MARKS = ".,"
+_RUNS = f"[{_MARKS}][^{packing.WORD}]|[^{packing.WORD}][{_MARKS}]"
 
 
 class ChunkIds:
     """Ids of texts by the library, as unsigned 32-bit integers.
 
     No pre-token holds white space, so a text's ids are those of its chunks between white space, and a chunk's those of its
-    pre-tokens. Arrow cuts a block of texts and looks its chunks up in the worker's table; only distinct ones that are not there are
+    pre-tokens. A full stop or comma between letters, numbers and white space is a pre-token by itself, so a chunk ends before it and a
+    word with a mark behind it is no chunk of its own. Arrow cuts a block of texts and looks its chunks up in the worker's table; only distinct ones that are not there are
     met by Python and encoded. Texts with special strings, or with characters on whose class Unicode versions differ, go to the
     library whole.
     """
@@ -62,7 +66,7 @@ class ChunkIds:
         apart = {f"\u0250{k}": self.words.block([texts[k]])[0] for k in whole}
         if apart:
             data = pa.array([f"\u0250{k}" if k in whole else t for k, t in enumerate(lower)], pa.large_string())
-        cut = pc.utf8_split_whitespace(data)
+        cut = pc.utf8_split_whitespace(_marks_apart(data))
         chunks = cut.flatten()
         found = pc.index_in(chunks, value_set=self.chunks)
         number = pc.fill_null(found, -1).to_numpy().copy()
@@ -106,6 +110,14 @@ class ChunkIds:
         self.pool, self.sizes, self.met = pool[np.repeat(stay, sizes)], sizes[stay], met[stay]
 
 
+def _marks_apart(texts: pa.Array) -> pa.Array:
+    """Lower-case texts with a space before each full stop and comma, but those where one stands beside another mark."""
+    spaced = texts
+    for mark in _MARKS:
+        spaced = pc.replace_substring(spaced, mark, f" {mark}")
+    return pc.if_else(pc.match_substring_regex(texts, _RUNS), texts, spaced)
+
+
 def _odd(texts: pa.Array) -> set[int]:
     """The texts with a character from U+0250 on, or with one of the separators U+001C to U+001F."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
@@ -136,6 +148,21 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = ROWS, most: int = BYT
         at = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches that follow one another put together, up to ``most`` bytes of a column."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        own = batch.column(column).nbytes
+        if held and size + own > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write(docs: DataFrame, folder: str, text: str = "text", id: str = "doc_id", tokenizer: str = "word_bpe_49k.json", end_id: int = 1, shards: int | None = None) -> TokenFile:
     """Write the shards and the manifest of a table under ``folder``, which must not exist.
 
@@ -149,7 +176,7 @@ def write(docs: DataFrame, folder: str, text: str = "text", id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = chunk_ids(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in gathered(batches, 1, BYTES):
             for part, texts in slices(batch, 1, ID_ROWS):
                 ids, lengths = encoder.ids(texts)
                 ids = np.insert(ids, np.cumsum(lengths), end_id).view(np.int32)

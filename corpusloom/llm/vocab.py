@@ -18,3 +18,14 @@ def load(name: str):
 
         name = str(public_tokenizers.path(name))
     return Tokenizer.from_file(name)
+
+
+@functools.lru_cache(maxsize=4)
+def of_words(name: str):
+    """The same for texts that are normalised pre-tokens with a space between any two: it looks for no others and normalises nothing."""
+    from tokenizers import pre_tokenizers
+
+    out = load.__wrapped__(name)
+    out.normalizer = None
+    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out

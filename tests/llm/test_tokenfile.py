@@ -70,6 +70,26 @@ def test_blocks_of_odd_texts_and_none():
     assert not any("\u0250" in c or len(c) > 64 for c in encoder.chunks.to_pylist())
 
 
+def test_words_are_looked_up_without_the_marks_behind_them(monkeypatch):
+    encoder = tokenfile.ChunkIds("word_bpe_49k.json")
+    words = ["alpha", "b\u00e9ta", "gamma", "\u00aa", "it's", "7"]
+    encoder.block([" ".join(words)])
+    asked, encoded = [], encoder.words.encoded
+    monkeypatch.setattr(encoder.words, "encoded", lambda new: asked.extend(new) or encoded(new))
+    given = [".\n".join(words), ", ".join(words) + ","]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.block(given)] == [ids_of(t)[:-1] for t in given]
+    assert sorted(asked) == [",", "."] and len(encoder.chunks) == len(words) + 2
+    draw = random.Random(9)
+    given = ["".join(draw.choice([".", ",", "'", "'s", "'R", "e", "a", "3", "\u00bd", "\u00d7", "\u024f", "\x85", "\xa0", " ", "\t", "-", "\u00ab", "_"]) for _ in range(12)) for _ in range(3000)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.block(given)] == [ids_of(t)[:-1] for t in given]
+
+
+def test_batches_are_gathered_up_to_a_bound():
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array(["a" * 10])], names=["id", "text"]) for k in range(7)]
+    parts = list(tokenfile.gathered(iter(batches), 1, 3 * batches[0].column(1).nbytes))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2], [3, 4, 5], [6]] and list(tokenfile.gathered(iter([]), 1, 5)) == []
+
+
 def test_slices_are_bounded_by_bytes_and_rows():
     given = ["\u4e2d" * 10, None, "", "a" * 100, "b", "c"] + [""] * 7
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(given))), pa.array(given)], names=["id", "text"])

@@ -101,15 +101,21 @@ class ChunkIds:
         stay[len(self.met) :] = pc.less_equal(pc.utf8_length(fresh), KEPT_CHARS).to_numpy(zero_copy_only=False)
         if apart:
             stay[len(self.met) :] &= ~pc.starts_with(fresh, "\u0250").to_numpy(zero_copy_only=False)
-        if stay.sum() > KEPT:
-            most = np.zeros(len(stay), bool)
-            most[np.argpartition(np.where(stay, met, 0), -(KEPT // 2))[-(KEPT // 2) :]] = True
-            stay &= most
-            met //= 2  # what was met long ago counts less
+        stay = busiest(stay, met, KEPT)
         self.chunks = pa.concat_arrays([self.chunks, fresh]).filter(pa.array(stay))
         self.pool, self.sizes, self.met = pool[np.repeat(stay, sizes)], sizes[stay], met[stay]
 
 
+def busiest(stay: np.ndarray, met: np.ndarray, most: int) -> np.ndarray:
+    """Which entries of a table stay: all of ``stay``, or of more than ``most`` the half of that which was met most."""
+    if stay.sum() <= most:
+        return stay
+    top = np.zeros(len(stay), bool)
+    top[np.argpartition(np.where(stay, met, 0), -(most // 2))[-(most // 2) :]] = True
+    met //= 2  # what was met long ago counts less
+    return stay & top
+
+
 def _marks_apart(texts: pa.Array) -> pa.Array:
     """Lower-case texts with a space before each full stop and comma, but those where one stands beside another mark."""
     spaced = texts

@@ -1,9 +1,12 @@
 """Alignment against a plain encoding of whole texts, and corpus counts against a dictionary."""
 
+import gc
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import alignment
@@ -84,6 +87,32 @@ def test_blocks_are_whole_texts(libraries, monkeypatch, kept):
             assert got == Counter((a[-1], b[-1]) for a, b in want)
 
 
+def test_a_full_table_keeps_the_units_met_most(libraries, monkeypatch):
+    monkeypatch.setattr(alignment, "KEPT", 20)
+    own = alignment.Aligner(A, B)
+    asked, tokens = [], own._tokens
+    monkeypatch.setattr(own, "_tokens", lambda text: asked.extend(text.split()) or tokens(text))
+    for k in range(12):
+        text = " ".join(["often", "again,"] * 9 + [f"once{chr(97 + k)}{chr(97 + j)}" for j in range(8)])
+        assert own.block([text])[3] == [told(plainly(libraries, text))]
+    assert asked.count("often") == asked.count("again,") == 1
+
+
+def test_a_worker_holds_little_for_each_unit():
+    draw = random.Random(8)
+    units = sorted({"".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(5, 12))) for _ in range(8000)})
+    own = alignment.Aligner(A, B)
+    own.block(["some words"])
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for at in range(0, len(units), 1000):
+        own.block([" ".join(units[at : at + 1000])])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held / len(units) < 200
+
+
 @pytest.mark.parametrize("heavy", [1_000_000, 20])
 def test_the_whole_operator(spark, docs_of, libraries, heavy):
     given = texts(150, 2) + ["the same words again, and again"] * 20 + ["the words of others"] * 3
